@@ -214,9 +214,8 @@ def duplicate_rows(df: DataFrame) -> int:
     Rows are compared by two independent 64-bit hashes with null flags, so the shuffle carries 16 bytes a row
     instead of the row, and copies are merged before it.
     """
-    keys = row_hash(df)
-    total, different = df.count(), df.select(*keys).distinct().count()
-    return total - different
+    r = df.groupBy(*row_hash(df)).count().agg(F.sum("count").alias("rows"), F.count("*").alias("different")).first()
+    return (r["rows"] or 0) - r["different"]
 
 
 def row_hash(df: DataFrame, cols: list[str] | None = None) -> list[Column]:

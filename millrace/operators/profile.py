@@ -36,16 +36,18 @@ def moments(df: DataFrame, exprs: dict[str, Column]) -> dict[str, dict]:
     for i, k in enumerate(names):
         x = exprs[k]
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev(x).alias(f"std{i}"),
-                 F.variance(x).alias(f"var{i}"), F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
+                 F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
                  F.skewness(x).alias(f"g1_{i}"), F.kurtosis(x).alias(f"g2_{i}"),
-                 N.adjusted_skew(x).alias(f"skew{i}"), N.adjusted_kurtosis(x).alias(f"kurt{i}"),
                  F.count(F.when(x == 0, 1)).alias(f"zeros{i}"), F.count(F.when(x < 0, 1)).alias(f"neg{i}")]
     r = df.agg(*aggs).first()
     out = {}
     for i, k in enumerate(names):
-        out[k] = {"rows": r["rows"], "n": r[f"n{i}"], "zeros": r[f"zeros{i}"], "negatives": r[f"neg{i}"],
-                  **{m: _plain(r[f"{m}{i}"]) for m in ("mean", "std", "var", "min", "max", "skew", "kurt")},
-                  "g1": _plain(r[f"g1_{i}"]), "g2": _plain(r[f"g2_{i}"])}
+        n, g1, g2 = r[f"n{i}"], _plain(r[f"g1_{i}"]), _plain(r[f"g2_{i}"])
+        out[k] = {"rows": r["rows"], "n": n, "zeros": r[f"zeros{i}"], "negatives": r[f"neg{i}"],
+                  **{m: _plain(r[f"{m}{i}"]) for m in ("mean", "std", "min", "max")}, "g1": g1, "g2": g2,
+                  "skew": None if n < 3 else (g1 or 0.0) * math.sqrt(n * (n - 1)) / (n - 2),
+                  "kurt": None if n < 4 else 0.0 if g2 is None else (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)}
+        out[k]["var"] = None if out[k]["std"] is None else out[k]["std"] ** 2
     return out
 
 

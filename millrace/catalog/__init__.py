@@ -2,3 +2,4 @@
 from millrace.catalog.base import ORACLES, QUERIES  # noqa: F401
 from millrace.catalog import profiles  # noqa: F401, E402
 from millrace.catalog import steps  # noqa: F401, E402
+from millrace.catalog import ordering  # noqa: F401, E402

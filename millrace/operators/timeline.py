@@ -115,7 +115,7 @@ def autocorrelation(series: DataFrame, max_lag: int = 60) -> DataFrame:
     home = F.floor(F.col("i") / block)
     sent = flat.withColumn("block", F.explode(F.array_distinct(F.array(home, F.floor((F.col("i") + lags) / block)))))
 
-    def products(key, p: pd.DataFrame) -> pd.DataFrame:
+    def products(key, p):
         # a pair belongs to the block of its later row
         p = p.sort_values("i")
         e, first = p["e"].to_numpy(), int((p["i"] < key[0] * block).sum())

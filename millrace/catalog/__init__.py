@@ -4,3 +4,4 @@ from millrace.catalog import profiles  # noqa: F401, E402
 from millrace.catalog import steps  # noqa: F401, E402
 from millrace.catalog import ordering  # noqa: F401, E402
 from millrace.catalog import relations  # noqa: F401, E402
+from millrace.catalog import checks  # noqa: F401, E402

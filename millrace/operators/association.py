@@ -287,8 +287,8 @@ def pca(df: DataFrame, cols: list[str]) -> dict:
             "scores": df.select("*", *scores), "components_90": int(np.searchsorted(np.cumsum(share), 0.9 - 1e-12) + 1)}
 
 
-def pca_table(df: DataFrame, cols: list[str]) -> DataFrame:
-    e = pca(df, cols)["explained"]
+def pca_table(df: DataFrame, cols: list[str], found: dict | None = None) -> DataFrame:
+    e = (found or pca(df, cols))["explained"]
     rows = [{"component": i + 1, "explained_pct": x, "cumulative_pct": sum(e[: i + 1])} for i, x in enumerate(e)]
     return small_table(df.sparkSession, rows, "component long, explained_pct double, cumulative_pct double")
 

@@ -11,7 +11,7 @@ from millrace.operators import columns as C
 from millrace.operators.profile import small_table
 from millrace.operators.ranks import average_ranks
 
-BUILTIN_PAIRS = 45
+BUILTIN_PAIRS = 15
 
 
 def pair_corr(df: DataFrame, exprs: dict[str, Column], pairs: list[tuple] | None = None) -> dict[tuple, tuple]:
@@ -26,7 +26,7 @@ def pair_corr(df: DataFrame, exprs: dict[str, Column], pairs: list[tuple] | None
     if len(pairs) <= BUILTIN_PAIRS:
         both = {p: (exprs[p[0]].isNotNull() & exprs[p[1]].isNotNull()) for p in pairs}
         r = df.agg(*[a for i, (x, y) in enumerate(pairs) for a in (
-            F.corr(exprs[x], exprs[y]).alias(f"r{i}"), F.count(F.when(both[(x, y)], 1)).alias(f"n{i}"))]).first()
+            F.try_divide(F.regr_sxy(exprs[x], exprs[y]), F.sqrt(F.regr_sxx(exprs[x], exprs[y]) * F.regr_syy(exprs[x], exprs[y]))).alias(f"r{i}"), F.count(F.when(both[(x, y)], 1)).alias(f"n{i}"))]).first()
         out = {}
         for i, p in enumerate(pairs):
             v = r[f"r{i}"]

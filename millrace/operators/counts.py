@@ -21,27 +21,21 @@ def value_counts(df: DataFrame, cols: list[str], strip_missing: bool = True) ->
     return long.groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
-def number_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column, value as double, n) of the numeric view of the columns."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), C.as_numeric(df, c).alias("value")) for c in cols])
-    return (df.select(F.explode(cells).alias("x")).select("x.column", "x.value").filter("value is not null")
-            .groupBy("column", "value").agg(F.count("*").alias("n")))
+def distinct_counts(df: DataFrame, cols) -> dict[str, int]:
+    """Exact number of different non-null values per column name or named expression.
 
-
-def distinct_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
-    """Exact number of different non-null values per column."""
-    if not cols:
+    Values travel as two independent 64-bit hashes, so the shuffle has one narrow row per distinct value.
+    """
+    exprs = cols if isinstance(cols, dict) else {c: F.when(~C.is_null(df, c), C.col(c)) for c in cols}
+    if not exprs:
         return {}
-    rows = value_counts(df, cols).groupBy("column").agg(F.count("*").alias("u")).collect()
-    found = {r["column"]: int(r["u"]) for r in rows}
-    return {c: found.get(c, 0) for c in cols}
-
-
-def estimated_distinct(df: DataFrame, exprs: dict) -> dict[str, int]:
-    """HyperLogLog sizes, used only to choose between two exact plans."""
-    keys = list(exprs)
-    r = df.agg(*[F.approx_count_distinct(exprs[k]).alias(f"u{i}") for i, k in enumerate(keys)]).first()
-    return {k: int(r[f"u{i}"]) for i, k in enumerate(keys)}
+    names = list(exprs)
+    cells = F.array(*[F.struct(F.lit(i).alias("k"), F.when(exprs[c].isNotNull(), F.xxhash64(exprs[c])).alias("h1"),
+                               F.xxhash64(F.lit("second"), exprs[c]).alias("h2")) for i, c in enumerate(names)])
+    rows = (df.select(F.explode(cells).alias("x")).select("x.*").filter("h1 is not null").groupBy("k", "h1", "h2").agg(F.lit(1))
+            .groupBy("k").agg(F.count("*").alias("u")).collect())
+    found = {r["k"]: int(r["u"]) for r in rows}
+    return {c: found.get(i, 0) for i, c in enumerate(names)}
 
 
 def top_values(df: DataFrame, col: str, k: int) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 from millrace.functions import numeric as N
 from millrace.functions import significance as S
 from millrace.operators import columns as C
-from millrace.operators.counts import distinct_counts, number_counts, value_counts
-from millrace.operators.quantiles import exact_quantiles
+from millrace.operators.counts import distinct_counts, value_counts
+from millrace.operators.quantiles import exact_quantiles, folded
 
 
 def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
@@ -28,26 +28,28 @@ def _plain(v):
 
 
 def moments(df: DataFrame, exprs: dict[str, Column]) -> dict[str, dict]:
-    """n, mean, std, var, min, max, adjusted skew and kurtosis, zeros and negatives, all in one pass."""
+    """n, mean, std, var, min, max, adjusted skew and kurtosis, zeros and negatives, all in one pass.
+
+    The columns are folded to (column number, value) first: one small set of aggregate buffers per column instead of
+    one very wide one, so generated code stays compact for any number of columns.
+    """
     if not exprs:
         return {}
-    aggs = [F.count("*").alias("rows")]
-    names = list(exprs)
-    for i, k in enumerate(names):
-        x = exprs[k]
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev(x).alias(f"std{i}"),
-                 F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
-                 F.skewness(x).alias(f"g1_{i}"), F.kurtosis(x).alias(f"g2_{i}"),
-                 F.count(F.when(x == 0, 1)).alias(f"zeros{i}"), F.count(F.when(x < 0, 1)).alias(f"neg{i}")]
-    r = df.agg(*aggs).first()
+    v = F.col("v")
+    found = {r["k"]: r for r in folded(df, exprs, nulls=True).groupBy("k").agg(
+        F.count("*").alias("rows"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev(v).alias("std"), F.min(v).alias("min"),
+        F.max(v).alias("max"), F.skewness(v).alias("g1"), F.kurtosis(v).alias("g2"), F.count(F.when(v == 0, 1)).alias("zeros"),
+        F.count(F.when(v < 0, 1)).alias("negatives")).collect()}
     out = {}
-    for i, k in enumerate(names):
-        n, g1, g2 = r[f"n{i}"], _plain(r[f"g1_{i}"]), _plain(r[f"g2_{i}"])
-        out[k] = {"rows": r["rows"], "n": n, "zeros": r[f"zeros{i}"], "negatives": r[f"neg{i}"],
-                  **{m: _plain(r[f"{m}{i}"]) for m in ("mean", "std", "min", "max")}, "g1": g1, "g2": g2,
-                  "skew": None if n < 3 else (g1 or 0.0) * math.sqrt(n * (n - 1)) / (n - 2),
-                  "kurt": None if n < 4 else 0.0 if g2 is None else (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)}
-        out[k]["var"] = None if out[k]["std"] is None else out[k]["std"] ** 2
+    for i, k in enumerate(exprs):
+        r = found[i].asDict() if i in found else {"rows": 0, "n": 0, "zeros": 0, "negatives": 0}
+        n, g1, g2 = r["n"], _plain(r.get("g1")), _plain(r.get("g2"))
+        d = {"rows": r["rows"], "n": n, "zeros": r["zeros"], "negatives": r["negatives"], "g1": g1, "g2": g2,
+             **{m: _plain(r.get(m)) for m in ("mean", "std", "min", "max")}}
+        d["var"] = None if d["std"] is None else d["std"] ** 2
+        d["skew"] = None if n < 3 else (g1 or 0.0) * math.sqrt(n * (n - 1)) / (n - 2)
+        d["kurt"] = None if n < 4 else 0.0 if g2 is None else (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
+        out[k] = d
     return out
 
 
@@ -104,8 +106,7 @@ def numeric_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = C.numeric(df) if cols is None else cols
     exprs = {c: C.as_numeric(df, c) for c in cols}
     m, f = moments(df, exprs), fences(df, exprs)
-    counted = number_counts(df, cols).groupBy("column").agg(F.count("*").alias("u")).collect() if cols else []
-    unique = {r["column"]: r["u"] for r in counted}
+    unique = distinct_counts(df, exprs)
     out, _ = count_outside(df, exprs, {c: (f[c]["low"], f[c]["high"]) for c in cols if f[c]["iqr"]})
     rows = []
     for c in cols:
@@ -128,7 +129,7 @@ def normality(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = C.numeric(df) if cols is None else cols
     exprs = {c: C.as_numeric(df, c) for c in cols}
     m, rows = moments(df, exprs), []
-    few = {r["column"] for r in number_counts(df, cols).groupBy("column").count().filter("count <= 3").collect()}
+    few = {c for c, u in distinct_counts(df, exprs).items() if u <= 3}
     for c in cols:
         if m[c]["n"] >= 20 and c not in few and m[c]["std"]:
             k2, p = S.dagostino_k2(m[c]["n"], m[c]["g1"], m[c]["g2"])

@@ -13,35 +13,47 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+ROW_BOUND = 1_000_000      # rows up to which value counts are small whatever they hold
 DISTINCT_BOUND = 250_000
 COLLECT_BOUND = 5_000
 PIVOTS = 400
 
 
+def folded(df: DataFrame, exprs: dict[str, Column], nulls: bool = False, weight: str | None = None) -> DataFrame:
+    """(k, v[, w]): one row per column and row, k being the position of the column."""
+    extra = [F.col(weight).alias("w")] if weight else []
+    cells = F.array(*[F.struct(F.lit(i).alias("k"), x.cast("double").alias("v")) for i, x in enumerate(exprs.values())])
+    long = df.select(F.explode(cells).alias("x"), *extra).select("x.k", "x.v", *(["w"] if weight else []))
+    return long if nulls else long.filter("v is not null")
+
+
 def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float], weight: str | None = None,
                     bound: int | None = None) -> dict[str, list]:
-    """Linearly interpolated quantiles per named double expression; None where the expression is all NULL."""
-    bound = DISTINCT_BOUND if bound is None else bound
+    """Linearly interpolated quantiles per named double expression; None where the expression is all NULL.
+
+    A table of few rows, or a column of few distinct values, goes through its value counts; others are refined.
+    """
     if not exprs:
         return {}
     names = list(exprs)
-    w = F.col(weight) if weight else F.lit(1)
-    size = df.agg(*[a for i, k in enumerate(names) for a in (
-        F.approx_count_distinct(exprs[k]).alias(f"u{i}"),
-        F.coalesce(F.sum(F.when(exprs[k].isNotNull(), w)), F.lit(0)).cast("long").alias(f"n{i}"))]).first()
+    small, n = set(range(len(names))), {}
+    if bound is not None or df.count() > ROW_BOUND:
+        limit = DISTINCT_BOUND if bound is None else bound
+        size = {r["k"]: r for r in folded(df, exprs, weight=weight).groupBy("k").agg(
+            F.approx_count_distinct("v").alias("u"), F.sum("w" if weight else F.lit(1)).alias("n")).collect()}
+        small = {i for i in small if i not in size or size[i]["u"] <= limit}
+        n = {i: int(r["n"]) for i, r in size.items()}
     out: dict[str, list] = {}
-    small = [k for i, k in enumerate(names) if size[f"u{i}"] <= bound]
-    if small:
-        r = df.agg(*[(F.percentile(exprs[k], F.array(*map(F.lit, probs)), w) if weight
-                      else F.percentile(exprs[k], F.array(*map(F.lit, probs)))).alias(f"q{i}")
-                     for i, k in enumerate(small)]).first()
-        out.update({k: list(r[f"q{i}"]) if r[f"q{i}"] is not None else [None] * len(probs)
-                    for i, k in enumerate(small)})
+    few = {names[i]: exprs[names[i]] for i in sorted(small)}
+    if few:
+        vc = folded(df, few, weight=weight).groupBy("k", "v").agg(F.sum("w" if weight else F.lit(1)).alias("n")).filter("n > 0")
+        rows = vc.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, probs)), F.col("n")).alias("q")).collect()
+        found = {r["k"]: list(r["q"]) for r in rows}
+        out.update({c: found.get(i, [None] * len(probs)) for i, c in enumerate(few)})
     for i, k in enumerate(names):
         if k in out:
             continue
-        n = size[f"n{i}"]
-        places = [(n - 1) * p for p in probs]
+        places = [(n[i] - 1) * p for p in probs]
         ranks = sorted({r for h in places for r in (math.floor(h), math.ceil(h))})
         at = order_statistics(df, exprs[k], ranks, weight)
         out[k] = [at[math.floor(h)] + (at[math.ceil(h)] - at[math.floor(h)]) * (h - math.floor(h)) for h in places]

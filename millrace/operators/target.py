@@ -265,7 +265,7 @@ def unsupervised(df: DataFrame, roles: dict | None = None) -> dict:
         if max(spread) / max(min(spread), 1e-12) > 10:
             flags.append(("warning", "very different scales", "", max(spread) / min(spread)))
         p = A.pca(whole, cols)
-        table = A.pca_table(whole, cols).filter("component <= 15")
+        table = A.pca_table(whole, cols, p).filter("component <= 15")
         flags.append(("info", "components for 90 %", "", p["components_90"]))
         twins = sum(r is not None and abs(r) >= 0.9 for r, _ in pair_corr(whole, {c: C.col(c) for c in cols}).values())
         if twins:

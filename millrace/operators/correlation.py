@@ -11,7 +11,7 @@ from millrace.operators import columns as C
 from millrace.operators.profile import small_table
 from millrace.operators.ranks import average_ranks
 
-BUILTIN_PAIRS = 15
+BUILTIN_PAIRS = 3
 
 
 def pair_corr(df: DataFrame, exprs: dict[str, Column], pairs: list[tuple] | None = None) -> dict[tuple, tuple]:

@@ -1,6 +1,6 @@
 """Exact quantiles that do not gather a column in one task.
 
-The built-in percentile keeps one counter per distinct value, which is fine while that number is bounded.
+While the number of distinct values is bounded, a column's value counts fit one task and are sorted there.
 Beyond the bound the rank is found by refinement: a few hundred pivots split the current bracket, a histogram
 over the pivots tells which piece holds the rank, and only that piece is looked at again. Every round is one
 map-side aggregation, and the result is the same value.
@@ -46,8 +46,8 @@ def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float],
     out: dict[str, list] = {}
     few = {names[i]: exprs[names[i]] for i in sorted(small)}
     if few:
-        vc = folded(df, few, weight=weight).groupBy("k", "v").agg(F.sum("w" if weight else F.lit(1)).alias("n")).filter("n > 0")
-        rows = vc.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, probs)), F.col("n")).alias("q")).collect()
+        vc = folded(df, few, weight=weight).groupBy("k", "v").agg(F.sum("w" if weight else F.lit(1)).cast("long").alias("n")).filter("n > 0")
+        rows = vc.groupBy("k").applyInPandas(_from_counts(probs), "k int, q array<double>").collect()
         found = {r["k"]: list(r["q"]) for r in rows}
         out.update({c: found.get(i, [None] * len(probs)) for i, c in enumerate(few)})
     for i, k in enumerate(names):
@@ -60,6 +60,20 @@ def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float],
     return out
 
 
+def _from_counts(probs: list[float]):
+    """Quantiles of one column from its value counts; the counts of a column are bounded before they get here."""
+    def solve(p):
+        import numpy as np
+        import pandas as pd
+        order = np.argsort(p["v"].to_numpy())
+        v, upto = p["v"].to_numpy()[order], np.cumsum(p["n"].to_numpy()[order])
+        at = (upto[-1] - 1) * np.array(probs)
+        lo, hi = np.floor(at).astype(int), np.ceil(at).astype(int)
+        low, high = v[np.searchsorted(upto, lo, side="right")], v[np.searchsorted(upto, hi, side="right")]
+        return pd.DataFrame({"k": [p["k"].iloc[0]], "q": [low + (high - low) * (at - lo)]})
+    return solve
+
+
 def order_statistics(df: DataFrame, expr: Column, ranks: list[int], weight: str | None = None) -> dict[int, float]:
     """Values at 0-based ranks of the sorted non-null values."""
     data = df.select(expr.cast("double").alias("v"),

@@ -1,6 +1,8 @@
 """A labelled table with known structure, generated in parallel, for benchmarks and tests."""
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +19,9 @@ def make_dataset(spark: SparkSession, rows: int, cols: int = 20, missing: float
     drawn += [F.floor(F.rand(seed + 500 + j) * sizes[j % 4]).cast("int").alias(f"k{j}") for j in range(n_cat)]
     drawn += [F.rand(seed + 900).alias("u")]
     d = base.select("id", *drawn)
-    # the logit is centred so that the mean probability lands near the wanted share
-    logit = F.col("z0") + F.when(F.col("k0") == 0, 1.5).otherwise(0.0) - 1.0 - F.lit(-2.6 if imbalance > 0.5 else 1.9)
+    # the signal is nearly normal with mean 0.5, so its upper quantile is known without looking at the data
+    top = NormalDist(0.5, 1.22).inv_cdf(1 - imbalance)
+    logit = F.col("z0") + F.when(F.col("k0") == 0, 1.5).otherwise(0.0) - F.lit(top) + 1.0
     label = F.when(F.col("u") < 1 / (1 + F.exp(-logit)), "yes").otherwise("no")
     out = []
     for i in range(n_num):

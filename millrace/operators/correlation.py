@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from millrace.operators import columns as C
 from millrace.operators.profile import small_table
+from millrace.operators.quantiles import folded
 from millrace.operators.ranks import average_ranks
 
 BUILTIN_PAIRS = 3
+SMALL_RANKS = 20_000
 
 
 def pair_corr(df: DataFrame, exprs: dict[str, Column], pairs: list[tuple] | None = None) -> dict[tuple, tuple]:
@@ -85,13 +87,28 @@ def pearson(df: DataFrame, cols: list[str] | None = None, max_cols: int = 40) ->
 def with_ranks(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict[str, Column]]:
     """The numeric views of the columns next to their average ranks, joined by value.
 
-    The rank table of a column has one row per distinct value; Spark broadcasts it when it turns out small
-    and shuffles it otherwise, splitting a hot value under adaptive skew handling.
+    The rank table of a column has one row per distinct value. Tables of at most SMALL_RANKS rows are read in one job
+    and broadcast; larger ones are joined, where adaptive execution splits a hot value.
     """
-    out = df.select(*[C.as_numeric(df, c).alias(f"v{i}") for i, c in enumerate(cols)])
-    for i in range(len(cols)):
-        ranks = average_ranks(df, C.as_numeric(df, cols[i])).select(F.col("value").alias(f"v{i}"), F.col("rank").alias(f"r{i}"))
-        out = out.join(ranks, f"v{i}", "left")
+    exprs = {f"v{i}": C.as_numeric(df, c) for i, c in enumerate(cols)}
+    out = df.select(*[x.alias(v) for v, x in exprs.items()])
+    names = list(exprs)
+    sizes = {r["k"]: r["u"] for r in folded(df, exprs).groupBy("k").agg(F.approx_count_distinct("v").alias("u")).collect()}
+    few = {names[i]: exprs[names[i]] for i in range(len(names)) if sizes.get(i, 0) <= SMALL_RANKS}
+    tables: dict = {v: [] for v in few}
+    if few:
+        counts = folded(df, few).groupBy("k", "v").agg(F.count("*").alias("n"))
+        seen = dict.fromkeys(few, 0)
+        for r in counts.orderBy("k", "v").collect():
+            name = list(few)[r["k"]]
+            tables[name].append((r["v"], seen[name] + (r["n"] + 1) / 2))
+            seen[name] += r["n"]
+    for i, (v, x) in enumerate(exprs.items()):
+        if v in tables:
+            ranks = F.broadcast(df.sparkSession.createDataFrame(tables[v], f"{v} double, r{i} double"))
+        else:
+            ranks = average_ranks(df, x).select(F.col("value").alias(v), F.col("rank").alias(f"r{i}"))
+        out = out.join(ranks, v, "left")
     return out, {c: F.col(f"r{i}") for i, c in enumerate(cols)}
 
 

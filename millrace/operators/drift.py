@@ -11,7 +11,7 @@ from millrace.operators import columns as C
 from millrace.operators.correlation import pair_corr
 from millrace.operators.counts import value_counts
 from millrace.operators.profile import duplicate_rows, moments, small_table
-from millrace.operators.quantiles import DISTINCT_BOUND, exact_quantiles
+from millrace.operators.quantiles import DISTINCT_BOUND, ROW_BOUND, exact_quantiles, folded
 from millrace.operators.ranks import cut_points, running_totals
 
 MAX_NUM, MAX_CORR = 200, 40
@@ -67,26 +67,70 @@ def psi_from_counts(edges: list[float], a: dict[int, int], b: dict[int, int], na
 
 def stability(a: DataFrame, b: DataFrame, cols: list[str], bins: int = 10) -> dict[str, float | None]:
     """Population stability index: bins [low, high) at the quantiles of a, both ends open to infinity."""
-    q = exact_quantiles(a, {c: C.as_numeric(a, c) for c in cols}, [i / bins for i in range(bins + 1)])
+    wide = {c: F.col(f"c{i}") for i, c in enumerate(cols)}
+    a, b = (d.select(*[C.as_numeric(d, c).alias(f"c{i}") for i, c in enumerate(cols)]) for d in (a, b))
+    q = exact_quantiles(a, wide, [i / bins for i in range(bins + 1)])
     edges = {c: sorted({v for v in q[c] if v is not None}) for c in cols}
     live = [c for c in cols if len(edges[c]) >= 3]
     counts = []
     for d in (a, b):
-        cells = []
-        for c in live:
-            x = C.as_numeric(d, c)
-            bin_no = sum((F.when(x >= e, 1).otherwise(0) for e in edges[c][1:-1]), F.lit(0))
-            cells.append(F.struct(F.lit(c).alias("column"), F.when(x.isNotNull(), bin_no).alias("bin")))
         table: dict = {c: {} for c in live}
         if live:
-            long = d.select(F.explode(F.array(*cells)).alias("x")).select("x.*").filter("bin is not null")
-            for r in long.groupBy("column", "bin").count().collect():
-                table[r["column"]][r["bin"]] = r["count"]
+            bin_no = [sum((F.when(wide[c] >= e, 1).otherwise(0) for e in edges[c][1:-1]), F.lit(0)) for c in live]
+            cells = F.array(*[F.struct(F.lit(i).alias("k"), F.when(wide[c].isNotNull(), n).alias("bin")) for i, (c, n) in enumerate(zip(live, bin_no))])
+            for r in d.select(F.explode(cells).alias("x")).select("x.*").filter("bin is not null").groupBy("k", "bin").count().collect():
+                table[live[r["k"]]][r["bin"]] = r["count"]
         counts.append(table)
     return {c: psi_from_counts(edges[c], counts[0][c], counts[1][c], sum(counts[0][c].values()), sum(counts[1][c].values()))
             if c in live else None for c in cols}
 
 
+def paired_shapes(a: DataFrame, b: DataFrame, cols: list[str], bins: int = 10) -> dict[str, dict]:
+    """Medians, KS distance and stability index per column.
+
+    While both tables are bounded in rows, the value counts of a column fit one task and one job gives everything;
+    larger tables take the distributed route of each measure.
+    """
+    if not cols:
+        return {}
+    ea, eb = {c: C.as_numeric(a, c) for c in cols}, {c: C.as_numeric(b, c) for c in cols}
+    if a.count() > ROW_BOUND or b.count() > ROW_BOUND:
+        qa, qb = exact_quantiles(a, ea, [0.5]), exact_quantiles(b, eb, [0.5])
+        psi, ks = stability(a, b, cols, bins), ks_statistics(a, b, cols)
+        return {c: {"median_before": qa[c][0], "median_after": qb[c][0], "psi": psi[c], "ks": ks[c]} for c in cols}
+    sides = [folded(d, e).select("k", "v", *[F.lit(int(n == side)).alias(n) for n in ("na", "nb")]) for d, e, side in ((a, ea, "na"), (b, eb, "nb"))]
+    vc = sides[0].unionByName(sides[1]).groupBy("k", "v").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+
+    def shapes(p):
+        import numpy as np
+        import pandas as pd
+        p = p.sort_values("v")
+        v, na, nb = p["v"].to_numpy(), p["na"].to_numpy(), p["nb"].to_numpy()
+        ua, ub = na.cumsum(), nb.cumsum()
+
+        def quantiles(upto, probs):
+            at = (upto[-1] - 1) * np.array(probs)
+            lo, hi = np.floor(at).astype(int), np.ceil(at).astype(int)
+            low, high = v[np.searchsorted(upto, lo, side="right")], v[np.searchsorted(upto, hi, side="right")]
+            return low + (high - low) * (at - lo)
+
+        out = {"k": p["k"].iloc[0], "median_before": None, "median_after": None, "ks": None, "psi": None}
+        if ua[-1] and ub[-1]:
+            out.update(median_before=quantiles(ua, [0.5])[0], median_after=quantiles(ub, [0.5])[0], ks=np.abs(ua / ua[-1] - ub / ub[-1]).max())
+            edges = np.unique(quantiles(ua, [i / bins for i in range(bins + 1)]))
+            if len(edges) >= 3 and ua[-1] >= 20 and ub[-1] >= 20:
+                bin_no = np.searchsorted(edges[1:-1], v, side="right")
+                x, y = (np.maximum(np.bincount(bin_no, w, len(edges) - 1) / w.sum(), 1e-4) for w in (na, nb))
+                out["psi"] = ((y - x) * np.log(y / x)).sum()
+        return pd.DataFrame([out])
+
+    schema = "k int, median_before double, median_after double, ks double, psi double"
+    found = {r["k"]: r.asDict() for r in vc.groupBy("k").applyInPandas(shapes, schema).collect()}
+    empty = {"median_before": None, "median_after": None, "ks": None, "psi": None}
+    plain = lambda v: None if v is None or math.isnan(v) else v
+    return {c: {n: plain(found.get(i, empty)[n]) for n in empty} for i, c in enumerate(cols)}
+
+
 def ks_statistics(a: DataFrame, b: DataFrame, cols: list[str]) -> dict[str, float | None]:
     """Two-sample Kolmogorov-Smirnov distance per column, from running totals over distinct values.
 
@@ -128,11 +172,10 @@ def numeric_drift(a: DataFrame, b: DataFrame, cols: list[str] | None = None) ->
     ea, eb = {c: C.as_numeric(a, c) for c in cols}, {c: C.as_numeric(b, c) for c in cols}
     ma, mb = moments(a, ea), moments(b, eb)
     cols = [c for c in cols if ma[c]["n"] and mb[c]["n"]]
-    qa, qb = (exact_quantiles(d, {c: e[c] for c in cols}, [0.5]) for d, e in ((a, ea), (b, eb)))
-    psi, ks = stability(a, b, cols), ks_statistics(a, b, cols)
-    rows = [{"column": c, "mean_before": ma[c]["mean"], "mean_after": mb[c]["mean"], "median_before": qa[c][0], "median_after": qb[c][0],
+    shape = paired_shapes(a, b, cols)
+    rows = [{"column": c, "mean_before": ma[c]["mean"], "mean_after": mb[c]["mean"],
              "mean_shift_sd": (mb[c]["mean"] - ma[c]["mean"]) / ma[c]["std"] if ma[c]["std"] else None,
-             "ks": ks[c], "psi": psi[c], "drift": level(psi[c])} for c in cols]
+             **shape[c], "drift": level(shape[c]["psi"])} for c in cols]
     return small_table(a.sparkSession, rows, NUMERIC)
 
 

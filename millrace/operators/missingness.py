@@ -13,6 +13,7 @@ from millrace.operators.association import cramers
 from millrace.operators.correlation import pair_corr
 from millrace.operators.counts import distinct_counts
 from millrace.operators.profile import small_table
+from millrace.operators.quantiles import ROW_BOUND
 from millrace.operators.ranks import cut_points, running_totals
 
 
@@ -57,23 +58,54 @@ def co_missing(df: DataFrame, at_least: float = 0.3, max_cols: int = 40) -> Data
     return small_table(df.sparkSession, rows, "column_a string, column_b string, phi double").orderBy(F.desc(F.abs("phi")), "column_a", "column_b")
 
 
-def rank_tests(df: DataFrame, other: str, gaps: list[str], flag: dict) -> dict[str, dict]:
-    """Mann-Whitney of `other` between rows with and without a gap, for several gap columns at once.
+def rank_tests(df: DataFrame, others: list[str], gaps: list[str], flag: dict) -> dict[tuple, dict]:
+    """Mann-Whitney of every other column between rows with and without a gap, {(other, gap column): result}.
 
-    One table of distinct values with the rows and the flagged rows of each serves every gap column: the ranks of
-    `other` do not depend on which column the gap is in.
+    A table of distinct values with the rows and the flagged rows of each serves every gap column, because the ranks
+    of a column do not depend on where the gaps are. Bounded tables handle all columns in one job.
     """
-    x = C.as_numeric(df, other)
-    named = [(g, f"k{i}") for i, g in enumerate(gaps)]
-    values = (df.select(x.alias("v"), *[flag[g].alias(k) for g, k in named]).filter("v is not null").groupBy("v")
-              .agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for _, k in named]))
-    ranked = running_totals(values, "v", ["n"], cut_points(df, x)).withColumn("rank", F.col("n_before") + (F.col("n") + 1) / 2)
-    aggs = [F.sum("n").alias("n"), F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("ties")]
-    for _, k in named:
-        aggs += [F.sum(k).alias(f"n_{k}"), F.sum(F.col(k) * F.col("rank")).alias(f"r_{k}"), F.count(F.when(F.col(k) > 0, 1)).alias(f"a_{k}"),
-                 F.count(F.when(F.col(k) < F.col("n"), 1)).alias(f"b_{k}")]
-    r, out = ranked.agg(*aggs).first(), {}
-    for g, k in named:
+    marks = [f"k{i}" for i in range(len(gaps))]
+    sums = [F.count("*").alias("n"), *[F.sum(k).alias(k) for k in marks]]
+    out: dict = {}
+    if not others or not gaps:
+        return out
+    if df.count() <= ROW_BOUND:
+        cells = F.array(*[F.struct(F.lit(i).alias("col"), C.as_numeric(df, o).alias("v")) for i, o in enumerate(others)])
+        long = df.select(F.explode(cells).alias("x"), *[flag[g].alias(k) for g, k in zip(gaps, marks)]).select("x.*", *marks).filter("v is not null")
+        table = long.groupBy("col", "v").agg(*sums)
+        schema = "col int, n long, ties double, " + ", ".join(f"n_{k} long, r_{k} double, a_{k} long, b_{k} long" for k in marks)
+        for r in table.groupBy("col").applyInPandas(_rank_sums(marks), schema).collect():
+            out.update({(others[r["col"]], g): t for g, t in _mann_whitney(r, gaps, marks).items()})
+        return out
+    for o in others:
+        x = C.as_numeric(df, o)
+        values = df.select(x.alias("v"), *[flag[g].alias(k) for g, k in zip(gaps, marks)]).filter("v is not null").groupBy("v").agg(*sums)
+        ranked = running_totals(values, "v", ["n"], cut_points(df, x)).withColumn("rank", F.col("n_before") + (F.col("n") + 1) / 2)
+        aggs = [F.sum("n").alias("n"), F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("ties")]
+        for k in marks:
+            aggs += [F.sum(k).alias(f"n_{k}"), F.sum(F.col(k) * F.col("rank")).alias(f"r_{k}"), F.count(F.when(F.col(k) > 0, 1)).alias(f"a_{k}"),
+                     F.count(F.when(F.col(k) < F.col("n"), 1)).alias(f"b_{k}")]
+        out.update({(o, g): t for g, t in _mann_whitney(ranked.agg(*aggs).first(), gaps, marks).items()})
+    return out
+
+
+def _rank_sums(marks: list[str]):
+    """The sums a rank test needs, from the value counts of one column."""
+    def sums(p):
+        import pandas as pd
+        p = p.sort_values("v")
+        n = p["n"].astype(float)
+        rank = n.cumsum() - n + (n + 1) / 2
+        out = {"col": p["col"].iloc[0], "n": int(n.sum()), "ties": float((n ** 3 - n).sum())}
+        for k in marks:
+            out.update({f"n_{k}": int(p[k].sum()), f"r_{k}": float((p[k] * rank).sum()), f"a_{k}": int((p[k] > 0).sum()), f"b_{k}": int((p[k] < n).sum())})
+        return pd.DataFrame([out])
+    return sums
+
+
+def _mann_whitney(r, gaps: list[str], marks: list[str]) -> dict[str, dict]:
+    out = {}
+    for g, k in zip(gaps, marks):
         n, na = r["n"] or 0, r[f"n_{k}"] or 0
         nb = n - na
         if na <= 5 or nb <= 5 or (r[f"a_{k}"] < 2 and r[f"b_{k}"] < 2):
@@ -99,9 +131,8 @@ def relations(df: DataFrame, max_cols: int = 40, max_targets: int = 12, top: int
     u = distinct_counts(masked, others)
     cats = [c for c in others if u[c] <= 30][:max_cols]
     found = []
-    for o in nums:
-        tests = rank_tests(df, o, [g for g in gaps if g != o], flag)
-        found += [{"column_with_gaps": g, "related_column": o, "test": "Mann-Whitney", "effect": t["effect"], "p_value": t["p"]} for g, t in tests.items()]
+    found += [{"column_with_gaps": g, "related_column": o, "test": "Mann-Whitney", "effect": t["effect"], "p_value": t["p"]}
+              for (o, g), t in rank_tests(df, nums, gaps, flag).items() if o != g]
     pairs = [(f"gap {g}", o) for g in gaps for o in cats if g != o]
     exprs = {f"gap {g}": flag[g].cast("string") for g in gaps} | {o: F.when(flag[o] == 0, C.col(o).cast("string")) for o in cats}
     for (g, o), d in cramers(df, pairs, exprs).items():

@@ -256,9 +256,11 @@ def vif_table(df: DataFrame, num: list[str], max_cols: int = 30) -> DataFrame:
     m = correlation_matrix(whole, {f"c{i}": F.col(f"c{i}") for i in range(len(cols))})
     if np.isnan(m).any():
         return small_table(df.sparkSession, [], schema)
-    v = np.diag(np.linalg.pinv(m))
-    if np.linalg.matrix_rank(m) < len(cols):
-        v = np.where(v > 1e6, np.inf, v)
+    values, vectors = np.linalg.eigh(m)
+    null = values < len(cols) * 1e-10
+    v = (vectors[:, ~null] ** 2 / values[~null]).sum(1)
+    # a column that takes part in an exact linear dependence is fully predicted by the others
+    v = np.where((vectors[:, null] ** 2).sum(1) > 1e-9, np.inf, v)
     return small_table(df.sparkSession, [{"column": c, "vif": float(x)} for c, x in zip(cols, v)], schema).orderBy(F.desc("vif"))
 
 

@@ -43,8 +43,8 @@ def _head(spark: SparkSession, path: str, n: int = 50) -> list[str]:
 
 
 def decodes_as_utf8(spark: SparkSession, path: str) -> bool:
-    """No line holds the replacement character that Spark puts for undecodable bytes."""
-    return spark.read.text(path).filter(F.col("value").contains("�")).limit(1).count() == 0
+    """Every line is valid UTF-8; the search stops at the first that is not."""
+    return spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count() == 0
 
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = ",", header: bool = True, encoding: str | None = None,

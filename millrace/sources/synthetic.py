@@ -21,7 +21,7 @@ def make_dataset(spark: SparkSession, rows: int, cols: int = 20, missing: float
     d = base.select("id", *drawn)
     # the signal is nearly normal with mean 0.5, so its upper quantile is known without looking at the data
     top = NormalDist(0.5, 1.22).inv_cdf(1 - imbalance)
-    logit = F.col("z0") + F.when(F.col("k0") == 0, 1.5).otherwise(0.0) - F.lit(top) + 1.0
+    logit = 4 * (F.col("z0") + F.when(F.col("k0") == 0, 1.5).otherwise(0.0) - F.lit(top))
     label = F.when(F.col("u") < 1 / (1 + F.exp(-logit)), "yes").otherwise("no")
     out = []
     for i in range(n_num):

@@ -28,16 +28,17 @@ def folded(df: DataFrame, exprs: dict[str, Column], nulls: bool = False, weight:
 
 
 def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float], weight: str | None = None,
-                    bound: int | None = None) -> dict[str, list]:
+                    bound: int | None = None, rows: int | None = None) -> dict[str, list]:
     """Linearly interpolated quantiles per named double expression; None where the expression is all NULL.
 
     A table of few rows, or a column of few distinct values, goes through its value counts; others are refined.
+    `rows` saves a count where the caller knows the size.
     """
     if not exprs:
         return {}
     names = list(exprs)
     small, n = set(range(len(names))), {}
-    if bound is not None or df.count() > ROW_BOUND:
+    if bound is not None or (df.count() if rows is None else rows) > ROW_BOUND:
         limit = DISTINCT_BOUND if bound is None else bound
         size = {r["k"]: r for r in folded(df, exprs, weight=weight).groupBy("k").agg(
             F.approx_count_distinct("v").alias("u"), F.sum("w" if weight else F.lit(1)).alias("n")).collect()}

@@ -54,8 +54,7 @@ def main():
         "correlations_pearson": lambda: correlation.pearson(line, num).collect(),
         "correlations_spearman": lambda: correlation.spearman(line, ["l_quantity", "l_discount", "l_tax", "l_linenumber"]).collect(),
         "mixed_associations": lambda: A.mixed_associations(line, ["l_quantity", "l_discount", "l_tax"], cat).collect(),
-        "missing_analysis": lambda: (missingness.missing_per_column(dirty).collect(), missingness.patterns(dirty).collect(),
-                                     missingness.co_missing(dirty).collect(), missingness.relations(dirty).collect()),
+        "missing_analysis": lambda: [d.collect() for d in missingness.missing_analysis(dirty).values()],
         "split": split,
         "pipeline_fit_transform": fit,
         "compare_versions": lambda: [d.collect() for d in (drift.summary_diff(early, late), drift.numeric_drift(early, late, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]),

@@ -22,6 +22,16 @@ from millrace.operators.quantiles import exact_quantiles
 from millrace.operators.ranks import cut_points, running_totals
 
 
+CELL_BOUND = 50_000
+
+
+def bounded(table: DataFrame, limit: int | None = None) -> list | None:
+    """The rows of an aggregated table if there are at most `limit`, else None; one job either way."""
+    limit = CELL_BOUND if limit is None else limit
+    rows = table.limit(limit + 1).collect()
+    return rows if len(rows) <= limit else None
+
+
 def _text(df: DataFrame, c: str) -> Column:
     return F.when(~C.is_null(df, c), C.col(c).cast("string"))
 
@@ -49,15 +59,31 @@ def chi_square(cells: DataFrame) -> DataFrame:
     return s.join(size, "pair").select("pair", "total", "r", "k", F.greatest(F.lit(0.0), F.col("total") * (F.col("s") - 1)).alias("chi2"))
 
 
+def chi_square_facts(cells: DataFrame) -> list[tuple]:
+    """(pair, n, r, k, chi2); few cells are summed here, many stay in the cluster."""
+    rows = bounded(cells)
+    if rows is None:
+        return [(r["pair"], r["total"], r["r"], r["k"], r["chi2"]) for r in chi_square(cells).collect()]
+    margin: dict = {}
+    for r in rows:
+        for key in ((r["pair"],), (r["pair"], "a", r["a"]), (r["pair"], "b", r["b"])):
+            margin[key] = margin.get(key, 0) + r["n"]
+    out = []
+    for (pair,), total in [(k, v) for k, v in margin.items() if len(k) == 1]:
+        mine = [r for r in rows if r["pair"] == pair]
+        s = math.fsum(r["n"] ** 2 / (margin[(pair, "a", r["a"])] * margin[(pair, "b", r["b"])]) for r in mine)
+        out.append((pair, total, len({r["a"] for r in mine}), len({r["b"] for r in mine}), max(0.0, total * (s - 1))))
+    return out
+
+
 def cramers(df: DataFrame, pairs: list[tuple], exprs: dict[str, Column] | None = None) -> dict[tuple, dict]:
     """Per pair: n, r, k, chi2, p, V with bias correction and plain V."""
     if not pairs:
         return {}
     exprs = exprs or {c: _text(df, c) for c in {x for p in pairs for x in p}}
     out = {p: {"n": 0, "r": 0, "k": 0, "chi2": 0.0, "p": 1.0, "v": 0.0, "v_plain": 0.0} for p in pairs}
-    for row in chi_square(contingencies(df, pairs, exprs)).collect():
-        n, r, k, chi2 = row["total"], row["r"], row["k"], row["chi2"]
-        d = out[pairs[row["pair"]]]
+    for pair, n, r, k, chi2 in chi_square_facts(contingencies(df, pairs, exprs)):
+        d = out[pairs[pair]]
         d.update(n=n, r=r, k=k)
         if r < 2 or k < 2:
             continue
@@ -93,10 +119,22 @@ def eta_squared(df: DataFrame, pairs: list[tuple], exprs: dict[str, Column] | No
     cells = F.array(*[F.struct(F.lit(i).alias("pair"), cats[g].alias("g"), C.as_numeric(df, v).alias("v")) for i, (g, v) in enumerate(pairs)])
     long = df.select(F.explode(cells).alias("x")).select("x.*").filter("g is not null and v is not null")
     groups = long.groupBy("pair", "g").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s"))
-    means = groups.groupBy("pair").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mm"))
-    rows = groups.join(F.broadcast(means), "pair").groupBy("pair").agg(
-        F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("s")).alias("within"),
-        F.sum(F.col("n") * (F.col("m") - F.col("mm")) ** 2).alias("between")).collect()
+    rows = bounded(groups)
+    if rows is not None:
+        facts: dict = {}
+        for r in rows:
+            facts.setdefault(r["pair"], []).append(r)
+        rows = []
+        for pair, g in facts.items():
+            n = sum(r["n"] for r in g)
+            mm = math.fsum(r["n"] * r["m"] for r in g) / n
+            rows.append({"pair": pair, "n": n, "k": len(g), "within": math.fsum(r["n"] * r["s"] for r in g),
+                         "between": math.fsum(r["n"] * (r["m"] - mm) ** 2 for r in g)})
+    else:
+        means = groups.groupBy("pair").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mm"))
+        rows = groups.join(F.broadcast(means), "pair").groupBy("pair").agg(
+            F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("s")).alias("within"),
+            F.sum(F.col("n") * (F.col("m") - F.col("mm")) ** 2).alias("between")).collect()
     out = {p: {"n": 0, "groups": 0, "eta2": 0.0} for p in pairs}
     for r in rows:
         total = r["within"] + r["between"]
@@ -174,20 +212,38 @@ def nmi(df: DataFrame, pairs: list[tuple], bins: int = 10) -> dict[tuple, float
         cells.append(F.struct(F.lit(i).alias("pair"), side[0].alias("a"), side[1].alias("b")))
     table = (df.select(F.explode(F.array(*cells)).alias("x")).select("x.*").filter("a is not null and b is not null")
              .groupBy("pair", "a", "b").agg(F.count("*").alias("n")))
-    size = table.groupBy("pair").agg(F.sum("n").alias("total"))
+    out = {p: None for p in pairs}
+    for pair, total, ha, hb, hab in entropies(table):
+        if total < 30:
+            continue
+        mi, least = ha + hb - hab, min(ha, hb)
+        out[pairs[pair]] = min(1.0, max(0.0, mi / least)) if least > 1e-9 else 0.0
+    return out
+
+
+def entropies(cells: DataFrame) -> list[tuple]:
+    """(pair, n, entropy of a, of b, of both) from (pair, a, b, n); few cells are summed here, many stay in the cluster."""
+    rows = bounded(cells)
+    if rows is not None:
+        sums: dict = {}
+        for r in rows:
+            for side, key in ((0, r["a"]), (1, r["b"]), (2, (r["a"], r["b"]))):
+                d = sums.setdefault(r["pair"], ({}, {}, {}))[side]
+                d[key] = d.get(key, 0) + r["n"]
+        out = []
+        for pair, sides in sums.items():
+            total = sum(sides[0].values())
+            out.append((pair, total, *(-math.fsum(n / total * math.log(n / total) for n in d.values()) for d in sides)))
+        return out
+    size = cells.groupBy("pair").agg(F.sum("n").alias("total"))
 
     def entropy(by):
-        m = table.groupBy("pair", *by).agg(F.sum("n").alias("n")).join(F.broadcast(size), "pair")
+        m = cells.groupBy("pair", *by).agg(F.sum("n").alias("n")).join(F.broadcast(size), "pair")
         share = F.col("n") / F.col("total")
         return m.groupBy("pair").agg((-F.sum(share * F.log(share))).alias("h" + "".join(by)))
 
-    out = {p: None for p in pairs}
-    for row in size.join(entropy(["a"]), "pair").join(entropy(["b"]), "pair").join(entropy(["a", "b"]), "pair").collect():
-        if row["total"] < 30:
-            continue
-        mi, least = row["ha"] + row["hb"] - row["hab"], min(row["ha"], row["hb"])
-        out[pairs[row["pair"]]] = min(1.0, max(0.0, mi / least)) if least > 1e-9 else 0.0
-    return out
+    joined = size.join(entropy(["a"]), "pair").join(entropy(["b"]), "pair").join(entropy(["a", "b"]), "pair")
+    return [(r["pair"], r["total"], r["ha"], r["hb"], r["hab"]) for r in joined.collect()]
 
 
 def nmi_table(df: DataFrame, pairs: list[tuple], bins: int = 10) -> DataFrame:

@@ -28,16 +28,16 @@ def missing_counts(df: DataFrame, cols: list[str] | None = None) -> tuple[int, d
     return r["rows"], {c: r[f"m{i}"] for i, c in enumerate(cols)}
 
 
-def missing_per_column(df: DataFrame) -> DataFrame:
+def missing_per_column(df: DataFrame, counted: tuple | None = None) -> DataFrame:
     """Columns with gaps, blank text included, most missing first."""
-    rows, m = missing_counts(df)
+    rows, m = counted or missing_counts(df)
     out = [{"column": c, "missing": k, "missing_pct": k / rows * 100} for c, k in m.items() if k]
     return small_table(df.sparkSession, out, "column string, missing long, missing_pct double").orderBy(F.desc("missing_pct"), "column")
 
 
-def patterns(df: DataFrame, top: int = 10, max_cols: int = 40) -> DataFrame:
+def patterns(df: DataFrame, top: int = 10, max_cols: int = 40, counted: tuple | None = None) -> DataFrame:
     """Rows that share the same set of missing columns, the most common sets first."""
-    rows, m = missing_counts(df)
+    rows, m = counted or missing_counts(df)
     cols = [c for c in df.columns if m[c]][:max_cols]
     if not cols:
         return small_table(df.sparkSession, [], "pattern string, rows long, share_pct double")
@@ -48,9 +48,9 @@ def patterns(df: DataFrame, top: int = 10, max_cols: int = 40) -> DataFrame:
             .withColumn("share_pct", F.col("rows") / F.lit(rows) * 100).orderBy(F.desc("rows"), "pattern").limit(top))
 
 
-def co_missing(df: DataFrame, at_least: float = 0.3, max_cols: int = 40) -> DataFrame:
+def co_missing(df: DataFrame, at_least: float = 0.3, max_cols: int = 40, counted: tuple | None = None) -> DataFrame:
     """Phi between missing flags of two columns."""
-    _, m = missing_counts(df)
+    _, m = counted or missing_counts(df)
     cols = [c for c in df.columns if m[c]][:max_cols]
     f = flags(df, cols)
     found = pair_corr(df, {c: f[c].cast("double") for c in cols}) if len(cols) > 1 else {}
@@ -58,7 +58,7 @@ def co_missing(df: DataFrame, at_least: float = 0.3, max_cols: int = 40) -> Data
     return small_table(df.sparkSession, rows, "column_a string, column_b string, phi double").orderBy(F.desc(F.abs("phi")), "column_a", "column_b")
 
 
-def rank_tests(df: DataFrame, others: list[str], gaps: list[str], flag: dict) -> dict[tuple, dict]:
+def rank_tests(df: DataFrame, others: list[str], gaps: list[str], flag: dict, rows: int | None = None) -> dict[tuple, dict]:
     """Mann-Whitney of every other column between rows with and without a gap, {(other, gap column): result}.
 
     A table of distinct values with the rows and the flagged rows of each serves every gap column, because the ranks
@@ -69,7 +69,7 @@ def rank_tests(df: DataFrame, others: list[str], gaps: list[str], flag: dict) ->
     out: dict = {}
     if not others or not gaps:
         return out
-    if df.count() <= ROW_BOUND:
+    if (df.count() if rows is None else rows) <= ROW_BOUND:
         cells = F.array(*[F.struct(F.lit(i).alias("col"), C.as_numeric(df, o).alias("v")) for i, o in enumerate(others)])
         long = df.select(F.explode(cells).alias("x"), *[flag[g].alias(k) for g, k in zip(gaps, marks)]).select("x.*", *marks).filter("v is not null")
         table = long.groupBy("col", "v").agg(*sums)
@@ -120,9 +120,9 @@ def _mann_whitney(r, gaps: list[str], marks: list[str]) -> dict[str, dict]:
 RELATIONS = "column_with_gaps string, related_column string, test string, effect double, p_value double, suggests_dependence boolean"
 
 
-def relations(df: DataFrame, max_cols: int = 40, max_targets: int = 12, top: int = 25) -> DataFrame:
+def relations(df: DataFrame, max_cols: int = 40, max_targets: int = 12, top: int = 25, counted: tuple | None = None) -> DataFrame:
     """Whether gaps depend on other columns: rank tests against numbers, chi-square against categories."""
-    rows, m = missing_counts(df)
+    rows, m = counted or missing_counts(df)
     flag = flags(df, df.columns)
     gaps = sorted([c for c in df.columns if rows and 0.02 <= m[c] / rows <= 0.98], key=lambda c: -m[c])[:max_targets]
     nums = C.numeric(df)[:max_cols]
@@ -132,7 +132,7 @@ def relations(df: DataFrame, max_cols: int = 40, max_targets: int = 12, top: int
     cats = [c for c in others if u[c] <= 30][:max_cols]
     found = []
     found += [{"column_with_gaps": g, "related_column": o, "test": "Mann-Whitney", "effect": t["effect"], "p_value": t["p"]}
-              for (o, g), t in rank_tests(df, nums, gaps, flag).items() if o != g]
+              for (o, g), t in rank_tests(df, nums, gaps, flag, rows).items() if o != g]
     pairs = [(f"gap {g}", o) for g in gaps for o in cats if g != o]
     exprs = {f"gap {g}": flag[g].cast("string") for g in gaps} | {o: F.when(flag[o] == 0, C.col(o).cast("string")) for o in cats}
     for (g, o), d in cramers(df, pairs, exprs).items():
@@ -142,3 +142,10 @@ def relations(df: DataFrame, max_cols: int = 40, max_targets: int = 12, top: int
         f["suggests_dependence"] = f["p_value"] < 0.01 / max(len(found), 1) * 5 and f["effect"] >= 0.1
     found.sort(key=lambda f: (-f["suggests_dependence"], -f["effect"]))
     return small_table(df.sparkSession, found[:top], RELATIONS)
+
+
+def missing_analysis(df: DataFrame) -> dict[str, DataFrame]:
+    """Every missingness table; the gaps are counted once."""
+    counted = missing_counts(df)
+    return {"per_column": missing_per_column(df, counted), "patterns": patterns(df, counted=counted),
+            "co_missing": co_missing(df, counted=counted), "relations": relations(df, counted=counted)}

@@ -178,3 +178,20 @@ def test_kruskal_and_eta_against_formulas(skewed):
     within = p.groupby("g").x.apply(lambda v: ((v - v.mean()) ** 2).sum()).sum()
     eta = association.eta_squared(d, [("g", "x")])[("g", "x")]["eta2"]
     assert abs(eta - (1 - within / ((p.x - p.x.mean()) ** 2).sum())) < 1e-12
+
+
+def test_cell_routes_agree(spark, monkeypatch):
+    df = spark.range(900).select(F.concat(F.lit("a"), F.col("id") % 7).alias("a"), F.concat(F.lit("b"), (F.col("id") * 13 % 11) % 5).alias("b"),
+                                 (F.col("id") * 37 % 101).cast("double").alias("v"))
+
+    def measures():
+        return (association.cramers(df, [("a", "b")])[("a", "b")], association.eta_squared(df, [("a", "v")])[("a", "v")],
+                association.nmi(df, [("a", "v"), ("a", "b")]))
+    one = measures()
+    monkeypatch.setattr(association, "CELL_BOUND", 3)
+    other = measures()
+    for k in ("n", "r", "k", "chi2", "v"):
+        assert abs(one[0][k] - other[0][k]) < 1e-9
+    assert abs(one[1]["eta2"] - other[1]["eta2"]) < 1e-12
+    for k, v in one[2].items():
+        assert abs(v - other[2][k]) < 1e-12

@@ -11,7 +11,7 @@ from millrace.functions import numeric as N
 from millrace.functions import significance as S
 from millrace.operators import columns as C
 from millrace.operators.counts import distinct_counts, value_counts
-from millrace.operators.quantiles import exact_quantiles, folded
+from millrace.operators.quantiles import ROW_BOUND, exact_quantiles, folded
 
 
 def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
@@ -79,21 +79,55 @@ def count_outside(df: DataFrame, exprs: dict[str, Column], bounds: dict[str, tup
     return {k: r[f"o{i}"] for i, k in enumerate(names)}, r["rows"]
 
 
-def iqr_outliers(df: DataFrame, cols: list[str], at_least: int = 4) -> dict[str, dict]:
-    """Per column: fences, n and outliers; columns with too few values or no spread count none."""
-    exprs = {c: C.as_numeric(df, c) for c in cols}
-    f = fences(df, exprs)
-    n = moments_count(df, exprs)
-    live = {c: (f[c]["low"], f[c]["high"]) for c in cols if n[c] >= at_least and f[c]["iqr"] and f[c]["iqr"] > 0}
-    found, _ = count_outside(df, exprs, live)
-    return {c: {**f[c], "n": n[c], "outliers": found.get(c, 0), "checked": c in live} for c in cols}
+def shapes(df: DataFrame, exprs: dict[str, Column], rows: int | None = None) -> dict[str, dict]:
+    """Per column: n, different values, quartiles, the 1.5 IQR bounds and the values outside them.
 
-
-def moments_count(df: DataFrame, exprs: dict[str, Column]) -> dict[str, int]:
+    While the table is bounded in rows, the value counts of a column fit one task and one job gives everything.
+    Larger tables take a pass per measure.
+    """
     if not exprs:
         return {}
-    r = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(exprs.values())]).first()
-    return {k: r[i] for i, k in enumerate(exprs)}
+    rows = df.count() if rows is None else rows
+    if rows > ROW_BOUND:
+        f, u, n = fences(df, exprs), distinct_counts(df, exprs), moments_count(df, exprs)
+        out, _ = count_outside(df, exprs, {c: (f[c]["low"], f[c]["high"]) for c in exprs if f[c]["iqr"]})
+        return {c: {**f[c], "n": n[c], "unique": u[c], "outliers": out.get(c, 0)} for c in exprs}
+
+    def shape(p):
+        import numpy as np
+        import pandas as pd
+        p = p.sort_values("v")
+        v, n = p["v"].to_numpy(), p["n"].to_numpy()
+        upto = n.cumsum()
+        at = (upto[-1] - 1) * np.array([0.25, 0.5, 0.75])
+        lo, hi = np.floor(at).astype(int), np.ceil(at).astype(int)
+        low, high = v[np.searchsorted(upto, lo, side="right")], v[np.searchsorted(upto, hi, side="right")]
+        q1, q2, q3 = low + (high - low) * (at - lo)
+        reach = 1.5 * (q3 - q1)
+        out = int(n[(v < q1 - reach) | (v > q3 + reach)].sum()) if reach > 0 else 0
+        return pd.DataFrame([{"k": p["k"].iloc[0], "n": int(upto[-1]), "u": len(v), "q1": q1, "q2": q2, "q3": q3, "outliers": out}])
+
+    vc = folded(df, exprs).groupBy("k", "v").agg(F.count("*").alias("n"))
+    found = {r["k"]: r for r in vc.groupBy("k").applyInPandas(shape, "k int, n long, u long, q1 double, q2 double, q3 double, outliers long").collect()}
+    out = {}
+    for i, c in enumerate(exprs):
+        if i not in found:
+            out[c] = {"n": 0, "unique": 0, "outliers": 0, **dict.fromkeys(("q1", "median", "q3", "iqr", "low", "high"))}
+            continue
+        r = found[i]
+        iqr = r["q3"] - r["q1"]
+        out[c] = {"n": r["n"], "unique": r["u"], "outliers": r["outliers"], "q1": r["q1"], "median": r["q2"], "q3": r["q3"], "iqr": iqr,
+                  "low": r["q1"] - 1.5 * iqr, "high": r["q3"] + 1.5 * iqr}
+    return out
+
+
+def iqr_outliers(df: DataFrame, cols: list[str], at_least: int = 4, rows: int | None = None) -> dict[str, dict]:
+    """Per column: fences, n and outliers; columns with too few values or no spread count none."""
+    out = {}
+    for c, s in shapes(df, {c: C.as_numeric(df, c) for c in cols}, rows).items():
+        checked = s["n"] >= at_least and bool(s["iqr"]) and s["iqr"] > 0
+        out[c] = {**s, "checked": checked, "outliers": s["outliers"] if checked else 0}
+    return out
 
 
 NUMERIC_PROFILE = ("column string, count long, missing_pct double, unique long, mean double, median double, std double, "
@@ -105,18 +139,16 @@ def numeric_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """One row per column with counts, moments, quartiles, IQR outliers and a normality verdict."""
     cols = C.numeric(df) if cols is None else cols
     exprs = {c: C.as_numeric(df, c) for c in cols}
-    m, f = moments(df, exprs), fences(df, exprs)
-    unique = distinct_counts(df, exprs)
-    out, _ = count_outside(df, exprs, {c: (f[c]["low"], f[c]["high"]) for c in cols if f[c]["iqr"]})
-    rows = []
+    m = moments(df, exprs)
+    f, rows = shapes(df, exprs, m[cols[0]]["rows"] if cols else 0), []
     for c in cols:
         s, n = m[c], m[c]["n"]
         row = {"column": c, "count": n, "missing_pct": (s["rows"] - n) / s["rows"] * 100 if s["rows"] else None,
-               "unique": unique.get(c, 0)}
+               "unique": f[c]["unique"]}
         if n:
             row.update(mean=s["mean"], median=f[c]["median"], std=s["std"], variance=s["var"], min=s["min"],
                        q1=f[c]["q1"], q3=f[c]["q3"], max=s["max"], iqr=f[c]["iqr"], skew=s["skew"], kurtosis=s["kurt"],
-                       outliers=out.get(c, 0), outliers_pct=out.get(c, 0) / n * 100, zeros_pct=s["zeros"] / n * 100)
+                       outliers=f[c]["outliers"], outliers_pct=f[c]["outliers"] / n * 100, zeros_pct=s["zeros"] / n * 100)
             if n >= 20 and row["unique"] > 3 and s["std"]:
                 p = S.dagostino_k2(n, s["g1"], s["g2"])[1]
                 row.update(normality_p=p, shape="no clear departure from normal" if p > 0.05 else "not normal")
@@ -246,7 +278,7 @@ def health(df: DataFrame) -> dict:
     rows = r["rows"]
     missing = {c: r[f"m{i}"] or 0 for i, c in enumerate(cols)}
     unique = distinct_counts(df, cols)
-    outliers = iqr_outliers(df, nums)
+    outliers = iqr_outliers(df, nums, rows=rows)
     total = sum(o["outliers"] for o in outliers.values())
     return {"rows": rows, "columns": len(df.columns), "missing_cells": sum(missing.values()),
             "missing_pct": sum(missing.values()) / max(rows * len(df.columns), 1) * 100,

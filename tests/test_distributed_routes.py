@@ -195,3 +195,12 @@ def test_cell_routes_agree(spark, monkeypatch):
     assert abs(one[1]["eta2"] - other[1]["eta2"]) < 1e-12
     for k, v in one[2].items():
         assert abs(v - other[2][k]) < 1e-12
+
+
+def test_profile_routes_agree(skewed, monkeypatch):
+    from millrace.operators import profile
+    df, _ = skewed
+    d = df.withColumn("gap", F.when(F.col("id") % 3 != 0, F.col("y"))).withColumn("none", F.lit(None).cast("double"))
+    one = profile.numeric_profile(d, ["x", "y", "gap", "none"]).collect()
+    monkeypatch.setattr(profile, "ROW_BOUND", 0)
+    assert profile.numeric_profile(d, ["x", "y", "gap", "none"]).collect() == one

@@ -79,6 +79,13 @@ def count_outside(df: DataFrame, exprs: dict[str, Column], bounds: dict[str, tup
     return {k: r[f"o{i}"] for i, k in enumerate(names)}, r["rows"]
 
 
+def moments_count(df: DataFrame, exprs: dict[str, Column]) -> dict[str, int]:
+    if not exprs:
+        return {}
+    r = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(exprs.values())]).first()
+    return {k: r[i] for i, k in enumerate(exprs)}
+
+
 def shapes(df: DataFrame, exprs: dict[str, Column], rows: int | None = None) -> dict[str, dict]:
     """Per column: n, different values, quartiles, the 1.5 IQR bounds and the values outside them.
 

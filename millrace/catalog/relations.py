@@ -258,7 +258,13 @@ def _(t):
     return shown(missingness.relations(t.view("dirty_events")).drop("p_value", "suggests_dependence"), "effect")
 
 
-@query("e19_missing_dependence", "SELECT 'value' AS column_with_gaps, 'user_id' AS related_column, true AS suggests_dependence FROM events HAVING count(*) > 0")
+# 2.69 is the normal point of the corrected level 0.05 / 7 for the seven tests of this table
+@query("e19_missing_dependence", GAPS + """, r AS (SELECT value IS NULL AS g, rank() OVER (ORDER BY user_id) + (count(*) OVER (PARTITION BY user_id) - 1) / 2.0 AS r FROM dirty_events),
+c AS (SELECT count(*)::DOUBLE AS n, count(CASE WHEN g THEN 1 END)::DOUBLE AS na, sum(CASE WHEN g THEN r END) AS ra FROM r),
+t AS (SELECT sum(power(k, 3) - k) AS t FROM (SELECT count(*)::DOUBLE AS k FROM dirty_events GROUP BY user_id)),
+u AS (SELECT *, n - na AS nb, ra - na * (na + 1) / 2 AS u FROM c)
+SELECT 'value' AS column_with_gaps, 'user_id' AS related_column, abs(2 * u / (na * nb) - 1) >= 0.1
+  AND (greatest(u, na * nb - u) - na * nb / 2 - 0.5) / sqrt(na * nb / 12 * ((n + 1) - t / (n * (n - 1)))) > 2.69 AS suggests_dependence FROM u, t""")
 def _(t):
     r = missingness.relations(t.view("dirty_events"))
     return r.filter("column_with_gaps = 'value' and related_column = 'user_id'").select("column_with_gaps", "related_column", "suggests_dependence")

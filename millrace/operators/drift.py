@@ -85,7 +85,7 @@ def stability(a: DataFrame, b: DataFrame, cols: list[str], bins: int = 10) -> di
             if c in live else None for c in cols}
 
 
-def paired_shapes(a: DataFrame, b: DataFrame, cols: list[str], bins: int = 10) -> dict[str, dict]:
+def paired_shapes(a: DataFrame, b: DataFrame, cols: list[str], bins: int = 10, rows: int | None = None) -> dict[str, dict]:
     """Medians, KS distance and stability index per column.
 
     While both tables are bounded in rows, the value counts of a column fit one task and one job gives everything;
@@ -94,7 +94,7 @@ def paired_shapes(a: DataFrame, b: DataFrame, cols: list[str], bins: int = 10) -
     if not cols:
         return {}
     ea, eb = {c: C.as_numeric(a, c) for c in cols}, {c: C.as_numeric(b, c) for c in cols}
-    if a.count() > ROW_BOUND or b.count() > ROW_BOUND:
+    if (max(a.count(), b.count()) if rows is None else rows) > ROW_BOUND:
         qa, qb = exact_quantiles(a, ea, [0.5]), exact_quantiles(b, eb, [0.5])
         psi, ks = stability(a, b, cols, bins), ks_statistics(a, b, cols)
         return {c: {"median_before": qa[c][0], "median_after": qb[c][0], "psi": psi[c], "ks": ks[c]} for c in cols}
@@ -172,7 +172,7 @@ def numeric_drift(a: DataFrame, b: DataFrame, cols: list[str] | None = None) ->
     ea, eb = {c: C.as_numeric(a, c) for c in cols}, {c: C.as_numeric(b, c) for c in cols}
     ma, mb = moments(a, ea), moments(b, eb)
     cols = [c for c in cols if ma[c]["n"] and mb[c]["n"]]
-    shape = paired_shapes(a, b, cols)
+    shape = paired_shapes(a, b, cols, rows=max(m[c]["rows"] for m in (ma, mb) for c in cols) if cols else 0)
     rows = [{"column": c, "mean_before": ma[c]["mean"], "mean_after": mb[c]["mean"],
              "mean_shift_sd": (mb[c]["mean"] - ma[c]["mean"]) / ma[c]["std"] if ma[c]["std"] else None,
              **shape[c], "drift": level(shape[c]["psi"])} for c in cols]

@@ -1,14 +1,15 @@
 """The queries of this package by name, and their SQL."""
 from __future__ import annotations
 
-from millrace.llm import chat, exact_dedup, language, mixing, tokens, toxicity
+from millrace.llm import chat, decontaminate, exact_dedup, language, mixing, tokens, toxicity
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
     "op3_perspective_rotation": chat.op3_perspective_rotation,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_source_mixing": mixing.op7_source_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_language_id": language.op10_language_id,
 }
-ORACLES = {"op3_perspective_rotation": chat.OP3_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
+ORACLES = {"op3_perspective_rotation": chat.OP3_SQL, "op6_decontaminate": decontaminate.OP6_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}

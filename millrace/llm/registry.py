@@ -1,10 +1,11 @@
 """The queries of this package by name, and their SQL."""
 from __future__ import annotations
 
-from millrace.llm import chat, decontaminate, exact_dedup, language, mixing, tokens, toxicity
+from millrace.llm import chat, decontaminate, exact_dedup, language, mixing, substring_dedup, tokens, toxicity
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_perspective_rotation": chat.op3_perspective_rotation,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_decontaminate": decontaminate.op6_decontaminate,

@@ -1,7 +1,7 @@
 """The queries of this package by name, and their SQL."""
 from __future__ import annotations
 
-from millrace.llm import chat, decontaminate, exact_dedup, language, mixing, substring_dedup, tokens, toxicity
+from millrace.llm import chat, decontaminate, exact_dedup, language, mixing, substring_dedup, suffix_dedup, tokens, toxicity
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_source_mixing": mixing.op7_source_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_language_id": language.op10_language_id,
 }
 ORACLES = {"op3_perspective_rotation": chat.OP3_SQL, "op6_decontaminate": decontaminate.OP6_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}

@@ -1,12 +1,13 @@
 """The queries of this package by name, and their SQL."""
 from __future__ import annotations
 
-from millrace.llm import chat, decontaminate, exact_dedup, language, mixing, substring_dedup, suffix_dedup, tokens, toxicity
+from millrace.llm import chat, decontaminate, exact_dedup, jaccard_join, language, mixing, substring_dedup, suffix_dedup, tokens, toxicity
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_perspective_rotation": chat.op3_perspective_rotation,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_source_mixing": mixing.op7_source_mixing,

@@ -70,11 +70,12 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batch: str | None = None) -
 
 def keep_rows(docs: DataFrame, verdict: DataFrame) -> DataFrame:
     """The rows of docs that stay, with their columns: one for each distinct text of the batch that no earlier batch has."""
-    ids = verdict.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    i, d, own = (common.fresh(docs, c) for c in ("_id", "_sha", "_digest"))
+    ids = verdict.filter("kept").select(F.col("doc_id").alias(i), F.col("text_sha256").alias(d)).distinct()
     sha = F.sha2(normalised(docs["text"]).cast("binary"), 256)
-    once = docs.withColumn("_digest", sha).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_semi")
+    once = docs.withColumn(own, sha).join(ids, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(own) == F.col(d)), "left_semi")
     repeated = verdict.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").limit(1).count()
-    return (once.dropDuplicates(["doc_id", "_digest"]) if repeated else once).select(*docs.columns)
+    return (once.dropDuplicates(["doc_id", own]) if repeated else once).select(*docs.columns)
 
 
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:

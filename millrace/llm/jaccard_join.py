@@ -324,8 +324,9 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of docs that are first of their component, with their columns; rows without a doc_id stay."""
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = common.fresh(docs, "_gone")
+    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:

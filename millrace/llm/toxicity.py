@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, max_
             terms = [sorted(set().union(*map(terms_of, words_in(t)))) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(terms, pa.list_(pa.int32()))], ["doc_id", "y", "terms"])
 
-    sample = common.stored(docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text")
+    sample = common.stored(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text")
                            .mapInArrow(rows, "doc_id long, y int, terms array<int>"), "toxicity-sample")
     size = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     if len(size) < 2:

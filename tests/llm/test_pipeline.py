@@ -45,12 +45,13 @@ def sizes(rows):
 def test_stages_on_odd_tables(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(40)
     extra = spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "", "en", "s", 0), (10**6 + 1, "", "en", "s", 0), (None, "no id here", None, "s", 1)], docs.schema)
-    clash = [c for c in ("id", "rk", "row", "n_words", "matches", "_digest", "component")]
+    clash = [c for c in ("id", "rk", "row", "n_words", "matches", "_digest", "_gone", "_id", "y", "component")]
     odd = docs.unionByName(extra).selectExpr("*", *[f"1 as `{c}`" for c in clash])
     for table in (odd, odd.limit(0)):
         for name, stage in P.STAGES[:-1]:
             out = stage(spark, table, folder)
             assert out.columns == table.columns, name
+            assert all(r["_digest"] == 1 and r["_gone"] == 1 for r in out.collect() if table is odd)
             ids = [r["doc_id"] for r in out.collect()]
             if name in ("exact_dedup", "near_dedup") and table is odd:
                 assert None in ids and 10**6 in ids or name == "exact_dedup"

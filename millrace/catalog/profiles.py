@@ -89,7 +89,7 @@ SELECT 'priority' AS "column", "group", key, spellings, forms FROM (
     SELECT key, count(*) AS spellings, string_agg(v, '|' ORDER BY v) AS forms, min(place) AS place FROM (
       SELECT v, regexp_replace(lower(v), '[\\W_]+', '', 'g') AS key, row_number() OVER (ORDER BY n DESC, v) AS place
       FROM (SELECT priority AS v, count(*) AS n FROM dirty_orders WHERE priority IS NOT NULL GROUP BY 1))
-    WHERE place <= 500 GROUP BY key HAVING count(*) > 1)) WHERE "group" <= 5""")
+    GROUP BY key HAVING count(*) > 1))""")
 def _(t):
     d = counts.spelling_variants(t.view("dirty_orders"), ["priority"])
     return shown(d.withColumn("forms", F.concat_ws("|", "values")).drop("values"))

@@ -16,8 +16,9 @@ SSN = r"^\d{3}-\d{2}-\d{4}$"
 REDACT_EMAIL = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
 REDACT_DIGITS = r"\b(?:\d[ -]?){13,19}\b"
 REDACT_PHONE = r"\+?\d[\d\s().-]{7,17}\d"
-DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd",
-                "MM/dd/yyyy", "dd/MM/yyyy", "dd.MM.yyyy", "MM-dd-yyyy", "dd-MM-yyyy", "MMM d, yyyy", "d MMM yyyy"]
+DATE_FORMATS = ["yyyy/MM/dd[ HH:mm[:ss]]", "yyyy.MM.dd[ HH:mm[:ss]]", "MM/dd/yyyy[ HH:mm[:ss]]", "dd/MM/yyyy[ HH:mm[:ss]]", "dd.MM.yyyy[ HH:mm[:ss]]",
+                "MM-dd-yyyy[ HH:mm[:ss]]", "dd-MM-yyyy[ HH:mm[:ss]]", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy"]
+ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}([T ].+)?$"
 
 
 def strip(c: Column) -> Column:
@@ -57,9 +58,9 @@ def to_number(c: Column) -> Column:
 
 
 def to_timestamp(c: Column) -> Column:
-    """Dates written as text, tried format by format."""
+    """Dates written as text: ISO dates with or without time, fractions and zone, then other forms, one by one."""
     s = strip(c)
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in DATE_FORMATS])
+    return F.coalesce(F.when(s.rlike(ISO_DATE), s.try_cast("timestamp")), *[F.try_to_timestamp(s, F.lit(f)) for f in DATE_FORMATS])
 
 
 def spelling_key(c: Column) -> Column:

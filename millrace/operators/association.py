@@ -101,11 +101,11 @@ def chi_square_table(df: DataFrame, pairs: list[tuple]) -> DataFrame:
     return small_table(df.sparkSession, rows, "column_a string, column_b string, n long, chi2 double, p_value double, cramers_v double, cramers_v_plain double")
 
 
-def cramers_matrix(df: DataFrame, cols: list[str] | None = None, max_cols: int = 12) -> DataFrame:
-    """Plain V between categorical columns that have 2 to 50 values."""
+def cramers_matrix(df: DataFrame, cols: list[str] | None = None, max_cols: int | None = None, max_values: int | None = None) -> DataFrame:
+    """Plain V between categorical columns of two values or more; limits only where asked for."""
     cols = C.categorical(df) if cols is None else cols
     u = distinct_counts(df, cols)
-    cols = [c for c in cols if 2 <= u[c] <= 50][:max_cols]
+    cols = [c for c in cols if u[c] >= 2 and (max_values is None or u[c] <= max_values)][:max_cols]
     found = cramers(df, list(itertools.combinations(cols, 2)))
     return small_table(df.sparkSession, [{"column_a": a, "column_b": b, "value": d["v_plain"]} for (a, b), d in found.items()],
                        "column_a string, column_b string, value double")
@@ -251,11 +251,11 @@ def nmi_table(df: DataFrame, pairs: list[tuple], bins: int = 10) -> DataFrame:
                        "column_a string, column_b string, nmi double")
 
 
-def mixed_associations(df: DataFrame, num: list[str], cat: list[str], max_cols: int = 30) -> DataFrame:
+def mixed_associations(df: DataFrame, num: list[str], cat: list[str], max_cols: int | None = None, max_values: int | None = None) -> DataFrame:
     """(column_a, column_b, value 0 to 1, measure): |Spearman|, Cramer's V or eta, whichever fits the pair."""
     u = distinct_counts(df, cat)
-    num = C.most_filled(df, num, max_cols // 2 + max_cols % 2)
-    cat = C.most_filled(df, [c for c in cat if u[c] <= 50], max_cols // 2)
+    num = C.most_filled(df, num, max_cols and (max_cols + 1) // 2)
+    cat = C.most_filled(df, [c for c in cat if max_values is None or u[c] <= max_values], max_cols and max_cols // 2)
     rows = []
     numeric_pairs = list(itertools.combinations(num, 2))
     if numeric_pairs:
@@ -282,7 +282,7 @@ def with_strength(pairs: DataFrame, value: str) -> DataFrame:
     return pairs.withColumn("strength", N.strength_word(F.col(value)))
 
 
-def nonlinear_candidates(df: DataFrame, num: list[str], max_cols: int = 20, min_nmi: float = 0.15, max_pearson: float = 0.3) -> DataFrame:
+def nonlinear_candidates(df: DataFrame, num: list[str], max_cols: int | None = None, min_nmi: float = 0.15, max_pearson: float = 0.3) -> DataFrame:
     """Pairs with high mutual information and low Pearson correlation."""
     cols = C.most_filled(df, num, max_cols)
     pairs = list(itertools.combinations(cols, 2))
@@ -301,7 +301,7 @@ def correlation_matrix(df: DataFrame, exprs: dict[str, Column]) -> np.ndarray:
     return m
 
 
-def vif_table(df: DataFrame, num: list[str], max_cols: int = 30) -> DataFrame:
+def vif_table(df: DataFrame, num: list[str], max_cols: int | None = None) -> DataFrame:
     """Variance inflation: the diagonal of the inverse correlation matrix over complete rows."""
     cols = C.most_filled(df, num, max_cols)
     exprs = {c: C.as_numeric(df, c) for c in cols}
@@ -356,7 +356,7 @@ def pca_loadings(df: DataFrame, cols: list[str]) -> DataFrame:
     p = pca(df, cols)
     rows = [{"column": c, "pc1": float(a), "pc2": float(b)} for c, (a, b) in zip(p["columns"], p["loadings"])]
     rows.sort(key=lambda r: -abs(r["pc1"]))
-    return small_table(df.sparkSession, rows[:10], "column string, pc1 double, pc2 double")
+    return small_table(df.sparkSession, rows, "column string, pc1 double, pc2 double")
 
 
 def target_screen(df: DataFrame, target: str) -> DataFrame:

@@ -107,8 +107,8 @@ def by_role(df: DataFrame, target: str | None = None, roles: dict | None = None,
     return num, cat, when
 
 
-def most_filled(df: DataFrame, cols: list[str], k: int) -> list[str]:
-    """The k columns with most values among those that vary, ties in the given order."""
+def most_filled(df: DataFrame, cols: list[str], k: int | None = None) -> list[str]:
+    """Columns that vary, those with most values first, ties in the given order; k limits their number."""
     if not cols:
         return []
     aggs = []

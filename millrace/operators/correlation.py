@@ -78,7 +78,7 @@ def _pairs_table(df, found: dict, name: str) -> DataFrame:
     return small_table(df.sparkSession, rows, f"column_a string, column_b string, {name} double, n long")
 
 
-def pearson(df: DataFrame, cols: list[str] | None = None, max_cols: int = 40) -> DataFrame:
+def pearson(df: DataFrame, cols: list[str] | None = None, max_cols: int | None = None) -> DataFrame:
     """(column_a, column_b, pearson, n) for every pair of the fullest columns."""
     cols = C.most_filled(df, cols or C.numeric(df), max_cols)
     return _pairs_table(df, pair_corr(df, {c: C.as_numeric(df, c) for c in cols}), "pearson")
@@ -112,7 +112,7 @@ def with_ranks(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict[str, Col
     return out, {c: F.col(f"r{i}") for i, c in enumerate(cols)}
 
 
-def spearman(df: DataFrame, cols: list[str] | None = None, max_cols: int = 40) -> DataFrame:
+def spearman(df: DataFrame, cols: list[str] | None = None, max_cols: int | None = None) -> DataFrame:
     """Average ranks per column, then Pearson over the rows where both are present."""
     cols = C.most_filled(df, cols or C.numeric(df), max_cols)
     return _pairs_table(df, spearman_pairs(df, cols), "spearman")

@@ -47,14 +47,6 @@ def top_values(df: DataFrame, col: str, k: int) -> DataFrame:
             .orderBy(F.desc("n"), "value").limit(k))
 
 
-def modes(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column, mode, n): most frequent value, the smallest text first among equals."""
-    best = F.max_by(F.struct("value", "n"), F.struct("n"))
-    vc = value_counts(df, cols)
-    top = vc.groupBy("column").agg(F.max("n").alias("n"))
-    return (vc.join(F.broadcast(top), ["column", "n"]).groupBy("column", "n").agg(F.min("value").alias("mode")))
-
-
 def category_profile(df: DataFrame, cols: list[str], rare_pct: float = 1.0) -> DataFrame:
     """Count, missing share, distinct values, top value, normalised entropy, rare and single values."""
     rows = df.agg(F.count("*").alias("rows"),
@@ -83,19 +75,17 @@ def category_profile(df: DataFrame, cols: list[str], rare_pct: float = 1.0) -> D
         F.col("rare").alias("rare_categories"), F.col("singletons")))
 
 
-def spelling_variants(df: DataFrame, cols: list[str], groups: int = 5, top: int = 500) -> DataFrame:
-    """Spellings that agree once case and punctuation are ignored, among the most frequent values.
-
-    A group is one key with all its spellings; groups come in the order of their most frequent spelling.
-    """
+def spelling_variants(df: DataFrame, cols: list[str], groups: int | None = None, top: int | None = None) -> DataFrame:
+    """Spellings that agree once case and punctuation are ignored. A group is one key with all its spellings, numbered by
+    the rank of its most frequent one. Limits only where asked for: `top` values of each column, `groups` of each column."""
     from millrace.functions.text import spelling_key
-    frequent = frequent_values(value_counts(df, cols), top)
-    grouped = (frequent.groupBy("column", spelling_key(F.col("value")).alias("key"))
+    counted = value_counts(df, cols) if top is None else frequent_values(value_counts(df, cols), top)
+    grouped = (counted.groupBy("column", spelling_key(F.col("value")).alias("key"))
                .agg(F.count("*").alias("spellings"), F.sort_array(F.collect_list("value")).alias("values"),
-                    F.min("place").alias("place")).filter("spellings > 1"))
-    w = Window.partitionBy("column").orderBy("place")
-    return (grouped.withColumn("group", F.row_number().over(w)).filter(F.col("group") <= groups)
-            .select("column", "group", "key", "spellings", "values"))
+                    F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("first")).filter("spellings > 1"))
+    numbered = grouped.withColumn("group", F.row_number().over(Window.partitionBy("column").orderBy("first")))
+    out = numbered if groups is None else numbered.filter(F.col("group") <= groups)
+    return out.select("column", "group", "key", "spellings", "values")
 
 
 def frequent_values(vc: DataFrame, top: int) -> DataFrame:

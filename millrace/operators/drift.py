@@ -11,10 +11,9 @@ from millrace.operators import columns as C
 from millrace.operators.correlation import pair_corr
 from millrace.operators.counts import value_counts
 from millrace.operators.profile import duplicate_rows, moments, small_table
-from millrace.operators.quantiles import DISTINCT_BOUND, ROW_BOUND, exact_quantiles, folded
-from millrace.operators.ranks import cut_points, running_totals
+from millrace.operators.quantiles import exact_quantiles
+from millrace.operators.ranks import folded_ranges, totals_before
 
-MAX_NUM, MAX_CORR = 200, 40
 
 
 def schema_diff(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -86,81 +85,29 @@ def stability(a: DataFrame, b: DataFrame, cols: list[str], bins: int = 10) -> di
 
 
 def paired_shapes(a: DataFrame, b: DataFrame, cols: list[str], bins: int = 10, rows: int | None = None) -> dict[str, dict]:
-    """Medians, KS distance and stability index per column.
-
-    While both tables are bounded in rows, the value counts of a column fit one task and one job gives everything;
-    larger tables take the distributed route of each measure.
-    """
+    """Medians, KS distance and stability index per column, each measure in passes over all columns."""
     if not cols:
         return {}
     ea, eb = {c: C.as_numeric(a, c) for c in cols}, {c: C.as_numeric(b, c) for c in cols}
-    if (max(a.count(), b.count()) if rows is None else rows) > ROW_BOUND:
-        qa, qb = exact_quantiles(a, ea, [0.5]), exact_quantiles(b, eb, [0.5])
-        psi, ks = stability(a, b, cols, bins), ks_statistics(a, b, cols)
-        return {c: {"median_before": qa[c][0], "median_after": qb[c][0], "psi": psi[c], "ks": ks[c]} for c in cols}
-    sides = [folded(d, e).select("k", "v", *[F.lit(int(n == side)).alias(n) for n in ("na", "nb")]) for d, e, side in ((a, ea, "na"), (b, eb, "nb"))]
-    vc = sides[0].unionByName(sides[1]).groupBy("k", "v").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
-
-    def shapes(p):
-        import numpy as np
-        import pandas as pd
-        p = p.sort_values("v")
-        v, na, nb = p["v"].to_numpy(), p["na"].to_numpy(), p["nb"].to_numpy()
-        ua, ub = na.cumsum(), nb.cumsum()
-
-        def quantiles(upto, probs):
-            at = (upto[-1] - 1) * np.array(probs)
-            lo, hi = np.floor(at).astype(int), np.ceil(at).astype(int)
-            low, high = v[np.searchsorted(upto, lo, side="right")], v[np.searchsorted(upto, hi, side="right")]
-            return low + (high - low) * (at - lo)
-
-        out = {"k": p["k"].iloc[0], "median_before": None, "median_after": None, "ks": None, "psi": None}
-        if ua[-1] and ub[-1]:
-            out.update(median_before=quantiles(ua, [0.5])[0], median_after=quantiles(ub, [0.5])[0], ks=np.abs(ua / ua[-1] - ub / ub[-1]).max())
-            edges = np.unique(quantiles(ua, [i / bins for i in range(bins + 1)]))
-            if len(edges) >= 3 and ua[-1] >= 20 and ub[-1] >= 20:
-                bin_no = np.searchsorted(edges[1:-1], v, side="right")
-                x, y = (np.maximum(np.bincount(bin_no, w, len(edges) - 1) / w.sum(), 1e-4) for w in (na, nb))
-                out["psi"] = ((y - x) * np.log(y / x)).sum()
-        return pd.DataFrame([out])
-
-    schema = "k int, median_before double, median_after double, ks double, psi double"
-    found = {r["k"]: r.asDict() for r in vc.groupBy("k").applyInPandas(shapes, schema).collect()}
-    empty = {"median_before": None, "median_after": None, "ks": None, "psi": None}
-    plain = lambda v: None if v is None or math.isnan(v) else v
-    return {c: {n: plain(found.get(i, empty)[n]) for n in empty} for i, c in enumerate(cols)}
+    qa, qb = exact_quantiles(a, ea, [0.5]), exact_quantiles(b, eb, [0.5])
+    psi, ks = stability(a, b, cols, bins), ks_statistics(a, b, cols)
+    both = [c for c in cols if qa[c][0] is not None and qb[c][0] is not None]
+    return {c: {"median_before": qa[c][0] if c in both else None, "median_after": qb[c][0] if c in both else None, "psi": psi[c], "ks": ks[c]} for c in cols}
 
 
 def ks_statistics(a: DataFrame, b: DataFrame, cols: list[str]) -> dict[str, float | None]:
-    """Two-sample Kolmogorov-Smirnov distance per column, from running totals over distinct values.
-
-    Columns with a bounded number of distinct values share one pass; wider ones are cut in ranges one by one.
-    """
-    def counts(names):
-        parts = []
-        for d, side in ((a, "na"), (b, "nb")):
-            cells = F.array(*[F.struct(F.lit(c).alias("column"), C.as_numeric(d, c).alias("value")) for c in names])
-            one = d.select(F.explode(cells).alias("x")).select("x.*").filter("value is not null").groupBy("column", "value")
-            parts.append(one.agg(F.count("*").alias("n")).select("column", "value", *[(F.col("n") if side == s else F.lit(0)).alias(s) for s in ("na", "nb")]))
-        return parts[0].unionByName(parts[1]).groupBy("column", "value").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
-
-    def distance(table, edges, by):
-        t = running_totals(table, "value", ["na", "nb"], edges, by)
-        size = table.groupBy("column").agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
-        gap = F.abs((F.col("na_before") + F.col("na")) / F.col("ta") - (F.col("nb_before") + F.col("nb")) / F.col("tb"))
-        return t.join(F.broadcast(size), "column").groupBy("column").agg(F.max(F.when((F.col("ta") > 0) & (F.col("tb") > 0), gap)).alias("ks"))
-
+    """Two-sample Kolmogorov-Smirnov distance of all columns at once, from running totals over their distinct values."""
     if not cols:
         return {}
-    sizes = [d.agg(*[F.approx_count_distinct(C.as_numeric(d, c)) for c in cols]).first() for d in (a, b)]
-    small = [c for i, c in enumerate(cols) if sizes[0][i] + sizes[1][i] <= DISTINCT_BOUND]
-    out = {r["column"]: r["ks"] for r in distance(counts(small), [-math.inf, math.inf], ("column",)).collect()} if small else {}
-    for c in cols:
-        if c not in small:
-            table = counts([c])
-            for r in distance(table, cut_points(table, F.col("value")), ("column",)).collect():
-                out[c] = r["ks"]
-    return {c: out.get(c) for c in cols}
+    sides = [d.select(F.lit(n).alias("side"), *[C.as_numeric(d, c).alias(f"v{i}") for i, c in enumerate(cols)]) for n, d in enumerate((a, b))]
+    exprs = {c: F.col(f"v{i}") for i, c in enumerate(cols)}
+    table = (folded_ranges(sides[0].unionByName(sides[1]), exprs, ["side"]).groupBy("k", "range_id", "v")
+             .agg(F.sum(1 - F.col("side")).alias("na"), F.sum("side").alias("nb")))
+    size = table.groupBy("k").agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
+    gap = F.abs((F.col("na_before") + F.col("na")) / F.col("ta") - (F.col("nb_before") + F.col("nb")) / F.col("tb"))
+    found = (totals_before(table, ["na", "nb"]).join(F.broadcast(size), "k").filter("ta > 0 and tb > 0").groupBy("k").agg(F.max(gap).alias("ks")).collect())
+    out = {r["k"]: r["ks"] for r in found}
+    return {c: out.get(i) for i, c in enumerate(cols)}
 
 
 NUMERIC = ("column string, mean_before double, mean_after double, median_before double, median_after double, mean_shift_sd double, "
@@ -168,7 +115,7 @@ NUMERIC = ("column string, mean_before double, mean_after double, median_before
 
 
 def numeric_drift(a: DataFrame, b: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    cols = [c for c in (cols or a.columns) if c in b.columns and C.kind(a, c) == C.kind(b, c) == "numeric"][:MAX_NUM]
+    cols = [c for c in (cols or a.columns) if c in b.columns and C.kind(a, c) == C.kind(b, c) == "numeric"]
     ea, eb = {c: C.as_numeric(a, c) for c in cols}, {c: C.as_numeric(b, c) for c in cols}
     ma, mb = moments(a, ea), moments(b, eb)
     cols = [c for c in cols if ma[c]["n"] and mb[c]["n"]]
@@ -209,10 +156,10 @@ def categorical_drift(a: DataFrame, b: DataFrame, cols: list[str] | None = None)
     return facts.join(names, "column", "left").select("column", F.coalesce("new_categories", F.lit("")).alias("new_categories"), "n_new", "disappeared", "tvd")
 
 
-def correlation_change(a: DataFrame, b: DataFrame, at_least: float = 0.2, top: int = 15) -> DataFrame:
+def correlation_change(a: DataFrame, b: DataFrame, at_least: float = 0.2, top: int | None = None) -> DataFrame:
     cols = [c for c in a.columns if c in b.columns and C.kind(a, c) == C.kind(b, c) == "numeric"]
     m = moments(a, {c: C.as_numeric(a, c) for c in cols})
-    cols = sorted(cols, key=lambda c: -(m[c]["var"] or 0))[:MAX_CORR]
+    cols = sorted(cols, key=lambda c: -(m[c]["var"] or 0))
     pairs = list(itertools.combinations(cols, 2))
     ra, rb = (pair_corr(d, {c: C.as_numeric(d, c) for c in cols}, pairs) for d in (a, b))
     rows = []

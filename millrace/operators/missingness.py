@@ -13,8 +13,7 @@ from millrace.operators.association import cramers
 from millrace.operators.correlation import pair_corr
 from millrace.operators.counts import distinct_counts
 from millrace.operators.profile import small_table
-from millrace.operators.quantiles import ROW_BOUND
-from millrace.operators.ranks import cut_points, running_totals
+from millrace.operators.ranks import folded_ranges, totals_before
 
 
 def flags(df: DataFrame, cols: list[str]) -> dict:
@@ -35,7 +34,7 @@ def missing_per_column(df: DataFrame, counted: tuple | None = None) -> DataFrame
     return small_table(df.sparkSession, out, "column string, missing long, missing_pct double").orderBy(F.desc("missing_pct"), "column")
 
 
-def patterns(df: DataFrame, top: int = 10, max_cols: int = 40, counted: tuple | None = None) -> DataFrame:
+def patterns(df: DataFrame, top: int | None = None, max_cols: int | None = None, counted: tuple | None = None) -> DataFrame:
     """Rows that share the same set of missing columns, the most common sets first."""
     rows, m = counted or missing_counts(df)
     cols = [c for c in df.columns if m[c]][:max_cols]
@@ -44,11 +43,12 @@ def patterns(df: DataFrame, top: int = 10, max_cols: int = 40, counted: tuple |
     f = flags(df, cols)
     name = F.concat_ws(", ", *[F.when(f[c] == 1, F.lit(c)) for c in cols])
     name = F.when(name == "", "complete rows").otherwise(name)
-    return (df.select(name.alias("pattern")).groupBy("pattern").agg(F.count("*").alias("rows"))
-            .withColumn("share_pct", F.col("rows") / F.lit(rows) * 100).orderBy(F.desc("rows"), "pattern").limit(top))
+    out = (df.select(name.alias("pattern")).groupBy("pattern").agg(F.count("*").alias("rows"))
+           .withColumn("share_pct", F.col("rows") / F.lit(rows) * 100).orderBy(F.desc("rows"), "pattern"))
+    return out if top is None else out.limit(top)
 
 
-def co_missing(df: DataFrame, at_least: float = 0.3, max_cols: int = 40, counted: tuple | None = None) -> DataFrame:
+def co_missing(df: DataFrame, at_least: float = 0.3, max_cols: int | None = None, counted: tuple | None = None) -> DataFrame:
     """Phi between missing flags of two columns."""
     _, m = counted or missing_counts(df)
     cols = [c for c in df.columns if m[c]][:max_cols]
@@ -61,48 +61,26 @@ def co_missing(df: DataFrame, at_least: float = 0.3, max_cols: int = 40, counted
 def rank_tests(df: DataFrame, others: list[str], gaps: list[str], flag: dict, rows: int | None = None) -> dict[tuple, dict]:
     """Mann-Whitney of every other column between rows with and without a gap, {(other, gap column): result}.
 
-    A table of distinct values with the rows and the flagged rows of each serves every gap column, because the ranks
-    of a column do not depend on where the gaps are. Bounded tables handle all columns in one job.
+    One table of distinct values of all columns, with the rows and the flagged rows of each, serves every gap column,
+    because the ranks of a column do not depend on where the gaps are.
     """
     marks = [f"k{i}" for i in range(len(gaps))]
-    sums = [F.count("*").alias("n"), *[F.sum(k).alias(k) for k in marks]]
-    out: dict = {}
     if not others or not gaps:
-        return out
-    if (df.count() if rows is None else rows) <= ROW_BOUND:
-        cells = F.array(*[F.struct(F.lit(i).alias("col"), C.as_numeric(df, o).alias("v")) for i, o in enumerate(others)])
-        long = df.select(F.explode(cells).alias("x"), *[flag[g].alias(k) for g, k in zip(gaps, marks)]).select("x.*", *marks).filter("v is not null")
-        table = long.groupBy("col", "v").agg(*sums)
-        schema = "col int, n long, ties double, " + ", ".join(f"n_{k} long, r_{k} double, a_{k} long, b_{k} long" for k in marks)
-        for r in table.groupBy("col").applyInPandas(_rank_sums(marks), schema).collect():
-            out.update({(others[r["col"]], g): t for g, t in _mann_whitney(r, gaps, marks).items()})
-        return out
-    for o in others:
-        x = C.as_numeric(df, o)
-        values = df.select(x.alias("v"), *[flag[g].alias(k) for g, k in zip(gaps, marks)]).filter("v is not null").groupBy("v").agg(*sums)
-        ranked = running_totals(values, "v", ["n"], cut_points(df, x)).withColumn("rank", F.col("n_before") + (F.col("n") + 1) / 2)
-        aggs = [F.sum("n").alias("n"), F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("ties")]
-        for k in marks:
-            aggs += [F.sum(k).alias(f"n_{k}"), F.sum(F.col(k) * F.col("rank")).alias(f"r_{k}"), F.count(F.when(F.col(k) > 0, 1)).alias(f"a_{k}"),
-                     F.count(F.when(F.col(k) < F.col("n"), 1)).alias(f"b_{k}")]
-        out.update({(o, g): t for g, t in _mann_whitney(ranked.agg(*aggs).first(), gaps, marks).items()})
+        return {}
+    marked = df.select("*", *[flag[g].alias(k) for g, k in zip(gaps, marks)])
+    table = (folded_ranges(marked, {o: C.as_numeric(df, o) for o in others}, marks).groupBy("k", "range_id", "v")
+             .agg(F.count(F.lit(1)).alias("n"), *[F.sum(k).alias(k) for k in marks]))
+    ranked = totals_before(table, ["n"]).withColumn("rank", F.col("n_before") + (F.col("n") + 1) / 2)
+    aggs = [F.sum("n").alias("n"), F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("ties")]
+    for k in marks:
+        aggs += [F.sum(k).alias(f"n_{k}"), F.sum(F.col(k) * F.col("rank")).alias(f"r_{k}"), F.count(F.when(F.col(k) > 0, 1)).alias(f"a_{k}"),
+                 F.count(F.when(F.col(k) < F.col("n"), 1)).alias(f"b_{k}")]
+    out: dict = {}
+    for r in ranked.groupBy(F.col("k").alias("col")).agg(*aggs).collect():
+        out.update({(others[r["col"]], g): t for g, t in _mann_whitney(r, gaps, marks).items()})
     return out
 
 
-def _rank_sums(marks: list[str]):
-    """The sums a rank test needs, from the value counts of one column."""
-    def sums(p):
-        import pandas as pd
-        p = p.sort_values("v")
-        n = p["n"].astype(float)
-        rank = n.cumsum() - n + (n + 1) / 2
-        out = {"col": p["col"].iloc[0], "n": int(n.sum()), "ties": float((n ** 3 - n).sum())}
-        for k in marks:
-            out.update({f"n_{k}": int(p[k].sum()), f"r_{k}": float((p[k] * rank).sum()), f"a_{k}": int((p[k] > 0).sum()), f"b_{k}": int((p[k] < n).sum())})
-        return pd.DataFrame([out])
-    return sums
-
-
 def _mann_whitney(r, gaps: list[str], marks: list[str]) -> dict[str, dict]:
     out = {}
     for g, k in zip(gaps, marks):
@@ -120,7 +98,7 @@ def _mann_whitney(r, gaps: list[str], marks: list[str]) -> dict[str, dict]:
 RELATIONS = "column_with_gaps string, related_column string, test string, effect double, p_value double, suggests_dependence boolean"
 
 
-def relations(df: DataFrame, max_cols: int = 40, max_targets: int = 12, top: int = 25, counted: tuple | None = None) -> DataFrame:
+def relations(df: DataFrame, max_cols: int | None = None, max_targets: int | None = None, top: int | None = None, max_values: int | None = None, counted: tuple | None = None) -> DataFrame:
     """Whether gaps depend on other columns: rank tests against numbers, chi-square against categories."""
     rows, m = counted or missing_counts(df)
     flag = flags(df, df.columns)
@@ -129,7 +107,7 @@ def relations(df: DataFrame, max_cols: int = 40, max_targets: int = 12, top: int
     masked = df.select(*[F.when(flag[c] == 0, C.col(c)).alias(c) for c in df.columns])
     others = [c for c in df.columns if c not in C.numeric(df) and C.kind(df, c) != "nested"]
     u = distinct_counts(masked, others)
-    cats = [c for c in others if u[c] <= 30][:max_cols]
+    cats = [c for c in others if max_values is None or u[c] <= max_values][:max_cols]
     found = []
     found += [{"column_with_gaps": g, "related_column": o, "test": "Mann-Whitney", "effect": t["effect"], "p_value": t["p"]}
               for (o, g), t in rank_tests(df, nums, gaps, flag, rows).items() if o != g]

@@ -11,7 +11,7 @@ from millrace.functions import numeric as N
 from millrace.functions import significance as S
 from millrace.operators import columns as C
 from millrace.operators.counts import distinct_counts, value_counts
-from millrace.operators.quantiles import ROW_BOUND, exact_quantiles, folded
+from millrace.operators.quantiles import exact_quantiles, folded
 
 
 def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
@@ -87,45 +87,21 @@ def moments_count(df: DataFrame, exprs: dict[str, Column]) -> dict[str, int]:
 
 
 def shapes(df: DataFrame, exprs: dict[str, Column], rows: int | None = None) -> dict[str, dict]:
-    """Per column: n, different values, quartiles, the 1.5 IQR bounds and the values outside them.
-
-    While the table is bounded in rows, the value counts of a column fit one task and one job gives everything.
-    Larger tables take a pass per measure.
-    """
+    """Per column: n, different values (of the stored type where the name is a column), quartiles, the 1.5 IQR bounds and
+    the values outside them; a pass per measure for all columns."""
     if not exprs:
         return {}
-    rows = df.count() if rows is None else rows
-    if rows > ROW_BOUND:
-        f, u, n = fences(df, exprs), distinct_counts(df, exprs), moments_count(df, exprs)
-        out, _ = count_outside(df, exprs, {c: (f[c]["low"], f[c]["high"]) for c in exprs if f[c]["iqr"]})
-        return {c: {**f[c], "n": n[c], "unique": u[c], "outliers": out.get(c, 0)} for c in exprs}
-
-    def shape(p):
-        import numpy as np
-        import pandas as pd
-        p = p.sort_values("v")
-        v, n = p["v"].to_numpy(), p["n"].to_numpy()
-        upto = n.cumsum()
-        at = (upto[-1] - 1) * np.array([0.25, 0.5, 0.75])
-        lo, hi = np.floor(at).astype(int), np.ceil(at).astype(int)
-        low, high = v[np.searchsorted(upto, lo, side="right")], v[np.searchsorted(upto, hi, side="right")]
-        q1, q2, q3 = low + (high - low) * (at - lo)
-        reach = 1.5 * (q3 - q1)
-        out = int(n[(v < q1 - reach) | (v > q3 + reach)].sum()) if reach > 0 else 0
-        return pd.DataFrame([{"k": p["k"].iloc[0], "n": int(upto[-1]), "u": len(v), "q1": q1, "q2": q2, "q3": q3, "outliers": out}])
-
-    vc = folded(df, exprs).groupBy("k", "v").agg(F.count("*").alias("n"))
-    found = {r["k"]: r for r in vc.groupBy("k").applyInPandas(shape, "k int, n long, u long, q1 double, q2 double, q3 double, outliers long").collect()}
-    out = {}
-    for i, c in enumerate(exprs):
-        if i not in found:
-            out[c] = {"n": 0, "unique": 0, "outliers": 0, **dict.fromkeys(("q1", "median", "q3", "iqr", "low", "high"))}
-            continue
-        r = found[i]
-        iqr = r["q3"] - r["q1"]
-        out[c] = {"n": r["n"], "unique": r["u"], "outliers": r["outliers"], "q1": r["q1"], "median": r["q2"], "q3": r["q3"], "iqr": iqr,
-                  "low": r["q1"] - 1.5 * iqr, "high": r["q3"] + 1.5 * iqr}
-    return out
+    f, n = fences(df, exprs), moments_count(df, exprs)
+    u = distinct_counts(df, {c: stored_values(df, c, x) for c, x in exprs.items()})
+    out, _ = count_outside(df, exprs, {c: (f[c]["low"], f[c]["high"]) for c in exprs if f[c]["iqr"]})
+    return {c: {**f[c], "n": n[c], "unique": u[c], "outliers": out.get(c, 0)} for c in exprs}
+
+
+def stored_values(df: DataFrame, name: str, view: Column) -> Column:
+    """The column in its own type where its numeric view has a value: 64-bit and decimal values that a double cannot
+    tell apart stay different. Text and derived expressions keep the view."""
+    plain = name in df.columns and isinstance(df.schema[name].dataType, (T.IntegralType, T.DecimalType))
+    return F.when(view.isNotNull(), C.col(name)) if plain else view
 
 
 def iqr_outliers(df: DataFrame, cols: list[str], at_least: int = 4, rows: int | None = None) -> dict[str, dict]:
@@ -168,7 +144,7 @@ def normality(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = C.numeric(df) if cols is None else cols
     exprs = {c: C.as_numeric(df, c) for c in cols}
     m, rows = moments(df, exprs), []
-    few = {c for c, u in distinct_counts(df, exprs).items() if u <= 3}
+    few = {c for c, u in distinct_counts(df, {c: stored_values(df, c, x) for c, x in exprs.items()}).items() if u <= 3}
     for c in cols:
         if m[c]["n"] >= 20 and c not in few and m[c]["std"]:
             k2, p = S.dagostino_k2(m[c]["n"], m[c]["g1"], m[c]["g2"])

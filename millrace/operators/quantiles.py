@@ -1,9 +1,9 @@
-"""Exact quantiles that do not gather a column in one task.
+"""Exact quantiles of many columns together, by one plan at any size.
 
-While the number of distinct values is bounded, a column's value counts fit one task and are sorted there.
-Beyond the bound the rank is found by refinement: a few hundred pivots split the current bracket, a histogram
-over the pivots tells which piece holds the rank, and only that piece is looked at again. Every round is one
-map-side aggregation, and the result is the same value.
+A round narrows every open bracket of every column: approximate percentiles give a few hundred pivots for each bracket, a
+histogram over the pivots tells which piece holds each wanted rank. A pivot opens a piece of its own, so a repeated value
+ends its search at once. Pieces of few rows (the counts are exact) are read in one last job. Both jobs of a round are
+map-side aggregations for all columns at once; the number of rounds is the logarithm of the rows to the base of the pivots.
 """
 from __future__ import annotations
 
@@ -13,10 +13,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROW_BOUND = 1_000_000      # rows up to which value counts are small whatever they hold
-DISTINCT_BOUND = 250_000
-COLLECT_BOUND = 5_000
 PIVOTS = 400
+#: Rows that the last job may read over all columns.
+READ_ROWS = 200_000
 
 
 def folded(df: DataFrame, exprs: dict[str, Column], nulls: bool = False, weight: str | None = None) -> DataFrame:
@@ -27,86 +26,112 @@ def folded(df: DataFrame, exprs: dict[str, Column], nulls: bool = False, weight:
     return long if nulls else long.filter("v is not null")
 
 
-def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float], weight: str | None = None,
-                    bound: int | None = None, rows: int | None = None) -> dict[str, list]:
-    """Linearly interpolated quantiles per named double expression; None where the expression is all NULL.
-
-    A table of few rows, or a column of few distinct values, goes through its value counts; others are refined.
-    `rows` saves a count where the caller knows the size.
-    """
+def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float], weight: str | None = None) -> dict[str, list]:
+    """Linearly interpolated quantiles per named double expression; None where the expression is all NULL."""
     if not exprs:
         return {}
     names = list(exprs)
-    small, n = set(range(len(names))), {}
-    if bound is not None or (df.count() if rows is None else rows) > ROW_BOUND:
-        limit = DISTINCT_BOUND if bound is None else bound
-        size = {r["k"]: r for r in folded(df, exprs, weight=weight).groupBy("k").agg(
-            F.approx_count_distinct("v").alias("u"), F.sum("w" if weight else F.lit(1)).alias("n")).collect()}
-        small = {i for i in small if i not in size or size[i]["u"] <= limit}
-        n = {i: int(r["n"]) for i, r in size.items()}
+    data = _columns(df, [exprs[c] for c in names], weight)
+    found = _pivots(data, [(i, -math.inf, math.inf) for i in range(len(names))])
+    places, ranks = {}, {}
+    for i, (n, _) in enumerate(found):
+        places[i] = [(n - 1) * p for p in probs] if n else []
+        ranks[i] = {r for h in places[i] for r in (math.floor(h), math.ceil(h))}
+    at = _search(data, ranks, {i: p for i, (_, p) in enumerate(found)})
     out: dict[str, list] = {}
-    few = {names[i]: exprs[names[i]] for i in sorted(small)}
-    if few:
-        vc = folded(df, few, weight=weight).groupBy("k", "v").agg(F.sum("w" if weight else F.lit(1)).cast("long").alias("n")).filter("n > 0")
-        rows = vc.groupBy("k").applyInPandas(_from_counts(probs), "k int, q array<double>").collect()
-        found = {r["k"]: list(r["q"]) for r in rows}
-        out.update({c: found.get(i, [None] * len(probs)) for i, c in enumerate(few)})
-    for i, k in enumerate(names):
-        if k in out:
-            continue
-        places = [(n[i] - 1) * p for p in probs]
-        ranks = sorted({r for h in places for r in (math.floor(h), math.ceil(h))})
-        at = order_statistics(df, exprs[k], ranks, weight)
-        out[k] = [at[math.floor(h)] + (at[math.ceil(h)] - at[math.floor(h)]) * (h - math.floor(h)) for h in places]
+    for i, c in enumerate(names):
+        low = [at[i, math.floor(h)] for h in places[i]]
+        high = [at[i, math.ceil(h)] for h in places[i]]
+        out[c] = [a + (b - a) * (h - math.floor(h)) for a, b, h in zip(low, high, places[i])] or [None] * len(probs)
     return out
 
 
-def _from_counts(probs: list[float]):
-    """Quantiles of one column from its value counts; the counts of a column are bounded before they get here."""
-    def solve(p):
-        import numpy as np
-        import pandas as pd
-        order = np.argsort(p["v"].to_numpy())
-        v, upto = p["v"].to_numpy()[order], np.cumsum(p["n"].to_numpy()[order])
-        at = (upto[-1] - 1) * np.array(probs)
-        lo, hi = np.floor(at).astype(int), np.ceil(at).astype(int)
-        low, high = v[np.searchsorted(upto, lo, side="right")], v[np.searchsorted(upto, hi, side="right")]
-        return pd.DataFrame({"k": [p["k"].iloc[0]], "q": [low + (high - low) * (at - lo)]})
-    return solve
-
-
 def order_statistics(df: DataFrame, expr: Column, ranks: list[int], weight: str | None = None) -> dict[int, float]:
     """Values at 0-based ranks of the sorted non-null values."""
-    data = df.select(expr.cast("double").alias("v"),
-                     (F.col(weight) if weight else F.lit(1)).cast("long").alias("w")).filter("v is not null and w > 0")
-    found: dict[int, float] = {}
-    brackets = [(-math.inf, math.inf, 0, tuple(ranks))]
-    while brackets:
-        low, high, before, wanted = brackets.pop()
-        part = data.filter((F.col("v") >= low) & (F.col("v") < high)) if low > -math.inf or high < math.inf else data
-        probe = part.agg(F.approx_count_distinct("v").alias("u"),
-                         F.percentile_approx("v", [i / PIVOTS for i in range(1, PIVOTS)], 10_000).alias("p")).first()
-        pivots = sorted(set(probe["p"]))
-        if probe["u"] <= COLLECT_BOUND or len(pivots) < 2:
-            seen = before
-            want = sorted(wanted)
-            for r in part.groupBy("v").agg(F.sum("w").alias("w")).orderBy("v").collect():
-                seen += r["w"]
-                while want and want[0] < seen:
-                    found[want.pop(0)] = r["v"]
-            continue
-        # each pivot opens a piece, and a piece of its own where it repeats, so hot values end the search
-        edges = sorted(set([low, high] + [p for p in pivots if low < p < high]
-                           + [math.nextafter(p, math.inf) for p in pivots if low < math.nextafter(p, math.inf) < high]))
-        pieces = Bucketizer(splits=edges, inputCol="v", outputCol="piece").transform(part)
-        sums = {int(r["piece"]): r["w"] for r in pieces.groupBy("piece").agg(F.sum("w").alias("w")).collect()}
-        start = before
-        for i in range(len(edges) - 1):
-            stop = start + sums.get(i, 0)
-            inside = tuple(r for r in wanted if start <= r < stop)
-            if inside and math.nextafter(edges[i], math.inf) == edges[i + 1]:
-                found.update({r: edges[i] for r in inside})
-            elif inside:
-                brackets.append((edges[i], edges[i + 1], start, inside))
-            start = stop
+    data = _columns(df, [expr], weight)
+    (_, pivots), = _pivots(data, [(0, -math.inf, math.inf)])
+    return {r: v for (_, r), v in _search(data, {0: set(ranks)}, {0: pivots}).items()}
+
+
+def _columns(df: DataFrame, exprs: list[Column], weight: str | None) -> DataFrame:
+    """w, and c0, c1, ... as doubles; infinite values stay, NaN and rows without weight do not count."""
+    w = (F.col(weight) if weight else F.lit(1)).cast("long").alias("w")
+    return df.select(w, *[F.nanvl(x.cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, x in enumerate(exprs)]).filter("w > 0")
+
+
+def _inside(i: int, low: float, high: float) -> Column:
+    c = F.col(f"c{i}")
+    return c.isNotNull() & (c >= low) & ((c <= high) if math.isinf(high) else (c < high))
+
+
+def _pivots(data: DataFrame, brackets: list[tuple[int, float, float]]) -> list[tuple[int, list[float]]]:
+    """Weight and pivots of each bracket (column, low, high), in one aggregation."""
+    steps = [j / PIVOTS for j in range(PIVOTS + 1)]
+    aggs = []
+    for b, (i, low, high) in enumerate(brackets):
+        here = _inside(i, low, high)
+        aggs += [F.sum(F.when(here, F.col("w"))).alias(f"n{b}"), F.percentile_approx(F.when(here, F.col(f"c{i}")), steps, 4000).alias(f"p{b}")]
+    r = data.agg(*aggs).first()
+    return [(int(r[f"n{b}"] or 0), sorted(set(r[f"p{b}"] or []))) for b in range(len(brackets))]
+
+
+def _edges(low: float, high: float, pivots: list[float]) -> list[float]:
+    after = [math.nextafter(p, math.inf) for p in pivots]
+    return sorted({low, high, *(x for x in pivots + after if low < x < high)})
+
+
+def _search(data: DataFrame, ranks: dict[int, set[int]], first: dict[int, list[float]]) -> dict[tuple[int, int], float]:
+    """(column, rank) -> value."""
+    found: dict[tuple[int, int], float] = {}
+    open_ = {i: [(-math.inf, math.inf, 0, sorted(r), first[i])] for i, r in ranks.items() if r}
+    while open_:
+        splits = {}
+        for i, brackets in open_.items():
+            edges = {-math.inf, math.inf}
+            for low, high, _, _, pivots in brackets:
+                edges.update(_edges(low, high, pivots))
+            splits[i] = sorted(edges)
+        cols = sorted(splits)
+        cut = Bucketizer(splitsArray=[splits[i] for i in cols], inputCols=[f"c{i}" for i in cols], outputCols=[f"b{i}" for i in cols], handleInvalid="keep").transform(data)
+        cells = F.array(*[F.struct(F.lit(i).alias("k"), F.when(F.col(f"c{i}").isNotNull(), F.col(f"b{i}").cast("int")).alias("piece")) for i in cols])
+        sums: dict[tuple[int, int], int] = {(r["k"], r["piece"]): r["n"] for r in cut.select("w", F.explode(cells).alias("x")).select("w", "x.*").filter("piece is not null")
+                                            .groupBy("k", "piece").agg(F.sum("w").alias("n")).collect()}
+        left = []
+        for i, brackets in open_.items():
+            for low, high, before, wanted, pivots in brackets:
+                at, start = splits[i].index(low), before
+                for low_, high_ in zip(splits[i][at:], splits[i][at + 1:splits[i].index(high) + 1]):
+                    stop = start + sums.get((i, at), 0)
+                    inside = [r for r in wanted if start <= r < stop]
+                    if inside and (math.nextafter(low_, math.inf) == high_ or low_ == math.inf):
+                        found.update({(i, r): low_ for r in inside})
+                    elif inside:
+                        left.append((i, low_, high_, start, inside, stop - start))
+                    start, at = stop, at + 1
+        most = READ_ROWS // max(1, len(left))
+        found.update(_read(data, [x for x in left if x[5] <= most]))
+        wide = [x for x in left if x[5] > most]
+        open_ = {}
+        if wide:
+            for (i, low, high, start, inside, _), (_, pivots) in zip(wide, _pivots(data, [x[:3] for x in wide])):
+                open_.setdefault(i, []).append((low, high, start, inside, pivots))
     return found
+
+
+def _read(data: DataFrame, pieces: list[tuple]) -> dict[tuple[int, int], float]:
+    """Ranks inside pieces of few rows, from their value counts in one job."""
+    if not pieces:
+        return {}
+    cells = F.array(*[F.struct(F.lit(b).alias("b"), F.when(_inside(i, low, high), F.col(f"c{i}")).alias("v")) for b, (i, low, high, *_) in enumerate(pieces)])
+    rows = data.select("w", F.explode(cells).alias("x")).select("w", "x.*").filter("v is not null").groupBy("b", "v").agg(F.sum("w").alias("n")).collect()
+    out = {}
+    by: dict[int, list] = {}
+    for r in rows:
+        by.setdefault(r["b"], []).append((r["v"], r["n"]))
+    for b, (i, _, _, start, wanted, _) in enumerate(pieces):
+        want = sorted(wanted)
+        for v, n in sorted(by.get(b, [])):
+            start += n
+            while want and want[0] < start:
+                out[i, want.pop(0)] = v
+    return out

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGE_ROWS = 200_000
-MAX_RANGES = 4_000
+#: Edges are literals of the plan. Beyond 10 billion distinct values ranges grow; their windows sort and spill.
+MAX_RANGES = 50_000
 
 
 def cut_points(df: DataFrame, expr: Column, rows_per_range: int = RANGE_ROWS, hot: bool = False) -> list[float]:
@@ -51,6 +52,32 @@ def running_totals(table: DataFrame, value: str, totals: list[str], edges: list[
     return out.select(*table.columns, *[F.col(f"{t}_in").alias(f"{t}_before") for t in totals])
 
 
+def folded_ranges(df: DataFrame, exprs: dict[str, Column], extras: list[str] = ()) -> DataFrame:
+    """(k, range_id, v, extras): all columns folded, each value in a range of its own column. The edges of all columns come
+    from two aggregations, whatever their number."""
+    wide = df.select(*extras, *[x.cast("double").alias(f"c{i}") for i, x in enumerate(exprs.values())])
+    cols = [f"c{i}" for i in range(len(exprs))]
+    sizes = wide.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
+    ranges = {c: min(MAX_RANGES, math.ceil(sizes[c] / RANGE_ROWS)) for c in cols}
+    long = {c: n for c, n in ranges.items() if n > 1}
+    if long:
+        found = wide.agg(*[F.percentile_approx(c, [i / n for i in range(1, n)], max(10_000, 4 * n)).alias(c) for c, n in long.items()]).first()
+        wide = Bucketizer(splitsArray=[sorted({-math.inf, math.inf, *found[c]}) for c in long], inputCols=list(long),
+                          outputCols=[f"r_{c}" for c in long], handleInvalid="keep").transform(wide)
+    cells = F.array(*[F.struct(F.lit(i).alias("k"), (F.col(f"r_{c}") if c in long else F.lit(0.0)).alias("range_id"), F.col(c).alias("v")) for i, c in enumerate(cols)])
+    return wide.select(*extras, F.explode(cells).alias("x")).select("x.*", *extras).filter("v is not null")
+
+
+def totals_before(table: DataFrame, totals: list[str]) -> DataFrame:
+    """Adds `<t>_before` to value counts over folded ranges: the sum of t over smaller values of the same column."""
+    inside = Window.partitionBy("k", "range_id").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("k").orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (table.groupBy("k", "range_id").agg(*[F.sum(t).alias(f"{t}_sum") for t in totals])
+               .select("k", "range_id", *[F.coalesce(F.sum(f"{t}_sum").over(earlier), F.lit(0)).alias(f"{t}_off") for t in totals]))
+    out = table.select("*", *[F.coalesce(F.sum(t).over(inside), F.lit(0)).alias(f"{t}_in") for t in totals]).join(offsets, ["k", "range_id"])
+    return out.select(*table.columns, *[(F.col(f"{t}_in") + F.col(f"{t}_off")).alias(f"{t}_before") for t in totals])
+
+
 def average_ranks(df: DataFrame, expr: Column, rows_per_range: int = RANGE_ROWS) -> DataFrame:
     """(value, n, rank): 1-based rank of every distinct value, ties sharing their average."""
     edges = cut_points(df, expr, rows_per_range)

@@ -202,7 +202,7 @@ def regression(df: DataFrame, target: str, roles: dict | None = None, key: str |
         if r["pearson"] is not None and abs(r["pearson"]) >= 0.98:
             flags.append(("warning", "possible leakage", r["feature"], r["pearson"]))
     keep = [c for c in (key, target) if c]
-    varied = [c for c, u in distinct_counts(df, num).items() if u > 2][:30]
+    varied = [c for c, u in distinct_counts(df, num).items() if u > 2]
     far = leverage(df, varied, [key] if key else [target]) if len(varied) >= 2 else None
     if far is not None and not far.isEmpty():
         flags.append(("info", "high leverage rows", target, far.count()))
@@ -257,7 +257,7 @@ def timeseries(df: DataFrame, target: str, time_col: str, tie: str, max_lag: int
 
 def unsupervised(df: DataFrame, roles: dict | None = None) -> dict:
     num, cat, _ = C.by_role(df, None, roles)
-    cols = [c for c, u in distinct_counts(df, num).items() if u > 2][:60]
+    cols = [c for c, u in distinct_counts(df, num).items() if u > 2]
     flags, table = [], None
     whole = df.select(*[C.as_numeric(df, c).alias(c) for c in cols]).dropna() if cols else None
     if len(cols) >= 2 and whole.count() > len(cols):
@@ -265,11 +265,11 @@ def unsupervised(df: DataFrame, roles: dict | None = None) -> dict:
         if max(spread) / max(min(spread), 1e-12) > 10:
             flags.append(("warning", "very different scales", "", max(spread) / min(spread)))
         p = A.pca(whole, cols)
-        table = A.pca_table(whole, cols, p).filter("component <= 15")
+        table = A.pca_table(whole, cols, p)
         flags.append(("info", "components for 90 %", "", p["components_90"]))
         twins = sum(r is not None and abs(r) >= 0.9 for r, _ in pair_corr(whole, {c: C.col(c) for c in cols}).values())
         if twins:
-            flags.append(("info", "almost duplicate pairs", "", min(twins, 5)))
+            flags.append(("info", "almost duplicate pairs", "", twins))
     if cat:
         flags.append(("info", "columns to encode", "", len(cat)))
     return {"kind": "Unsupervised", "flags": flag_table(df.sparkSession, flags), "pca": table}

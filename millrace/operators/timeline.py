@@ -90,7 +90,7 @@ def in_time_order(df: DataFrame, t: Column, y: Column, tie: Column) -> DataFrame
 def trends(df: DataFrame, name: str, value_cols: list[str], tie: str) -> DataFrame:
     """Spearman of each value column against its position in time."""
     rows = []
-    for c in value_cols[:8]:
+    for c in value_cols:
         d = in_time_order(df, as_seconds(df, name), C.as_numeric(df, c), C.col(tie)).filter("y is not null")
         ranked, exprs = with_ranks(d, ["i", "y"])
         rho, n = pair_corr(ranked, exprs)[("i", "y")]
@@ -134,4 +134,4 @@ def autocorrelation(series: DataFrame, max_lag: int = 60) -> DataFrame:
 def seasonal_lags(acf: list) -> list[int]:
     """Lags above 0.3 that are no lower than both neighbours; the first lag has no left neighbour and never counts."""
     v = [r["autocorrelation"] for r in sorted(acf, key=lambda r: r["lag"])]
-    return [i + 1 for i in range(1, len(v)) if v[i] > 0.3 and v[i] >= v[i - 1] and (i + 1 == len(v) or v[i] >= v[i + 1])][:5]
+    return [i + 1 for i in range(1, len(v)) if v[i] > 0.3 and v[i] >= v[i - 1] and (i + 1 == len(v) or v[i] >= v[i + 1])]

@@ -18,14 +18,12 @@ def default_settings(target_is_class: bool = True) -> dict:
 
 
 def merged(base: dict, patch: dict) -> dict:
-    """Nested dicts merge, lists unite in order, anything else is replaced. Neither input changes."""
-    out = copy.deepcopy(base)
-    for key, new in patch.items():
-        old = out.get(key)
-        if isinstance(new, dict) and isinstance(old, dict):
-            out[key] = merged(old, new)
-        elif isinstance(new, list) and isinstance(old, list):
-            out[key] = old + [x for x in new if x not in old]
-        else:
-            out[key] = copy.deepcopy(new)
-    return out
+    """base with patch laid over it: dicts by key, lists as ordered unions, other values replaced. Both stay as they are."""
+    def over(old, new):
+        if isinstance(old, dict) and isinstance(new, dict):
+            return {k: over(old[k], new[k]) if k in old and k in new else copy.deepcopy(new.get(k, old.get(k))) for k in {**old, **new}}
+        if isinstance(old, list) and isinstance(new, list):
+            return copy.deepcopy(old) + [copy.deepcopy(x) for x in new if x not in old]
+        return copy.deepcopy(new)
+
+    return over(base, patch)

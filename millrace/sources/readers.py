@@ -59,10 +59,21 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = ",", header: bool
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """One array of records, or one record per line; only the latter splits into tasks."""
-    first = next((line.strip() for line in _head(spark, path, 20) if line.strip()), "")
-    return spark.read.option("multiLine", first.startswith("[") or first == "{").json(path)
+def read_json(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """One record per line (splits into tasks), or one array or record over several lines (one task for each file).
+
+    Without `multi_line` all lines are looked at: if each is a record, it is the first layout; if the first line is none, the
+    second. A file whose first line is a record and others are not is refused with their number.
+    """
+    if multi_line is None:
+        lines = spark.read.text(path).filter(X.strip(F.col("value")) != "")
+        record = X.strip(F.col("value")).startswith("{") & F.try_parse_json("value").isNotNull()
+        r = lines.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~record, 1)).alias("other")).first()
+        head = lines.select(record.alias("record")).limit(1).collect()
+        multi_line = bool(head) and not head[0]["record"]
+        if r["other"] and not multi_line:
+            raise ValueError(f"{r['other']} of {r['n']} lines are no JSON records")
+    return spark.read.option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
 
 
 def read_table(spark: SparkSession, path: str, kind: str | None = None, sep: str | None = None, header: bool = True,

@@ -21,22 +21,35 @@ def skewed(spark):
     return spark.createDataFrame(pdf).repartition(5).persist(), pdf
 
 
-def test_refined_quantiles_equal_numpy(skewed, monkeypatch):
+@pytest.mark.parametrize("pivots, read", [(400, 200_000), (7, 60)])
+def test_quantiles_equal_numpy(skewed, monkeypatch, pivots, read):
     df, pdf = skewed
-    monkeypatch.setattr(quantiles, "COLLECT_BOUND", 20)
-    monkeypatch.setattr(quantiles, "PIVOTS", 7)
+    monkeypatch.setattr(quantiles, "READ_ROWS", read)
+    monkeypatch.setattr(quantiles, "PIVOTS", pivots)
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = quantiles.exact_quantiles(df, {"x": F.col("x"), "y": F.col("y")}, probs, bound=10)
-    for c in ("x", "y"):
+    zeros = F.when(F.col("id") % 500 == 0, F.col("x")).otherwise(0.0)  # 99.8 % zeros
+    got = quantiles.exact_quantiles(df, {"x": F.col("x"), "y": F.col("y"), "z": zeros, "none": F.lit(None)}, probs)
+    pdf = pdf.assign(z=np.where(pdf["id"] % 500 == 0, pdf["x"], 0.0))
+    for c in ("x", "y", "z"):
         assert np.allclose(got[c], np.quantile(pdf[c], probs), rtol=0, atol=1e-12)
+    assert got["none"] == [None] * 7
 
 
 def test_weighted_quantiles(spark):
-    df = spark.createDataFrame([(1.0, 3), (5.0, 1), (9.0, 2)], "v double, w long")
-    want = np.quantile([1, 1, 1, 5, 9, 9], [0.25, 0.5, 0.75])
-    for bound in (None, 1):
-        got = quantiles.exact_quantiles(df, {"v": F.col("v")}, [0.25, 0.5, 0.75], weight="w", bound=bound)["v"]
-        assert np.allclose(got, want)
+    df = spark.createDataFrame([(1.0, 3), (5.0, 1), (9.0, 2), (float("inf"), 0), (None, 4)], "v double, w long")
+    got = quantiles.exact_quantiles(df, {"v": F.col("v")}, [0.25, 0.5, 0.75], weight="w")["v"]
+    assert np.allclose(got, np.quantile([1, 1, 1, 5, 9, 9], [0.25, 0.5, 0.75]))
+
+
+def test_jobs_of_a_quantile_call_do_not_follow_columns(skewed, spark):
+    df, _ = skewed
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(n):
+        spark.sparkContext.setJobGroup(f"columns-{n}", "")
+        quantiles.exact_quantiles(df, {f"c{i}": F.col("x") + i for i in range(n)}, [0.25, 0.5, 0.75])
+        return len(tracker.getJobIdsForGroup(f"columns-{n}"))
+    assert jobs(6) == jobs(2)
 
 
 def test_average_ranks_over_many_ranges(skewed):
@@ -93,25 +106,28 @@ def test_drift_routes_agree(skewed):
         assert abs(one[c]["psi"] - psi[c]) < 1e-12
 
 
-def test_ks_over_ranges(skewed, monkeypatch):
-    df, _ = skewed
-    a, b = df.filter("id < 1500"), df.filter("id >= 1500")
-    want = drift.ks_statistics(a, b, ["x"])["x"]
-    monkeypatch.setattr(drift, "DISTINCT_BOUND", 10)
-    monkeypatch.setattr(ranks.cut_points, "__defaults__", (60, False))
-    assert abs(drift.ks_statistics(a, b, ["x"])["x"] - want) < 1e-12
+@pytest.mark.parametrize("size", [200_000, 60])
+def test_ks_over_ranges(skewed, monkeypatch, size):
+    df, pdf = skewed
+    monkeypatch.setattr(ranks, "RANGE_ROWS", size)
+    got = drift.ks_statistics(df.filter("id < 1500"), df.filter("id >= 1500"), ["x", "y"])
+    for c in ("x", "y"):
+        a, b, grid = np.sort(pdf[c][:1500]), np.sort(pdf[c][1500:]), pdf[c].to_numpy()
+        want = np.abs(np.searchsorted(a, grid, "right") / len(a) - np.searchsorted(b, grid, "right") / len(b)).max()
+        assert abs(got[c] - want) < 1e-12
 
 
-def test_rank_test_routes_agree(skewed, monkeypatch):
-    df, _ = skewed
+@pytest.mark.parametrize("size", [200_000, 60])
+def test_rank_tests_over_ranges(skewed, monkeypatch, size):
+    df, pdf = skewed
+    monkeypatch.setattr(ranks, "RANGE_ROWS", size)
     d = df.withColumn("g", F.when(F.col("x") > 2, None).otherwise(F.col("y")))
-    flag = missingness.flags(d, ["g"])
-    one = missingness.rank_tests(d, ["x", "y"], ["g"], flag)
-    monkeypatch.setattr(missingness, "ROW_BOUND", 0)
-    other = missingness.rank_tests(d, ["x", "y"], ["g"], flag)
-    assert one.keys() == other.keys() and len(one) == 2
-    for k in one:
-        assert abs(one[k]["effect"] - other[k]["effect"]) < 1e-12
+    got = missingness.rank_tests(d, ["x", "y"], ["g"], missingness.flags(d, ["g"]))
+    gap = pdf["x"] > 2
+    for c in ("x", "y"):
+        u = pdf[c].rank()[gap].sum() - gap.sum() * (gap.sum() + 1) / 2
+        want = 2 * u / (gap.sum() * (~gap).sum()) - 1
+        assert abs(abs(got[c, "g"]["effect"]) - abs(want)) < 1e-9
 
 
 def test_spearman_with_joined_rank_tables(skewed, monkeypatch):
@@ -197,10 +213,7 @@ def test_cell_routes_agree(spark, monkeypatch):
         assert abs(v - other[2][k]) < 1e-12
 
 
-def test_profile_routes_agree(skewed, monkeypatch):
+def test_profile_counts_wide_ids(spark):
     from millrace.operators import profile
-    df, _ = skewed
-    d = df.withColumn("gap", F.when(F.col("id") % 3 != 0, F.col("y"))).withColumn("none", F.lit(None).cast("double"))
-    one = profile.numeric_profile(d, ["x", "y", "gap", "none"]).collect()
-    monkeypatch.setattr(profile, "ROW_BOUND", 0)
-    assert profile.numeric_profile(d, ["x", "y", "gap", "none"]).collect() == one
+    df = spark.range(1000).select((F.col("id") + (1 << 60)).alias("wide"), (F.col("id").cast("decimal(38,20)") / 10**9).alias("fine"))
+    assert [r["unique"] for r in profile.numeric_profile(df).collect()] == [1000, 1000]

@@ -50,6 +50,14 @@ def _(t):
     return shown(profile.numeric_profile(t.view("dirty_orders"), ["price", "amount", "sparse"]).drop("normality_p", "shape"), *SIX)
 
 
+@query("d1_numeric_profile_wide_ids", """
+SELECT 'wide' AS "column", count(o_orderkey) AS "count", count(DISTINCT o_orderkey) AS "unique" FROM orders
+UNION ALL SELECT 'fine', count(o_orderkey), count(DISTINCT o_orderkey) FROM orders""")
+def _(t):
+    df = t.sql("SELECT CAST(o_orderkey AS BIGINT) + 1152921504606846976 AS wide, CAST(o_orderkey AS DECIMAL(20, 0)) / 1000000007.0 + 123456789012 AS fine FROM {orders}")
+    return profile.numeric_profile(df.withColumn("fine", F.col("fine").cast("decimal(38,15)")), ["wide", "fine"]).select("column", "count", "unique")
+
+
 @query("d2_normality")
 def _(t):
     return shown(profile.normality(t.lineitem, LINE_NUM), "p_value")

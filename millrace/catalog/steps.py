@@ -198,6 +198,18 @@ def _(t):
     return shown(fitted(P.Encoder(), cast))
 
 
+# one written form for each remainder of the key, all of the same moment
+DATE_FORMS = ["yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "yyyy-MM-dd'T'HH:mm:ss'+00:00'", "yyyy-MM-dd HH:mm:ss.S", "dd-MMM-yyyy", "MMMM d, yyyy", "yyyy/MM/dd HH:mm:ss"]
+
+
+@query("b31_role_caster_dates", """
+SELECT o_orderkey, year(o_orderdate) AS d_year, month(o_orderdate) AS d_month, day(o_orderdate) AS d_day, isodow(o_orderdate) - 1 AS d_weekday FROM orders""")
+def _(t):
+    form = F.element_at(F.array(*[F.date_format("o_orderdate", f) for f in DATE_FORMS]), (F.col("o_orderkey") % len(DATE_FORMS) + 1).cast("int"))
+    df = t.orders.select("o_orderkey", form.alias("d"))
+    return shown(fitted(P.Encoder(), fitted(P.RoleCaster(types={"d": "datetime"}), df)))
+
+
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 

@@ -9,6 +9,7 @@ from millrace.catalog.steps import ORDERS_TRAIN, SCALED_OUT, pipeline_sql
 from millrace.operators import identity, running
 from millrace.operators.contract import infer_contract
 from millrace.operators.profile import small_table
+from millrace.operators.sampling import split_frame
 from millrace.plans import lab, spec
 from millrace.plans.pipeline import build_pipeline
 from millrace.plans.settings import default_settings, merged
@@ -54,6 +55,16 @@ def _(t):
     return roundtrip(t, "json", "json")
 
 
+@query("a4_read_json_pretty", "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey FROM customer")
+def _(t):
+    # each file of this folder is one array of records written over several lines
+    path = jobs.scratch(t.spark, "pretty")
+    part = F.pmod(F.col("c_custkey"), F.lit(16))
+    record = F.concat(F.lit('{"c_custkey": '), F.col("c_custkey"), F.lit(',\n "c_name": "'), F.col("c_name"), F.lit('",\n "c_nationkey": '), F.col("c_nationkey"), F.lit("}"))
+    t.customer.groupBy(part.alias("part")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(record), ",\n"), F.lit("\n]")).alias("value")).select("part", "value").write.partitionBy("part").text(path)
+    return shown(readers.read_json(t.spark, path).drop("part"))
+
+
 @query("a5_read_parquet", "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, " + s9("c_acctbal") + " AS c_acctbal, c_mktsegment FROM customer")
 def _(t):
     return shown(readers.read_table(t.spark, f"{t.folder}/customer.parquet"))
@@ -179,6 +190,14 @@ def _(t):
     return sizes[0].unionByName(sizes[1]).unionByName(sizes[2])
 
 
+@query("k7_refit_seed_zero", DIRTY + """SELECT id FROM (
+  SELECT id, count(*) OVER (PARTITION BY status) AS n, row_number() OVER (PARTITION BY status ORDER BY md5(concat_ws('|', '0', CAST(id AS VARCHAR)))) AS rn
+  FROM dirty_orders WHERE status IS NOT NULL) WHERE rn <= round_even(n * 20 / 100.0, 0)""")
+def _(t):
+    how = spec.split_of(saved(t, test_pct=20, val_pct=0, seed=0, stratify=True, key="id")["split"])
+    return split_frame(t.view("dirty_orders"), "status", how["test_pct"], how["val_pct"], how["seed"], how["stratify"], how["key"]).test.select("id")
+
+
 @query("k8_default_settings")
 def _(t):
     kind = lab.is_classification(t.orders, "o_orderstatus")

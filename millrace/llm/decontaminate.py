@@ -1,6 +1,6 @@
 """Benchmark decontamination by suffix arrays of the training texts.
 
-Each task turns what it reads into shards of a few megabytes and builds a word-level suffix array of each shard (sorted to
+Each task turns what it reads into shards of about a megabyte and builds a word-level suffix array of each shard (sorted to
 the depth of a window by packing ranks). Every test suffix that is long enough for a window is binary-searched in
 every shard; the interval it finds lists all places where the window occurs. Neighbouring windows on one diagonal are
 joined to longest verbatim matches with their places. Documents stay in the tasks that read them, nothing is shuffled.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from millrace.llm import common
 from millrace.llm.arrays import NOT_ALNUM, Words, chunks, union_length
 
-WINDOW, SHARD_BYTES, BLOCK_BYTES = 10, 4 << 20, 8 << 20
+WINDOW, SHARD_BYTES, BLOCK_BYTES = 10, 1 << 20, 8 << 20
 MATCHES = "array<struct<item:string,item_start:int,doc_start:int,n_words:int>>"
 MATCH_TYPE = pa.list_(pa.struct([("item", pa.string()), ("item_start", pa.int32()), ("doc_start", pa.int32()), ("n_words", pa.int32())]))
 

@@ -29,7 +29,7 @@ from millrace.llm.arrays import chunks
 
 TERM_BITS, TRAIN_ROWS, MAX_TERMS, LEAST_CHI2, FACTORS, EPOCHS = 18, 8000, 4096, 25.0, 8, 12
 WORD = re.compile(r"[^\W_]+")
-KEPT_WORDS = 200_000
+KEPT_WORDS = 150_000
 
 
 def terms_of(word: str) -> set[int]:

@@ -49,14 +49,13 @@ def row_key(text: str = "text") -> Column:
 def join_hot(left: DataFrame, right: DataFrame, keys: list[str], sizes: str, rows: int) -> DataFrame:
     """Left join with a table of one row for each key, in which `sizes` counts the rows of `left` with that key.
 
-    Keys with over a 500th of all `rows` are at most 500, so their part of `right` is broadcast and their rows never
-    meet in one task; the others are joined by a shuffle.
+    Keys with over a 500th of all `rows` are at most 500, so their part of `right` is broadcast, and their rows are dealt out by
+    a hash of the whole row instead of the key: none of them meets in one task. The others are joined by a shuffle.
     """
     bound = max(1, rows // HOT_SHARE)
-    some = [c for c in right.columns if c not in keys]
-    hot = right.filter(F.col(sizes) > bound).withColumn("_hot", F.lit(True))
-    rest = right.filter(F.col(sizes) <= bound)
-    tagged = left.join(F.broadcast(hot), keys, "left")
-    first = tagged.filter("_hot").select(*left.columns, *some)
-    other = tagged.filter("_hot is null").select(*left.columns).join(rest, keys, "left").select(*left.columns, *some)
-    return first.unionByName(other)
+    some, key = [c for c in right.columns if c not in keys], keys[0]
+    hot = right.filter(F.col(sizes) > bound).select(*keys, *[F.col(c).alias(f"_hot_{c}") for c in some], F.lit(True).alias("_hot"))
+    rest = right.filter(F.col(sizes) <= bound).withColumnRenamed(key, "_key")
+    dealt = F.when(F.col("_hot"), F.xxhash64(*left.columns).cast(left.schema[key].dataType)).otherwise(F.col(key))
+    both = left.join(F.broadcast(hot), keys, "left").withColumn("_key", dealt).join(rest, ["_key", *keys[1:]], "left")
+    return both.select(*left.columns, *[F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in some])

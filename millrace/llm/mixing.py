@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common
 
-BLOCK_ROWS, CYCLE, MAX_SOURCES, BUCKET_ROWS, SEED = 32, 1000, 1000, 50_000, 7
+BLOCK_ROWS, CYCLE, MAX_SOURCES, BUCKET_ROWS, SEED = 32, 1000, 1000, 4000, 7
 
 
 def shares(weights: list[float], cycle: int) -> list[int]:

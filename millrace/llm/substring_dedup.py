@@ -11,7 +11,7 @@ share its anchor. Documents are joined on anchors with partial aggregation, neve
 
 Windows whose first document has a smaller id are joined to maximal repeats of at least 50 words and cut out. A copied
 passage costs rows in proportion to its copies; a frequent anchor or window is aggregated before it is shuffled, and
-the joins back are split by adaptive execution.
+the joins back spread its rows over all tasks.
 
 Words are maximal runs of bytes other than white space, unchanged. Defined results: null and empty texts have no words; a
 null doc_id counts as the largest; rows that repeat a doc_id are judged each and are not smaller than each other;
@@ -42,9 +42,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[Da
     """The keyed documents and their repeated windows: id, rk, cuts (list of first window start and number of windows)."""
     rows = seeds.keyed(docs)
     anchors = seeds.anchor_rows(rows, word_units, gram, window)
-    shared = (anchors.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("context").alias("c1"), F.max("context").alias("c2"))
-              .filter("least < most").select("anchor", "least", (F.col("c1") != F.col("c2")).alias("mixed")))
-    hits = common.stored(anchors.join(shared, "anchor").filter("mixed or id > least").select("id", "rk", "low", "n", "mixed"), "seed-hits")
+    shared = common.stored(anchors.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("context").alias("c1"), F.max("context").alias("c2"), F.count(F.lit(1)).alias("times"))
+                           .filter("least < most").select("anchor", "least", "times", (F.col("c1") != F.col("c2")).alias("mixed")), "shared-anchors")
+    all_hits = common.join_hot(anchors.drop("context"), shared, ["anchor"], "times", shared.agg(F.sum("times")).first()[0] or 0)
+    hits = common.stored(all_hits.filter("mixed or id > least").select("id", "rk", "low", "n", "mixed"), "seed-hits")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
@@ -58,8 +59,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[Da
 
     open_ = hits.filter("mixed").groupBy("id", "rk").agg(F.collect_list(F.struct("low", "n")).alias("seeds"))
     windows = common.stored(rows.join(open_, ["id", "rk"]).select("id", "rk", "text", "seeds").mapInArrow(extend, "id long, rk long, low int, w1 long, w2 long"), "seed-windows")
-    first = windows.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").drop("most")
-    late = windows.join(first, ["w1", "w2"]).filter("id > least").select("id", "rk", "low", F.lit(1).alias("n"))
+    first = common.stored(windows.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("times"))
+                          .filter("least < most").drop("most"), "first-windows")
+    late = common.join_hot(windows, first, ["w1", "w2"], "times", windows.count()).filter("id > least").select("id", "rk", "low", F.lit(1).alias("n"))
     cuts = (hits.filter("not mixed").select("id", "rk", "low", "n").unionByName(late)
             .groupBy("id", "rk").agg(F.collect_list(F.struct("low", "n")).alias("cuts")))
     return rows, cuts

@@ -173,9 +173,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_rows:
     """The keyed documents and their repeated windows: id, rk, cuts (list of first window start and number of windows)."""
     rows = seeds.keyed(docs)
     anchors = seeds.anchor_rows(rows, byte_units, gram, window)
-    shared = (anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.min("context").alias("c1"), F.max("context").alias("c2"))
-              .filter("times > 1").select("anchor", (F.col("c1") != F.col("c2")).alias("mixed"), (F.col("times") > shard_rows).alias("frequent")))
-    hits = common.stored(anchors.join(shared, "anchor"), "anchor-hits")
+    shared = common.stored(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.min("context").alias("c1"), F.max("context").alias("c2"))
+                           .filter("times > 1").select("anchor", "times", (F.col("c1") != F.col("c2")).alias("mixed"), (F.col("times") > shard_rows).alias("frequent")), "shared-anchors")
+    hits = common.stored(common.join_hot(anchors, shared, ["anchor"], "times", shared.agg(F.sum("times")).first()[0] or 0).filter("times is not null").drop("times"), "anchor-hits")
     open_ = hits.filter("mixed").groupBy("id", "rk").agg(F.collect_list(F.struct("low", "n", "anchor", "context", "frequent")).alias("seeds"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

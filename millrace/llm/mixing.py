@@ -1,14 +1,18 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-The rows of a source are put into a random but repeatable order and cut into blocks. With weight w (a share of all
-slots), block k of a source (from 1) may start at slot floor((k - 1) / w) and has to be done by slot ceil(k / w). Slots
-are filled earliest deadline first among the released blocks, which meets every deadline on one track: after any
-number of slots a source has had its due share, less or more by under one block.
-
-Weights are whole numbers of slots in a cycle, so the schedule repeats and only one cycle is worked out, by plain
-arithmetic over the sources. When a source runs out the others go on at their weights relative to each other (a phase
-with a cycle of its own), so each row is used exactly once. Rows are numbered by DataFrame functions: by ranges of
-their hash within the source, so that a source with a third of all rows is spread over many tasks.
+The rows of a source are put into a random but repeatable order and cut into blocks. While all sources have blocks left,
+a source with weight w (a share of all slots) may start its block k (from 1) at slot floor((k - 1) / w) and has to be done
+with it by slot ceil(k / w). When a source runs out, the others go on at their weights relative to each other: the due
+share of a source after t slots is min(weight * v, blocks) with v such that all due shares add up to t, and release and
+deadline are the slots in which that due share passes k - 1 and k. Slots are filled earliest deadline first among the
+released blocks, which meets every deadline on one track: after any number of slots a source has had its due share, less or
+more by under one block.
+
+Weights are not rounded to a cycle: releases and deadlines are worked out in whole numbers of any size, so no error grows
+with the number of slots. The schedule is a simulation on the driver, a step for each
+block; it holds the sources, not the slots, and is written to the shared folder piece by piece. Each row is used exactly
+once. Rows are numbered by DataFrame functions: by ranges of their hash within the source, so that a source with a third of
+all rows is spread over many tasks.
 
 Defined results: a null source is a source; rows with equal source and doc_id are alike and follow each other; null
 doc_id is an id; texts and other columns do not matter; an empty table gives no rows.
@@ -16,15 +20,21 @@ doc_id is an id; texts and other columns do not matter; an empty table gives no
 from __future__ import annotations
 
 import heapq
-import json
+import itertools
 import math
+from bisect import bisect_right
+from collections.abc import Iterator
+from fractions import Fraction
+from functools import cmp_to_key
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import common
 
-BLOCK_ROWS, CYCLE, MAX_SOURCES, BUCKET_ROWS, SEED = 32, 1000, 1000, 4000, 7
+BLOCK_ROWS, CYCLE, MAX_SOURCES, BUCKET_ROWS, PIECE, SEED = 32, 1000, 1000, 4000, 1 << 20, 7
 
 
 def shares(weights: list[float], cycle: int) -> list[int]:
@@ -42,41 +52,100 @@ def shares(weights: list[float], cycle: int) -> list[int]:
     return out
 
 
+def simplest(w: float) -> Fraction:
+    """The fraction of the smallest denominator among those that w stands for, so that 1 / 3 is a third."""
+    low, high = ((Fraction(w) + Fraction(math.nextafter(w, to))) / 2 for to in (0, math.inf))
+    whole_parts = []
+    while (n := math.ceil(low)) > high:
+        whole_parts.append(n - 1)
+        low, high = 1 / (high - n + 1), 1 / (low - n + 1)
+    out = Fraction(n)
+    for n in reversed(whole_parts):
+        out = n + 1 / out
+    return out
+
+
+def whole(weights: list[float]) -> list[int]:
+    """Whole numbers in the same proportions; weights without a handy common denominator count as they are written."""
+    exact, scale = [simplest(float(w)) for w in weights], 1
+    for x in exact:
+        if (scale := math.lcm(scale, x.denominator)).bit_length() > 256:
+            exact = [Fraction(repr(float(w))) for w in weights]
+            scale = math.lcm(*{x.denominator for x in exact})
+            break
+    return [x.numerator * (scale // x.denominator) for x in exact]
+
+
+def schedule(blocks: list[int], weights: list[int]) -> Iterator[tuple[int, int]]:
+    """(source, block) of slot 0, 1, ...: earliest deadline first, of equal deadlines the first source."""
+    # A source is through at v = blocks / weight; before the p-th of these, the due shares add up to done[p] + v * left[p].
+    order = sorted((i for i, n in enumerate(blocks) if n), key=cmp_to_key(lambda i, j: blocks[i] * weights[j] - blocks[j] * weights[i]))
+    through, done, left = [blocks[i] / weights[i] for i in order], [0], [sum(weights[i] for i in order)]
+    for i in order:
+        done.append(done[-1] + blocks[i])
+        left.append(left[-1] - weights[i])
+
+    def window_end(i: int, k: int) -> tuple[int, int]:
+        """Slots in which the due share of source i passes k: release of the block after it, deadline of the one before."""
+        w = weights[i]
+        p = at[i]
+        if blocks[order[p]] * w < k * weights[order[p]]:
+            p = min(bisect_right(through, k / w), len(order) - 1)
+            while p and blocks[order[p - 1]] * w >= k * weights[order[p - 1]]:
+                p -= 1
+            while blocks[order[p]] * w < k * weights[order[p]]:
+                p += 1
+            at[i] = p
+        q, r = divmod(left[p] * k, w)
+        return done[p] + q, done[p] + q + (r > 0)
+
+    at, served, after = [0] * len(blocks), [0] * len(blocks), [0] * len(blocks)
+    ready: list[tuple[int, int]] = []
+    later: list[tuple[int, int, int]] = []
+    for i in sorted(order):
+        after[i], due = window_end(i, 1)
+        ready.append((due, i))
+    heapq.heapify(ready)
+    for slot in range(done[-1]):
+        while later and later[0][0] <= slot:
+            _, due, i = heapq.heappop(later)
+            heapq.heappush(ready, (due, i))
+        due, i = heapq.heappop(ready)
+        if slot >= due:
+            raise AssertionError(f"source {i} misses its deadline {due}")
+        k = served[i]
+        yield i, k
+        served[i] = k = k + 1
+        if k < blocks[i]:
+            release = after[i]
+            after[i], due = window_end(i, k + 1)
+            if release <= slot + 1:
+                heapq.heappush(ready, (due, i))
+            else:
+                heapq.heappush(later, (release, due, i))
+
+
 def pfair_cycle(slots_due: list[int]) -> list[list[int]]:
     """For each source the slots of its blocks in one cycle of sum(slots_due) slots, earliest deadline first."""
-    cycle = sum(slots_due)
-    released: list[list[tuple[int, int]]] = [[] for _ in range(cycle)]
-    for i, a in enumerate(slots_due):
-        for k in range(1, a + 1):
-            released[(k - 1) * cycle // a].append((-(-k * cycle // a), i))
-    ready: list[tuple[int, int]] = []
     out: list[list[int]] = [[] for _ in slots_due]
-    for slot in range(cycle):
-        for job in released[slot]:
-            heapq.heappush(ready, job)
-        out[heapq.heappop(ready)[1]].append(slot)
+    for slot, (i, _) in enumerate(schedule(slots_due, slots_due)):
+        out[i].append(slot)
     return out
 
 
-def phases(blocks: list[int], weights: list[float], cycle: int) -> list[list[dict]]:
-    """For each source its stretches of blocks: start, stop, base slot, blocks a cycle, cycle length and their slots."""
-    done, base = [0] * len(blocks), 0
-    out: list[list[dict]] = [[] for _ in blocks]
-    while live := [i for i, n in enumerate(blocks) if done[i] < n]:
-        due = shares([weights[i] for i in live], max(cycle, 4 * len(live)))
-        length, slots = sum(due), pfair_cycle(due)
-
-        def slot(at: int, j: int) -> int:
-            return j // due[at] * length + slots[at][j % due[at]]
-
-        end = min(slot(at, blocks[i] - done[i]) for at, i in enumerate(live))
-        for at, i in enumerate(live):
-            used = end // length * due[at] + sum(s < end % length for s in slots[at])
-            if used:
-                out[i].append({"start": done[i], "stop": done[i] + used, "base": base, "each": due[at], "length": length, "slots": slots[at]})
-            done[i] += used
-        base += end
-    return out
+def written(spark: SparkSession, slots: Iterator[tuple[int, int]], numbers: np.ndarray) -> DataFrame:
+    """_number (of the source), _block, _slot: the slots as a table in the shared folder."""
+    kind, path, slot, mode = "_number long, _block long, _slot long", common.scratch(spark, "slots"), 0, "overwrite"
+    while True:
+        piece = np.fromiter((x for pair in itertools.islice(slots, PIECE) for x in pair), np.int64).reshape(-1, 2)
+        if slot and not len(piece):
+            break
+        table = pa.table({"_number": numbers[piece[:, 0]], "_block": piece[:, 1], "_slot": np.arange(slot, slot + len(piece))})
+        spark.createDataFrame(table, kind).write.mode(mode).parquet(path)
+        slot, mode = slot + len(piece), "append"
+        if len(piece) < PIECE:
+            break
+    return spark.read.schema(kind).parquet(path)
 
 
 def bucket_of(h: Column, buckets: int) -> Column:
@@ -87,7 +156,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, tempera
         cycle: int = CYCLE, seed: int = SEED) -> DataFrame:
     """doc_id, source, block (of its source), slot (of the schedule), place (in the block): sorted by slot and place the
     rows are the mixture. Without weights a source weighs its number of rows to the power `temperature`. A source
-    that `weights` lacks is an error; up to MAX_SOURCES sources."""
+    that `weights` lacks is an error; up to MAX_SOURCES sources. The schedule is exact over all slots: `cycle`, the slots
+    after which it once repeated, has no effect any more."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
     sizes = sorted(((r["source"], r["n"]) for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()),
@@ -96,28 +166,25 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, tempera
         raise ValueError(f"more than {MAX_SOURCES} sources")
     if weights is not None and (bad := [s for s, _ in sizes if not weights.get(s, 0) > 0]):
         raise ValueError(f"no positive weight for {bad[:5]}")
-    plan = phases([-(-n // block_rows) for _, n in sizes], [weights[s] if weights is not None else n ** temperature for s, n in sizes], cycle)
-    table = json.dumps([{"source": s, "parts": p} for (s, _), p in zip(sizes, plan)])
-    kind = "array<struct<source:string,parts:array<struct<start:bigint,stop:bigint,base:bigint,each:bigint,length:bigint,slots:array<int>>>>>"
-    schedule = spark.range(1).select(F.explode(F.from_json(F.lit(table), kind)).alias("s")).select("s.*").withColumnRenamed("source", "_source")
+    exact = whole([weights[s] if weights is not None else n ** temperature for s, n in sizes])
+    slots = written(spark, schedule([-(-n // block_rows) for _, n in sizes], exact), np.arange(len(sizes)))
+    names = spark.createDataFrame([(s, i) for i, (s, _) in enumerate(sizes)], "_source string, _of long")
 
     buckets = max(1, sum(n for _, n in sizes) // BUCKET_ROWS)
     alike = (rows.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"))
              .withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", bucket_of(F.col("h"), buckets)))
     before = (alike.groupBy("source", "bucket").agg(F.sum("n").alias("_n"))
               .withColumn("_before", F.sum("_n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("_n"))
-              .select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), "_before"))
+              .join(names, F.col("source").eqNullSafe(F.col("_source")))
+              .select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), "_before", "_of"))
     inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id")
     numbered = (alike.withColumn("_in", F.sum("n").over(inside) - F.col("n"))
                 .join(before, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b")))
                 .withColumn("_first", F.col("_before") + F.col("_in"))
                 .withColumn("_at", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("n") - 1)))
                 .withColumn("block", F.floor(F.col("_at") / block_rows)))
-    part = F.filter("parts", lambda p: (F.col("block") >= p["start"]) & (F.col("block") < p["stop"]))[0]
-    j = F.col("block") - F.col("p.start")
-    slot = F.col("p.base") + F.floor(j / F.col("p.each")) * F.col("p.length") + F.element_at(F.col("p.slots"), (j % F.col("p.each") + 1).cast("int"))
-    return (numbered.join(F.broadcast(schedule), F.col("source").eqNullSafe(F.col("_source"))).withColumn("p", part)
-            .select("doc_id", "source", F.col("block").cast("long").alias("block"), slot.cast("long").alias("slot"), (F.col("_at") % block_rows).cast("long").alias("place")))
+    return (numbered.join(slots, (F.col("_of") == F.col("_number")) & (F.col("block") == F.col("_block")))
+            .select("doc_id", "source", F.col("block").cast("long").alias("block"), F.col("_slot").alias("slot"), (F.col("_at") % block_rows).cast("long").alias("place")))
 
 
 def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,12 +1,16 @@
 """The operators against brute force and on odd tables: nulls, empty and long texts, ties, repeated rows, no rows, clashing columns."""
 import hashlib
+import itertools
+import math
 import os
 import random
 import re
 import sys
 from collections import Counter
+from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
@@ -259,6 +263,38 @@ def test_mixing_over_many_buckets(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in out) != [r["doc_id"] for r in sorted(out, key=lambda r: (r["slot"], r["place"]))]
 
 
+def test_schedule_follows_exact_weights():
+    for weights, slots in (([1 / 3, 2 / 3], 12_000), ([0.0001, 0.5999, 0.4], 25_000), ([n ** 0.5 for n in (3, 5, 7, 1_000_000)], 12_000)):
+        due, total = [0] * len(weights), math.fsum(weights)
+        shares = [w / total for w in weights]
+        for t, (i, k) in enumerate(itertools.islice(mixing.schedule([slots] * len(weights), mixing.whole(weights)), slots), 1):
+            assert k == due[i]
+            due[i] += 1
+            assert all(abs(n - t * w) < 1 + 1e-9 for n, w in zip(due, shares))
+
+
+def test_schedule_when_sources_run_out():
+    rng = random.Random(5)
+    for _ in range(30):
+        blocks, weights = zip(*[(rng.randint(0, 40), rng.choice([rng.random(), 1.0, 0.01, 7.0])) for _ in range(rng.randint(1, 12))])
+        exact = mixing.whole(weights)
+        got = list(mixing.schedule(blocks, exact))
+        assert sorted(got) == [(i, k) for i, n in enumerate(blocks) for k in range(n)]
+        total = lambda v: sum(min(w * v, n) for w, n in zip(exact, blocks))
+        for slot, (i, k) in enumerate(got):
+            assert math.floor(total(Fraction(k, exact[i]))) <= slot < math.ceil(total(Fraction(k + 1, exact[i])))
+
+
+def test_mixing_keeps_the_targets_over_many_slots(spark):
+    docs = spark.range(33_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
+    out = sorted((r["slot"], r["source"]) for r in mixing.mix(docs, {"a": 1 / 3, "b": 2 / 3}, block_rows=2).filter("place = 0").select("slot", "source").collect())
+    assert [s for s, _ in out] == list(range(16_500))
+    served = 0
+    for t, (_, source) in enumerate(out, 1):
+        served += source == "a"
+        assert abs(served - Fraction(t, 3)) < 1
+
+
 # ---- chat
 
 def test_rotation(spark):

@@ -10,7 +10,8 @@ size is bounded by the sample. Prediction reads every whole text and shuffles no
 
 Defined results: null texts and texts without a letter are `und` with score 0; if there is nothing to learn from, all
 are `und`; if nothing in a text is known, the languages' shares in the training rows decide; a null doc_id counts as
-held out; repeated rows are predicted each; at most MAX_LANGUAGES languages.
+held out; repeated rows are predicted each; any number of
+languages: beyond DENSE_LANGUAGES the same logs are kept sparse.
 """
 from __future__ import annotations
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from millrace.llm import common
 from millrace.llm.arrays import chunks
 
-TRAIN_ROWS, LEAST, LONGEST, MAX_LANGUAGES, KEPT_WORDS = 3000, 4, 5, 500, 200_000
+TRAIN_ROWS, LEAST, LONGEST, DENSE_LANGUAGES, KEPT_WORDS, KEPT_CELLS, SUM_CELLS = 3000, 4, 5, 500, 200_000, 100_000_000, 1 << 22
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -35,10 +36,24 @@ def grams(word: str, n: int) -> list[str]:
     return [edged[i:i + n] for i in range(len(edged) - n + 1)]
 
 
+class SparseLogs:
+    """Rows of log frequencies that hold only what was seen in a language; the rest of a row is the same for all of its level."""
+
+    def __init__(self, unseen: np.ndarray, level: np.ndarray, starts: np.ndarray, langs: np.ndarray, seen: np.ndarray):
+        self.unseen, self.level, self.starts, self.langs, self.seen = unseen, level, starts, langs, seen
+
+    def __getitem__(self, i: int | list[int]) -> np.ndarray:
+        if isinstance(i, list):
+            return np.array([self[j] for j in i])
+        row, own = self.unseen[self.level[i]].copy(), slice(self.starts[i], self.starts[i + 1])
+        row[self.langs[own]] = self.seen[own]
+        return row
+
+
 class Backoff:
     """levels[0] has words, levels[n] has n-grams: from string to its row in `logs`, log frequencies by language."""
 
-    def __init__(self, languages: list[str], prior: np.ndarray, levels: list[dict[str, int]], logs: np.ndarray):
+    def __init__(self, languages: list[str], prior: np.ndarray, levels: list[dict[str, int]], logs: np.ndarray | SparseLogs):
         self.languages, self.prior, self.levels, self.logs = languages, prior, levels, logs
 
     def word(self, w: str) -> np.ndarray:
@@ -53,15 +68,18 @@ class Backoff:
         counts = Counter(WORD.findall(text.lower())) if text else None
         if not counts or not self.languages:
             return "und", 0.0
-        rows = []
-        for w in counts:
-            r = known.get(w)
-            if r is None:
-                known[w] = r = self.word(w)
-            rows.append(r)
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        total = self.prior + np.fromiter(counts.values(), np.float64, len(counts)) @ np.array(rows, np.float64)
+        total, words, times = self.prior, list(counts), np.fromiter(counts.values(), np.float64, len(counts))
+        step = max(1, SUM_CELLS // len(self.languages))
+        for at in range(0, len(words), step):
+            rows = []
+            for w in words[at:at + step]:
+                r = known.get(w)
+                if r is None:
+                    known[w] = r = self.word(w)
+                rows.append(r)
+            if len(known) > min(KEPT_WORDS, KEPT_CELLS // len(self.languages)):
+                known.clear()
+            total = total + times[at:at + step] @ np.array(rows, np.float64)
         total -= total.max()
         belief = np.exp(total)
         best = int(belief.argmax())
@@ -74,14 +92,12 @@ def fold(modulus: int):
 
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, least: int = LEAST) -> Backoff:
     rows = docs.filter("lang is not null and text is not null and doc_id is not null").filter(fold(4) != 2).select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    counts = sorted((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect())
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = sorted((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())
     if not counts:
         return Backoff([], np.zeros(0), [{} for _ in range(LONGEST + 1)], np.zeros((0, 0), np.float32))
     languages = [x for x, _ in counts]
-    part = F.element_at(F.create_map(*[F.lit(v) for x, n in counts for v in (x, min(1.0, train_rows / n))]), F.col("lang"))
-    sample = rows.filter(F.pmod("h", F.lit(1 << 20)) < part * (1 << 20)).select("lang", "text")
+    parts = docs.sparkSession.createDataFrame([(x, min(1.0, train_rows / n)) for x, n in counts], "lang string, part double")
+    sample = rows.join(F.broadcast(parts), "lang").filter(F.pmod("h", F.lit(1 << 20)) < F.col("part") * (1 << 20)).select("lang", "text")
     place = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,19 +127,26 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, least: int = LEAST) ->
              .groupBy("level", "gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
              .filter(F.col("all") >= least).orderBy("level", "gram").select("level", "gram", "by").collect())
     levels: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-    table = np.zeros((len(known), len(languages)))
-    level = np.zeros(len(known), int)
+    level, starts = np.zeros(len(known), int), np.zeros(len(known) + 1, int)
+    langs, seen = (np.zeros(sum(len(r["by"]) for r in known), k) for k in (np.int32, float))
     for i, r in enumerate(known):
         levels[r["level"]][r["gram"]] = i
         level[i] = r["level"]
-        for x, n in r["by"].items():
-            table[i, x] = n
+        starts[i + 1] = starts[i] + len(r["by"])
+        langs[starts[i]:starts[i + 1]], seen[starts[i]:starts[i + 1]] = list(r["by"]), list(r["by"].values())
+    row = np.repeat(np.arange(len(known)), np.diff(starts))
+    unseen = np.zeros((LONGEST + 1, len(languages)), np.float32)
     for n in range(LONGEST + 1):
-        mine = level == n
-        total = table[mine].sum(axis=0)
-        table[mine] = np.log((table[mine] + 0.5) / (total + 0.5 * max(1, mine.sum())))
+        mine = level[row] == n
+        total = np.bincount(langs[mine], seen[mine], len(languages)) + 0.5 * max(1, (level == n).sum())
+        unseen[n] = np.log(0.5 / total)
+        seen[mine] = np.log((seen[mine] + 0.5) / total[langs[mine]])
+    logs = SparseLogs(unseen, level, starts, langs, seen.astype(np.float32))
+    if len(languages) <= DENSE_LANGUAGES:
+        logs, sparse = unseen[level], logs
+        logs[row, langs] = sparse.seen
     share = np.array([n for _, n in counts], float)
-    return Backoff(languages, np.log(share / share.sum()), levels, table.astype(np.float32))
+    return Backoff(languages, np.log(share / share.sum()), levels, logs)
 
 
 def identify(docs: DataFrame, model: Backoff) -> DataFrame:

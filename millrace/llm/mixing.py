@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common
 
-BLOCK_ROWS, CYCLE, MAX_SOURCES, BUCKET_ROWS, PIECE, SEED = 32, 1000, 1000, 4000, 1 << 20, 7
+BLOCK_ROWS, CYCLE, BUCKET_ROWS, PIECE, SEED = 32, 1000, 4000, 1 << 20, 7
 
 
 def shares(weights: list[float], cycle: int) -> list[int]:
@@ -67,13 +67,14 @@ def simplest(w: float) -> Fraction:
 
 def whole(weights: list[float]) -> list[int]:
     """Whole numbers in the same proportions; weights without a handy common denominator count as they are written."""
-    exact, scale = [simplest(float(w)) for w in weights], 1
-    for x in exact:
-        if (scale := math.lcm(scale, x.denominator)).bit_length() > 256:
-            exact = [Fraction(repr(float(w))) for w in weights]
-            scale = math.lcm(*{x.denominator for x in exact})
+    exact, scale = {}, 1
+    for w in set(weights):
+        exact[w] = simplest(float(w))
+        if (scale := math.lcm(scale, exact[w].denominator)).bit_length() > 256:
+            exact = {w: Fraction(repr(float(w))) for w in set(weights)}
+            scale = math.lcm(*{x.denominator for x in exact.values()})
             break
-    return [x.numerator * (scale // x.denominator) for x in exact]
+    return [exact[w].numerator * (scale // exact[w].denominator) for w in weights]
 
 
 def schedule(blocks: list[int], weights: list[int]) -> Iterator[tuple[int, int]]:
@@ -156,26 +157,32 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, tempera
         cycle: int = CYCLE, seed: int = SEED) -> DataFrame:
     """doc_id, source, block (of its source), slot (of the schedule), place (in the block): sorted by slot and place the
     rows are the mixture. Without weights a source weighs its number of rows to the power `temperature`. A source
-    that `weights` lacks is an error; up to MAX_SOURCES sources. The schedule is exact over all slots: `cycle`, the slots
+    that `weights` lacks is an error; any number of sources. The schedule is exact over all slots: `cycle`, the slots
     after which it once repeated, has no effect any more."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
-    sizes = sorted(((r["source"], r["n"]) for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()),
-                   key=lambda x: (x[0] is not None, x[0] or ""))
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    if weights is not None and (bad := [s for s, _ in sizes if not weights.get(s, 0) > 0]):
-        raise ValueError(f"no positive weight for {bad[:5]}")
-    exact = whole([weights[s] if weights is not None else n ** temperature for s, n in sizes])
-    slots = written(spark, schedule([-(-n // block_rows) for _, n in sizes], exact), np.arange(len(sizes)))
-    names = spark.createDataFrame([(s, i) for i, (s, _) in enumerate(sizes)], "_source string, _of long")
-
-    buckets = max(1, sum(n for _, n in sizes) // BUCKET_ROWS)
+    # Numbers grow with the source's name, so ties of deadlines end alike at any partitioning; only numbers and sizes are collected.
+    sizes = common.stored(rows.groupBy("source").agg(F.count(F.lit(1)).alias("_rows")).orderBy(F.asc_nulls_first("source"))
+                          .select(F.col("source").alias("_source"), F.monotonically_increasing_id().alias("_of"), "_rows"), "sources")
+    if weights is None:
+        facts = sizes.select("_of", "_rows").toArrow().sort_by("_of")
+        shares_due = [n ** temperature for n in facts["_rows"].to_pylist()]
+    else:
+        given = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "_name string, _weight double")
+        weighed = sizes.join(given, F.col("_source").eqNullSafe(F.col("_name")), "left")
+        if bad := weighed.filter(F.coalesce(F.isnan("_weight") | (F.col("_weight") <= 0), F.lit(True))).orderBy("_of").limit(5).collect():
+            raise ValueError(f"no positive weight for {[r['_source'] for r in bad]}")
+        facts = weighed.select("_of", "_rows", "_weight").toArrow().sort_by("_of")
+        shares_due = facts["_weight"].to_pylist()
+    numbers, counts = facts["_of"].to_numpy(), facts["_rows"].to_pylist()
+    slots = written(spark, schedule([-(-n // block_rows) for n in counts], whole(shares_due)), numbers)
+
+    buckets = max(1, sum(counts) // BUCKET_ROWS)
     alike = (rows.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"))
              .withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", bucket_of(F.col("h"), buckets)))
     before = (alike.groupBy("source", "bucket").agg(F.sum("n").alias("_n"))
               .withColumn("_before", F.sum("_n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("_n"))
-              .join(names, F.col("source").eqNullSafe(F.col("_source")))
+              .join(sizes, F.col("source").eqNullSafe(F.col("_source")))
               .select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), "_before", "_of"))
     inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id")
     numbered = (alike.withColumn("_in", F.sum("n").over(inside) - F.col("n"))

@@ -295,6 +295,13 @@ def test_mixing_keeps_the_targets_over_many_slots(spark):
         assert abs(served - Fraction(t, 3)) < 1
 
 
+def test_mixing_of_many_sources(spark):
+    rows = [(i, "t", "en", f"host{i % 1500}" if i % 4 else "big") for i in range(3000)] + [(1, "t", "en", None)]
+    out = mixing.mix(docs_of(spark, rows), block_rows=8).collect()
+    assert Counter((r["source"], r["doc_id"]) for r in out) == Counter((r[3], r[0]) for r in rows) and len({r["source"] for r in out}) > 1001
+    assert {r["slot"] for r in out} == set(range(len({(r["source"], r["block"]) for r in out}))) and len({(r["slot"], r["place"]) for r in out}) == len(out)
+
+
 # ---- chat
 
 def test_rotation(spark):
@@ -367,3 +374,17 @@ def test_language(spark):
     assert got[1003]["lang_pred"] in sounds and got[None]["lang_pred"] == "cc" and got[None]["held_out"] and got[1004]["lang_pred"] == "bb"
     assert all(0 <= r["score"] <= 1 for r in got.values())
     assert {r["lang_pred"] for r in language.identify(docs, language.train(docs.limit(0))).collect()} == {"und"}
+
+
+def test_language_beyond_the_dense_model(spark, monkeypatch):
+    rows = [(i, f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]} " * 5 + "common words", f"l{i % 520:03d}", "s") for i in range(2080)]
+    docs = docs_of(spark, rows)
+    model = language.train(docs)
+    assert len(model.languages) == 520 and isinstance(model.logs, language.SparseLogs)
+    sparse = by_id(language.identify(docs, model), "lang_pred", "score")
+    monkeypatch.setattr(language, "DENSE_LANGUAGES", 1000)
+    dense_model = language.train(docs)
+    assert all((dense_model.logs[i] == model.logs[i]).all() for i in range(len(dense_model.logs)))
+    assert sparse == by_id(language.identify(docs, dense_model), "lang_pred", "score")
+    monkeypatch.setattr(language, "SUM_CELLS", 1)
+    assert model.predict(rows[7][1], {})[0] == sparse[7][0] and abs(model.predict(rows[7][1], {})[1] - sparse[7][1]) < 1e-9

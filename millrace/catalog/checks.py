@@ -463,6 +463,12 @@ def _(t):
     return shown(target.unsupervised(t.lineitem)["flags"], "value")
 
 
+@query("k16_analyze_target", "SELECT *, true AS reliable FROM (" + union_all([
+    f"SELECT '{c}' AS feature, 'numeric' AS type, 'eta' AS measure, {r6('sqrt(' + eta_sql('events', 'event_type', c) + ')')} AS strength, CAST(NULL AS DOUBLE) AS pearson, CAST(NULL AS DOUBLE) AS spearman, {nmi_value('events', c, 'event_type', True, False)} AS nmi, count(*) AS rows_used FROM events" for c in ("event_id", "user_id", "value")]) + ")")
+def _(t):
+    return shown(target.analyze_target(t.events.drop("props"), "event_type")["features"].drop("p_value"), "strength", "nmi")
+
+
 @query("k16_analyze_target_sample")
 def _(t):
     return shown(target.analyze_target(t.events.drop("props"), "event_type", sample=5000, key="event_id")["features"].drop("p_value"), "strength", "nmi")

@@ -18,6 +18,11 @@ def test_query_equals_sql(spark, folder, name):
     assert good, text
 
 
+def test_target_analysis_uses_all_rows(spark, folder):
+    text, good = compare(spark, connect(folder), folder, "k16_analyze_target", entry.queries(), entry.oracle_sql())
+    assert good, text
+
+
 def test_growth_exponents(spark):
     from millrace.plans import scaling
     rows = [("t", n, 1e-5 * n ** 1.5) for n in (100, 1000, 10000)]

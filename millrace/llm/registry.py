@@ -1,7 +1,7 @@
 """The queries of this package by name, and their SQL."""
 from __future__ import annotations
 
-from millrace.llm import chat, decontaminate, exact_dedup, jaccard_join, language, mixing, substring_dedup, suffix_dedup, tokens, toxicity
+from millrace.llm import chat, decontaminate, exact_dedup, jaccard_join, language, mixing, substring_dedup, suffix_dedup, tokens, toxicity, whitening
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
@@ -14,5 +14,6 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_language_id": language.op10_language_id,
+    "op11_embedding_whitening": whitening.op11_embedding_whitening,
 }
 ORACLES = {"op3_perspective_rotation": chat.OP3_SQL, "op6_decontaminate": decontaminate.OP6_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}

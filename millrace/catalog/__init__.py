@@ -6,3 +6,4 @@ from millrace.catalog import ordering  # noqa: F401, E402
 from millrace.catalog import relations  # noqa: F401, E402
 from millrace.catalog import checks  # noqa: F401, E402
 from millrace.catalog import storage  # noqa: F401, E402
+from millrace.catalog import exact  # noqa: F401, E402

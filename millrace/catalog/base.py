@@ -41,6 +41,14 @@ VIEWS = {
     "repeated_customers": """
         SELECT c_nationkey AS nation, c_mktsegment AS segment, CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS positive
         FROM {customer}""",
+    "hard_numbers": """
+        SELECT CAST(l_orderkey AS BIGINT) * 10 + l_linenumber AS id,
+               CASE WHEN l_partkey % 3 = 0 THEN CAST('-0.0' AS DOUBLE) WHEN l_partkey % 3 = 1 THEN CAST(0 AS DOUBLE) ELSE l_discount - 0.05 END AS signed,
+               CASE WHEN l_suppkey % 4 = 0 THEN NULL WHEN l_suppkey % 4 = 1 THEN CAST('-0.0' AS DOUBLE) WHEN l_suppkey % 4 = 2 THEN CAST(0 AS DOUBLE)
+                    ELSE l_tax - 0.04 END AS gappy,
+               CAST(1152921504606846976 AS BIGINT) + CAST(l_partkey AS BIGINT) % 97 AS wide,
+               CAST(CAST(l_suppkey AS DECIMAL(12, 0)) / CAST(1000 AS DECIMAL(4, 0)) AS DECIMAL(20, 6)) + CAST(12345678901 AS DECIMAL(20, 6)) AS fine
+        FROM {lineitem}""",
     "contacts": """
         SELECT c_custkey AS id,
                concat('user', CAST(c_custkey AS STRING), '@mail.example.com') AS contact,

@@ -390,7 +390,7 @@ SELECT n, k AS "groups", {r6('(12.0 / (n * (n + 1.0)) * q - 3 * (n + 1)) / (1 -
 FROM s, t, (SELECT count(*) AS k, sum(x * x / c) AS q FROM (SELECT sum(r) AS x, count(*) AS c FROM r GROUP BY g))""")
 def _(t):
     e = t.events
-    k = A.kruskal(e, F.col("event_type"), C.as_numeric(e, "value"))
+    k = A.kruskal(e, {"value": (F.col("event_type"), C.as_numeric(e, "value"))})["value"]
     return shown(small_table(t.spark, [k], "n long, groups long, h double"), "h")
 
 

@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 from millrace.functions import numeric as N
 from millrace.functions import significance as S
+from millrace.functions.keys import Numbers
 from millrace.operators import columns as C
 from millrace.operators.correlation import pair_corr, spearman_complete, spearman_pairs
 from millrace.operators.counts import distinct_counts
 from millrace.operators.profile import moments, small_table
 from millrace.operators.quantiles import exact_quantiles
-from millrace.operators.ranks import cut_points, running_totals
+from millrace.operators.ranks import join_often, totals_before
+from millrace.session import stored
 
 
 CELL_BOUND = 50_000
@@ -149,26 +151,31 @@ def eta_table(df: DataFrame, pairs: list[tuple]) -> DataFrame:
     return small_table(df.sparkSession, rows, "category string, value string, n long, eta_squared double, eta double")
 
 
-def kruskal(df: DataFrame, group: Column, value: Column) -> dict:
-    """Kruskal-Wallis H with tie correction and its p, over groups of at least two rows."""
-    cells = (df.select(group.cast("string").alias("g"), value.cast("double").alias("v")).filter("g is not null and v is not null")
-             .groupBy("g", "v").agg(F.count("*").alias("n")))
-    big = cells.groupBy("g").agg(F.sum("n").alias("ng")).filter("ng > 1")
-    cells = cells.join(big, "g")
-    values = cells.groupBy("v").agg(F.sum("n").alias("n"))
-    ranked = running_totals(values, "v", ["n"], cut_points(values, F.col("v"))).select(
-        "v", (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank"))
-    n_ties = values.agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("t")).first()
-    per = cells.join(ranked, "v").groupBy("g").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("r"))
-    r = per.agg(F.count("*").alias("k"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s")).first()
-    n = n_ties["n"] or 0
-    if r["k"] < 2 or n < 3:
-        return {"n": n, "groups": r["k"], "h": None, "p": None}
-    fix = 1 - n_ties["t"] / (float(n) ** 3 - n)
-    if fix == 0:
-        return {"n": n, "groups": r["k"], "h": None, "p": None}
-    h = (12.0 / (float(n) * (n + 1)) * r["s"] - 3 * (n + 1)) / fix
-    return {"n": n, "groups": r["k"], "h": h, "p": S.chi2_sf(h, r["k"] - 1)}
+def kruskal(df: DataFrame, pairs: dict) -> dict:
+    """{name: Kruskal-Wallis H with tie correction, its p, n and groups} of the (group, value) expressions under each name,
+    over groups of at least two rows. All pairs share one table of cells and one rank table."""
+    names = list(pairs)
+    if not names:
+        return {}
+    whole = stored(df.select(*[g.cast("string").alias(f"g{i}") for i, (g, _) in enumerate(pairs.values())], *[v.alias(f"v{i}") for i, (_, v) in enumerate(pairs.values())]), "groups")
+    numbers = Numbers(whole, [F.when(F.col(f"g{i}").isNotNull(), F.col(f"v{i}")) for i in range(len(names))], [F.col(f"g{i}") for i in range(len(names))])
+    own = F.coalesce(*[F.when(F.col("k") == i, F.col(f"g{i}")) for i in range(len(names))])
+    cells = numbers.rows().groupBy("k", own.alias("g"), "key").agg(F.count(F.lit(1)).alias("n"))
+    big = cells.groupBy("k", "g").agg(F.sum("n").alias("ng")).filter("ng > 1")
+    cells = stored(cells.join(big, ["k", "g"]), "cells")
+    values = cells.groupBy("k", "key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"))
+    before = stored(totals_before(values, ["n"]), "ranked")
+    ties = {r["k"]: (r["n"], r["t"]) for r in before.groupBy("k").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("t")).collect()}
+    rank = before.select("k", "key", "groups", (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank"))
+    per = join_often(cells, rank, ["k", "key"], "groups", cells.count()).groupBy("k", "g").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("r"))
+    sums = {r["k"]: (r["groups"], r["s"]) for r in per.groupBy("k").agg(F.count(F.lit(1)).alias("groups"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s")).collect()}
+    out = {}
+    for i, name in enumerate(names):
+        (n, t), (k, s) = ties.get(i, (0, 0.0)), sums.get(i, (0, 0.0))
+        fix = 1 - t / (float(n) ** 3 - n) if k >= 2 and n >= 3 else 0
+        h = (12.0 / (float(n) * (n + 1)) * s - 3 * (n + 1)) / fix if fix else None
+        out[name] = {"n": n, "groups": k, "h": h, "p": None if h is None else S.chi2_sf(h, k - 1)}
+    return out
 
 
 def nmi(df: DataFrame, pairs: list[tuple], bins: int = 10) -> dict[tuple, float | None]:
@@ -263,8 +270,9 @@ def mixed_associations(df: DataFrame, num: list[str], cat: list[str], max_cols:
         gappy = {c for c, n in zip(num, r[1:]) if n < r[0]}
         plain = [p for p in numeric_pairs if not gappy & set(p)]
         found = spearman_pairs(df, [c for c in num if c not in gappy], plain) if plain else {}
+        found |= spearman_complete(df, {p: tuple(C.exact_numeric(df, c) for c in p) for p in numeric_pairs if p not in plain})
         for a, b in numeric_pairs:
-            v = found[(a, b)][0] if (a, b) in found else spearman_complete(df, C.as_numeric(df, a), C.as_numeric(df, b))[0]
+            v = found[(a, b)][0]
             rows.append({"column_a": a, "column_b": b, "value": abs(v or 0.0), "measure": "spearman"})
     rows += [{"column_a": a, "column_b": b, "value": d["v"], "measure": "cramers_v"}
              for (a, b), d in cramers(df, list(itertools.combinations(cat, 2))).items()]

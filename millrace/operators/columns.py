@@ -59,6 +59,13 @@ def as_numeric(df: DataFrame, name: str):
     return N.finite(X.to_number(c.cast("string")))
 
 
+def exact_numeric(df: DataFrame, name: str):
+    """as_numeric for plans that order values: whole numbers and decimals stay in their own type."""
+    if isinstance(df.schema[name].dataType, (T.IntegralType, T.DecimalType)):
+        return col(name)
+    return as_numeric(df, name)
+
+
 def missing(df: DataFrame, name: str):
     """Missing flag; NaN counts everywhere, whitespace counts in text columns."""
     c = col(name)

@@ -1,7 +1,9 @@
 """Pearson, Spearman and Kendall between numeric columns, over all rows."""
 from __future__ import annotations
 
+import functools
 import itertools
+import operator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -9,11 +11,12 @@ from pyspark.sql import functions as F
 
 from millrace.operators import columns as C
 from millrace.operators.profile import small_table
-from millrace.operators.quantiles import folded
-from millrace.operators.ranks import average_ranks
+from millrace.operators.ranks import row_ranks, totals_before
+from millrace.session import stored
 
 BUILTIN_PAIRS = 3
-SMALL_RANKS = 20_000
+#: Bits of a rank that one level of the inversion count looks at.
+LEVEL_BITS = 2
 
 
 def pair_corr(df: DataFrame, exprs: dict[str, Column], pairs: list[tuple] | None = None) -> dict[tuple, tuple]:
@@ -84,32 +87,9 @@ def pearson(df: DataFrame, cols: list[str] | None = None, max_cols: int | None =
     return _pairs_table(df, pair_corr(df, {c: C.as_numeric(df, c) for c in cols}), "pearson")
 
 
-def with_ranks(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict[str, Column]]:
-    """The numeric views of the columns next to their average ranks, joined by value.
-
-    The rank table of a column has one row per distinct value. Tables of at most SMALL_RANKS rows are read in one job
-    and broadcast; larger ones are joined, where adaptive execution splits a hot value.
-    """
-    exprs = {f"v{i}": C.as_numeric(df, c) for i, c in enumerate(cols)}
-    out = df.select(*[x.alias(v) for v, x in exprs.items()])
-    names = list(exprs)
-    sizes = {r["k"]: r["u"] for r in folded(df, exprs).groupBy("k").agg(F.approx_count_distinct("v").alias("u")).collect()}
-    few = {names[i]: exprs[names[i]] for i in range(len(names)) if sizes.get(i, 0) <= SMALL_RANKS}
-    tables: dict = {v: [] for v in few}
-    if few:
-        counts = folded(df, few).groupBy("k", "v").agg(F.count("*").alias("n"))
-        seen = dict.fromkeys(few, 0)
-        for r in counts.orderBy("k", "v").collect():
-            name = list(few)[r["k"]]
-            tables[name].append((r["v"], seen[name] + (r["n"] + 1) / 2))
-            seen[name] += r["n"]
-    for i, (v, x) in enumerate(exprs.items()):
-        if v in tables:
-            ranks = F.broadcast(df.sparkSession.createDataFrame(tables[v], f"{v} double, r{i} double"))
-        else:
-            ranks = average_ranks(df, x).select(F.col("value").alias(v), F.col("rank").alias(f"r{i}"))
-        out = out.join(ranks, v, "left")
-    return out, {c: F.col(f"r{i}") for i, c in enumerate(cols)}
+def ranked(df: DataFrame, exprs: dict[str, Column], dense: bool = False) -> tuple[DataFrame, dict[str, Column]]:
+    """A row for each row of df with a value, holding the ranks of its values, and the rank column of each name."""
+    return row_ranks(df, list(exprs.values()), dense), {c: F.col(f"r{i}") for i, c in enumerate(exprs)}
 
 
 def spearman(df: DataFrame, cols: list[str] | None = None, max_cols: int | None = None) -> DataFrame:
@@ -119,102 +99,71 @@ def spearman(df: DataFrame, cols: list[str] | None = None, max_cols: int | None
 
 
 def spearman_pairs(df: DataFrame, cols: list[str], pairs: list[tuple] | None = None) -> dict[tuple, tuple]:
-    ranked, exprs = with_ranks(df, cols)
-    return pair_corr(ranked, exprs, pairs)
+    return pair_corr(*ranked(df, {c: C.exact_numeric(df, c) for c in cols}), pairs)
 
 
-def spearman_complete(df: DataFrame, x: Column, y: Column) -> tuple:
-    """(rho, n) with ranks taken after removing the rows where either is missing."""
-    d = df.select(x.cast("double").alias("x"), y.cast("double").alias("y")).filter("x is not null and y is not null")
-    ranked, exprs = with_ranks(d, ["x", "y"])
-    return pair_corr(ranked, exprs)[("x", "y")]
+def spearman_complete(df: DataFrame, pairs: dict) -> dict:
+    """{name: (rho, n)} of the expressions (x, y) under each name, ranks taken after removing the rows where either is missing.
+
+    Both sides of every pair become columns of one folded table, so all pairs share its exchanges.
+    """
+    sides = {(name, i): F.when(pair[0].isNotNull() & pair[1].isNotNull(), pair[i]) for name, pair in pairs.items() for i in (0, 1)}
+    if not sides:
+        return {}
+    found = pair_corr(*ranked(df, sides), [((name, 0), (name, 1)) for name in pairs])
+    return {name: found[(name, 0), (name, 1)] for name in pairs}
 
 
 def kendall(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Kendall tau-b of every pair over all complete rows."""
-    found = {}
-    for a, b in itertools.combinations(cols, 2):
-        found[(a, b)] = kendall_tau(df, C.as_numeric(df, a), C.as_numeric(df, b))
-    return _pairs_table(df, found, "kendall")
+    """Kendall tau-b of every pair over all rows that have both."""
+    return _pairs_table(df, kendall_pairs(df, {c: C.exact_numeric(df, c) for c in cols}), "kendall")
+
 
+def kendall_tau(df: DataFrame, x: Column, y: Column) -> tuple:
+    """(tau-b, n)."""
+    return kendall_pairs(df, {"x": x, "y": y})[("x", "y")]
 
-def kendall_tau(df: DataFrame, x: Column, y: Column, grid: int | None = None) -> tuple:
-    """(tau-b, n) without forming pairs.
 
-    Distinct (x, y) points with counts are placed on a grid of value ranges. Points in different rows and columns
-    of the grid are compared through the cell totals alone; points that share a range in x (or, failing that, in y)
-    are compared inside that strip by sorting. A value with very many points is a strip of its own, where every
-    comparison is a tie, so it needs no work at all.
+def kendall_pairs(df: DataFrame, exprs: dict[str, Column]) -> dict[tuple, tuple]:
+    """{(a, b): (tau-b, n)} without forming pairs of rows: the inversions of y's order in x's order are counted level by level.
+
+    Every value becomes its dense rank. Two points with different y part ways at one level: the highest LEVEL_BITS bits in which
+    their y ranks differ, below a common beginning. So points are sent once to each level, under the beginning they have
+    there; each (level, beginning, x) keeps how many points go to which branch, running totals over x count the branches
+    among points with a smaller x, and smaller branches there are concordant pairs, larger ones discordant. Equal x or
+    equal y never meet. Totals run over range exchanges (ranks.totals_before), so no beginning, not even the empty one
+    that holds all points, is a group in one task; all pairs of columns and all levels share them.
     """
-    from millrace.operators.ranks import cut_points, in_ranges
-    d = df.select(x.cast("double").alias("x"), y.cast("double").alias("y")).filter("x is not null and y is not null")
-    points = d.groupBy("x", "y").agg(F.count("*").alias("w"))
+    names = list(exprs)
+    pairs = list(itertools.combinations(range(len(names)), 2))
+    if not pairs:
+        return {}
+    ranks, _ = ranked(df, exprs, dense=True)
+    points = F.array(*[F.when(F.col(f"r{a}").isNotNull() & F.col(f"r{b}").isNotNull(),
+                              F.struct(F.lit(i).alias("pair"), F.col(f"r{a}").cast("long").alias("x"), F.col(f"r{b}").cast("long").alias("y"))) for i, (a, b) in enumerate(pairs)])
+    points = stored(ranks.select(F.explode(points).alias("p")).filter("p is not null").select("p.*").groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w")), "points")
     ties = {}
     for v in ("x", "y"):
-        r = d.groupBy(v).count().agg(F.sum("count").alias("n"),
-                                     F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("t")).first()
-        n, ties[v] = r["n"] or 0, r["t"] or 0.0
-    pairs = n * (n - 1) / 2
-    if n < 2 or pairs == ties["x"] or pairs == ties["y"]:
-        return None, n
-    # at most 500 strips a side keep the collected grid under 250,000 cells
-    rows = max(100_000, points.count() // 500) if grid is None else grid
-    ex, ey = cut_points(points, F.col("x"), rows, hot=True), cut_points(points, F.col("y"), rows, hot=True)
-    placed = in_ranges(in_ranges(points, "x", ex, "gx"), "y", ey, "gy")
-    total = _grid_score(placed.groupBy("gx", "gy").agg(F.sum("w").alias("w")).collect(), len(ex) - 1, len(ey) - 1)
-    lone_x = [float(i) for i in range(len(ex) - 1) if np.nextafter(ex[i], np.inf) == ex[i + 1]]
-    lone_y = [float(i) for i in range(len(ey) - 1) if np.nextafter(ey[i], np.inf) == ey[i + 1]]
-    strips = placed.filter(~F.col("gx").isin(lone_x)).groupBy("gx").applyInPandas(
-        lambda p: _strip_score(p["x"], p["y"], p["w"]), "s double")
-    total += strips.agg(F.sum("s")).first()[0] or 0.0
-    # same y strip: all pairs of the strip, less those that also share the x strip (counted above)
-    wide = placed.filter(~F.col("gy").isin(lone_y))
-    total += wide.groupBy("gy").applyInPandas(lambda p: _strip_score(p["x"], p["y"], p["w"]), "s double").agg(F.sum("s")).first()[0] or 0.0
-    both = wide.filter(~F.col("gx").isin(lone_x)).groupBy("gx", "gy").applyInPandas(
-        lambda p: _strip_score(p["x"], p["y"], p["w"]), "s double")
-    total -= both.agg(F.sum("s")).first()[0] or 0.0
-    return float(total / np.sqrt((pairs - ties["x"]) * (pairs - ties["y"]))), n
-
-
-def _grid_score(cells, nx: int, ny: int) -> float:
-    """Concordant minus discordant weight between cells that differ in both directions."""
-    g = np.zeros((nx, ny))
-    for r in cells:
-        g[int(r["gx"]), int(r["gy"])] = r["w"]
-    below = np.zeros((nx + 1, ny + 1))
-    below[1:, 1:] = g.cumsum(0).cumsum(1)
-    less = below[:-1, :-1]
-    more = below[:-1, -1:] - below[:-1, 1:]
-    return float((g * (less - more)).sum())
-
-
-def _strip_score(x, y, w):
-    """Concordant minus discordant weight inside one strip, by merging sorted halves."""
-    import pandas as pd
-    order = np.lexsort((y, x))
-    gx = np.unique(np.asarray(x)[order], return_inverse=True)[1]
-    gy = np.unique(np.asarray(y)[order], return_inverse=True)[1]
-    w = np.asarray(w, float)[order]
-    tree = np.zeros(gy.max() + 2)
-    score, i, total = 0.0, 0, 0.0
-    while i < len(gx):
-        j = i
-        while j < len(gx) and gx[j] == gx[i]:
-            up, low, k = 0.0, 0.0, int(gy[j])
-            while k > 0:
-                low += tree[k]
-                k -= k & -k
-            k = int(gy[j]) + 1
-            while k > 0:
-                up += tree[k]
-                k -= k & -k
-            score += w[j] * (low - (total - up))
-            j += 1
-        for q in range(i, j):
-            k = int(gy[q]) + 1
-            while k < len(tree):
-                tree[k] += w[q]
-                k += k & -k
-            total += w[q]
-        i = j
-    return pd.DataFrame({"s": [score]})
+        w = F.col("w").cast("double")
+        for r in points.groupBy("pair", v).agg(F.sum("w").alias("w")).groupBy("pair").agg(F.sum("w").alias("n"), F.sum(w * (w - 1) / 2).alias("t")).collect():
+            ties[r["pair"], v] = r["n"], r["t"]
+    top = points.agg(F.max("y")).first()[0] or 0
+    levels = range(-(-int(top).bit_length() // LEVEL_BITS))
+    branches = 1 << LEVEL_BITS
+    score = {}
+    if levels:
+        at = [F.struct(F.lit(level).alias("level"), F.shiftright("y", (level + 1) * LEVEL_BITS).alias("beginning"),
+                       F.shiftright("y", level * LEVEL_BITS).bitwiseAND(branches - 1).alias("branch")) for level in levels]
+        sent = points.select("pair", "x", "w", F.explode(F.array(*at)).alias("p")).select("pair", "x", "w", "p.*")
+        cells = sent.groupBy("pair", "level", "beginning", "x").agg(*[F.sum(F.when(F.col("branch") == b, F.col("w")).otherwise(0)).alias(f"w{b}") for b in range(branches)])
+        before = totals_before(cells, [f"w{b}" for b in range(branches)], ("pair", "level", "beginning"), "x")
+        smaller = [F.col(f"w{b}").cast("double") * F.col(f"w{a}_before") for b in range(branches) for a in range(b)]
+        larger = [F.col(f"w{b}").cast("double") * F.col(f"w{a}_before") for b in range(branches) for a in range(b + 1, branches)]
+        score = {r["pair"]: r["s"] for r in before.groupBy("pair").agg(F.sum(functools.reduce(operator.add, smaller) - functools.reduce(operator.add, larger)).alias("s")).collect()}
+    out = {}
+    for i, (a, b) in enumerate(pairs):
+        n, tx = ties.get((i, "x"), (0, 0.0))
+        ty = ties.get((i, "y"), (0, 0.0))[1]
+        total = n * (n - 1) / 2
+        out[names[a], names[b]] = (None if n < 2 or total in (tx, ty) else float(score.get(i, 0.0) / np.sqrt((total - tx) * (total - ty))), n)
+    return out

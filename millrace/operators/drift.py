@@ -3,17 +3,18 @@ from __future__ import annotations
 
 import itertools
 import math
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.keys import Numbers, between
 from millrace.operators import columns as C
 from millrace.operators.correlation import pair_corr
 from millrace.operators.counts import value_counts
 from millrace.operators.profile import duplicate_rows, moments, small_table
-from millrace.operators.quantiles import exact_quantiles
-from millrace.operators.ranks import folded_ranges, totals_before
-
+from millrace.operators.ranks import totals_before
+from millrace.session import stored
 
 
 def schema_diff(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -31,19 +32,18 @@ def gap_shares(df: DataFrame, cols: list[str] | None = None) -> tuple[int, dict]
     return r["rows"], {c: r[f"m{i}"] / r["rows"] * 100 if r["rows"] else 0.0 for i, c in enumerate(cols)}
 
 
-def summary_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows, columns, repeated rows and missing cells of both tables."""
+def summary_diff(a: DataFrame, b: DataFrame, counted: tuple | None = None) -> DataFrame:
+    """Rows, columns, repeated rows and missing cells of both tables. counted: gap_shares of both, if known."""
     facts = []
-    for d in (a, b):
-        rows, gaps = gap_shares(d)
+    for d, (rows, gaps) in zip((a, b), counted or (gap_shares(a), gap_shares(b))):
         facts.append({"rows": rows, "columns": len(d.columns), "duplicate rows": duplicate_rows(d), "missing cells %": sum(gaps.values()) / len(gaps)})
     rows = [{"metric": k, "before": float(facts[0][k]), "after": float(facts[1][k]), "change": float(facts[1][k] - facts[0][k])} for k in facts[0]]
     return small_table(a.sparkSession, rows, "metric string, before double, after double, change double")
 
 
-def missing_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+def missing_diff(a: DataFrame, b: DataFrame, counted: tuple | None = None) -> DataFrame:
     shared = [c for c in a.columns if c in b.columns]
-    x, y = gap_shares(a, shared)[1], gap_shares(b, shared)[1]
+    x, y = (g for _, g in (counted or (gap_shares(a, shared), gap_shares(b, shared))))
     return small_table(a.sparkSession, [{"column": c, "before_pct": x[c], "after_pct": y[c], "change": y[c] - x[c]} for c in shared],
                        "column string, before_pct double, after_pct double, change double")
 
@@ -64,52 +64,85 @@ def psi_from_counts(edges: list[float], a: dict[int, int], b: dict[int, int], na
     return total
 
 
-def stability(a: DataFrame, b: DataFrame, cols: list[str], bins: int = 10) -> dict[str, float | None]:
-    """Population stability index: bins [low, high) at the quantiles of a, both ends open to infinity."""
-    wide = {c: F.col(f"c{i}") for i, c in enumerate(cols)}
-    a, b = (d.select(*[C.as_numeric(d, c).alias(f"c{i}") for i, c in enumerate(cols)]) for d in (a, b))
-    q = exact_quantiles(a, wide, [i / bins for i in range(bins + 1)])
-    edges = {c: sorted({v for v in q[c] if v is not None}) for c in cols}
-    live = [c for c in cols if len(edges[c]) >= 3]
-    counts = []
-    for d in (a, b):
-        table: dict = {c: {} for c in live}
-        if live:
-            bin_no = [sum((F.when(wide[c] >= e, 1).otherwise(0) for e in edges[c][1:-1]), F.lit(0)) for c in live]
-            cells = F.array(*[F.struct(F.lit(i).alias("k"), F.when(wide[c].isNotNull(), n).alias("bin")) for i, (c, n) in enumerate(zip(live, bin_no))])
-            for r in d.select(F.explode(cells).alias("x")).select("x.*").filter("bin is not null").groupBy("k", "bin").count().collect():
-                table[live[r["k"]]][r["bin"]] = r["count"]
-        counts.append(table)
-    return {c: psi_from_counts(edges[c], counts[0][c], counts[1][c], sum(counts[0][c].values()), sum(counts[1][c].values()))
-            if c in live else None for c in cols}
-
-
-def paired_shapes(a: DataFrame, b: DataFrame, cols: list[str], bins: int = 10, rows: int | None = None) -> dict[str, dict]:
-    """Medians, KS distance and stability index per column, each measure in passes over all columns."""
-    if not cols:
+class Sides(NamedTuple):
+    """The distinct values of both versions of some columns: table (k, key, na, nb, na_before, nb_before), in order of the
+    values, and the rows with a value in each version by k."""
+    numbers: Numbers
+    table: DataFrame
+    sizes: dict[int, tuple[int, int]]
+
+
+def sides(a: DataFrame, b: DataFrame, cols: list[str]) -> Sides:
+    """Counted, ordered and written once; medians, deciles, stability and KS distance are all read off it."""
+    both = [d.select(F.lit(n).alias("side"), *[_comparable(a, b, d, c).alias(f"v{i}") for i, c in enumerate(cols)]) for n, d in enumerate((a, b))]
+    numbers = Numbers(both[0].unionByName(both[1]), [F.col(f"v{i}") for i in range(len(cols))], [F.col("side")])
+    counts = numbers.rows().groupBy("k", "key").agg(F.sum(1 - F.col("side")).alias("na"), F.sum("side").alias("nb"))
+    table = stored(totals_before(counts, ["na", "nb"]), "sides")
+    sizes = {r["k"]: (r["na"], r["nb"]) for r in table.groupBy("k").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb")).collect()}
+    return Sides(numbers, table, sizes)
+
+
+def _comparable(a: DataFrame, b: DataFrame, d: DataFrame, name: str) -> Column:
+    """The column in its own type where both versions have it in the same one, else as doubles."""
+    return C.exact_numeric(d, name) if a.schema[name].dataType == b.schema[name].dataType else C.as_numeric(d, name)
+
+
+def side_quantiles(s: Sides, probs: dict[str, list[float]]) -> dict[tuple[int, str], list[float]]:
+    """Interpolated quantiles by (k, side); probs: those wanted of side "a" and of side "b"."""
+    places = {(k, side): [(n - 1) * p for p in probs[side]] for k, own in s.sizes.items() for side, n in zip("ab", own) if n}
+    wanted = {(k, side, r) for (k, side), own in places.items() for h in own for r in (math.floor(h), math.ceil(h))}
+    if not wanted:
         return {}
-    ea, eb = {c: C.as_numeric(a, c) for c in cols}, {c: C.as_numeric(b, c) for c in cols}
-    qa, qb = exact_quantiles(a, ea, [0.5]), exact_quantiles(b, eb, [0.5])
-    psi, ks = stability(a, b, cols, bins), ks_statistics(a, b, cols)
-    both = [c for c in cols if qa[c][0] is not None and qb[c][0] is not None]
-    return {c: {"median_before": qa[c][0] if c in both else None, "median_after": qb[c][0] if c in both else None, "psi": psi[c], "ks": ks[c]} for c in cols}
+    small = F.broadcast(s.table.sparkSession.createDataFrame(sorted(wanted), "wk int, side string, rank long"))
+    start, n = (F.when(F.col("side") == "a", F.col(f"na{x}")).otherwise(F.col(f"nb{x}")) for x in ("_before", ""))
+    hit = s.table.join(small, (F.col("k") == F.col("wk")) & (F.col("rank") >= start) & (F.col("rank") < start + n))
+    at = {(r["k"], r["side"], r["rank"]): s.numbers.number[r["k"]](r["key"]) for r in hit.select("k", "side", "rank", "key").collect()}
+    return {(k, side): [between(at[k, side, math.floor(h)], at[k, side, math.ceil(h)], h - math.floor(h)) for h in own] for (k, side), own in places.items()}
 
 
-def ks_statistics(a: DataFrame, b: DataFrame, cols: list[str]) -> dict[str, float | None]:
+def stability(a: DataFrame, b: DataFrame, cols: list[str], bins: int = 10, found: Sides | None = None) -> dict[str, float | None]:
+    """Population stability index: bins [low, high) at the quantiles of a, both ends open to infinity."""
+    s = found or sides(a, b, cols)
+    q = side_quantiles(s, {"a": [i / bins for i in range(bins + 1)], "b": []})
+    return _stability(s, cols, {k: v for (k, side), v in q.items() if side == "a"})
+
+
+def _stability(s: Sides, cols: list[str], deciles: dict[int, list[float]]) -> dict[str, float | None]:
+    edges = {k: sorted(set(v)) for k, v in deciles.items()}
+    live = {k: [s.numbers.least_key(k, e) for e in own[1:-1]] for k, own in edges.items() if len(own) >= 3}
+    counts: dict = {}
+    if live:
+        inner = F.broadcast(s.table.sparkSession.createDataFrame(list(live.items()), "k int, edges array<long>"))
+        binned = s.table.join(inner, "k").withColumn("bin", F.expr("size(filter(edges, e -> e <= key))"))
+        for r in binned.groupBy("k", "bin").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb")).collect():
+            counts.setdefault(r["k"], ({}, {}))
+            counts[r["k"]][0][r["bin"]], counts[r["k"]][1][r["bin"]] = r["na"], r["nb"]
+    return {c: psi_from_counts(edges[k], *counts[k], *s.sizes[k]) if k in live else None for k, c in enumerate(cols)}
+
+
+def ks_statistics(a: DataFrame, b: DataFrame, cols: list[str], found: Sides | None = None) -> dict[str, float | None]:
     """Two-sample Kolmogorov-Smirnov distance of all columns at once, from running totals over their distinct values."""
     if not cols:
         return {}
-    sides = [d.select(F.lit(n).alias("side"), *[C.as_numeric(d, c).alias(f"v{i}") for i, c in enumerate(cols)]) for n, d in enumerate((a, b))]
-    exprs = {c: F.col(f"v{i}") for i, c in enumerate(cols)}
-    table = (folded_ranges(sides[0].unionByName(sides[1]), exprs, ["side"]).groupBy("k", "range_id", "v")
-             .agg(F.sum(1 - F.col("side")).alias("na"), F.sum("side").alias("nb")))
-    size = table.groupBy("k").agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
+    s = found or sides(a, b, cols)
+    size = s.table.sparkSession.createDataFrame([(k, ta, tb) for k, (ta, tb) in s.sizes.items()], "k int, ta long, tb long")
     gap = F.abs((F.col("na_before") + F.col("na")) / F.col("ta") - (F.col("nb_before") + F.col("nb")) / F.col("tb"))
-    found = (totals_before(table, ["na", "nb"]).join(F.broadcast(size), "k").filter("ta > 0 and tb > 0").groupBy("k").agg(F.max(gap).alias("ks")).collect())
-    out = {r["k"]: r["ks"] for r in found}
+    out = {r["k"]: r["ks"] for r in s.table.join(F.broadcast(size.filter("ta > 0 and tb > 0")), "k").groupBy("k").agg(F.max(gap).alias("ks")).collect()}
     return {c: out.get(i) for i, c in enumerate(cols)}
 
 
+def paired_shapes(a: DataFrame, b: DataFrame, cols: list[str], bins: int = 10) -> dict[str, dict]:
+    """Medians, KS distance and stability index per column, all from one ordered table of both versions."""
+    if not cols:
+        return {}
+    s = sides(a, b, cols)
+    q = side_quantiles(s, {"a": [i / bins for i in range(bins + 1)] + [0.5], "b": [0.5]})
+    psi = _stability(s, cols, {k: v[:-1] for (k, side), v in q.items() if side == "a"})
+    ks = ks_statistics(a, b, cols, s)
+    both = {c for k, c in enumerate(cols) if (k, "a") in q and (k, "b") in q}
+    return {c: {"median_before": q[k, "a"][-1] if c in both else None, "median_after": q[k, "b"][0] if c in both else None, "psi": psi[c], "ks": ks[c]} for k, c in enumerate(cols)}
+
+
 NUMERIC = ("column string, mean_before double, mean_after double, median_before double, median_after double, mean_shift_sd double, "
            "ks double, psi double, drift string")
 
@@ -119,7 +152,7 @@ def numeric_drift(a: DataFrame, b: DataFrame, cols: list[str] | None = None) ->
     ea, eb = {c: C.as_numeric(a, c) for c in cols}, {c: C.as_numeric(b, c) for c in cols}
     ma, mb = moments(a, ea), moments(b, eb)
     cols = [c for c in cols if ma[c]["n"] and mb[c]["n"]]
-    shape = paired_shapes(a, b, cols, rows=max(m[c]["rows"] for m in (ma, mb) for c in cols) if cols else 0)
+    shape = paired_shapes(a, b, cols)
     rows = [{"column": c, "mean_before": ma[c]["mean"], "mean_after": mb[c]["mean"],
              "mean_shift_sd": (mb[c]["mean"] - ma[c]["mean"]) / ma[c]["std"] if ma[c]["std"] else None,
              **shape[c], "drift": level(shape[c]["psi"])} for c in cols]
@@ -171,16 +204,19 @@ def correlation_change(a: DataFrame, b: DataFrame, at_least: float = 0.2, top: i
     return small_table(a.sparkSession, rows[:top], "column_a string, column_b string, before double, after double, change double")
 
 
-def drift_flags(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(level, kind, column): the changes worth a look."""
-    rows = [{"level": "warning", "kind": "numeric drift", "column": r["column"]} for r in numeric_drift(a, b).filter("drift = 'large'").collect()]
-    rows += [{"level": "warning", "kind": "new categories", "column": r["column"]} for r in categorical_drift(a, b).filter("n_new > 0").collect()]
-    for r in schema_diff(a, b).collect():
+def drift_flags(a: DataFrame, b: DataFrame, numeric: DataFrame | None = None, categorical: DataFrame | None = None, schema: DataFrame | None = None) -> DataFrame:
+    """(level, kind, column): the changes worth a look. Tables that are at hand are read instead of made again."""
+    numeric, categorical, schema = numeric or numeric_drift(a, b), categorical or categorical_drift(a, b), schema or schema_diff(a, b)
+    rows = [{"level": "warning", "kind": "numeric drift", "column": r["column"]} for r in numeric.filter("drift = 'large'").collect()]
+    rows += [{"level": "warning", "kind": "new categories", "column": r["column"]} for r in categorical.filter("n_new > 0").collect()]
+    for r in schema.collect():
         rows.append({"level": "info" if r["change"] == "added" else "warning", "kind": f"column {r['change']}", "column": r["column"]})
     return small_table(a.sparkSession, rows, "level string, kind string, column string")
 
 
 def compare(a: DataFrame, b: DataFrame) -> dict[str, DataFrame]:
-    """Every comparison table by name."""
-    return {"summary": summary_diff(a, b), "schema": schema_diff(a, b), "missing": missing_diff(a, b), "numeric": numeric_drift(a, b),
-            "categorical": categorical_drift(a, b), "correlations": correlation_change(a, b), "flags": drift_flags(a, b)}
+    """Every comparison table by name; each is made once, the flags are read off the others."""
+    counted, schema, numeric = (gap_shares(a), gap_shares(b)), schema_diff(a, b), numeric_drift(a, b)
+    categorical = stored(categorical_drift(a, b), "categorical")
+    return {"summary": summary_diff(a, b, counted), "schema": schema, "missing": missing_diff(a, b, counted), "numeric": numeric, "categorical": categorical,
+            "correlations": correlation_change(a, b), "flags": drift_flags(a, b, numeric, categorical, schema)}

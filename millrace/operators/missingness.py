@@ -13,7 +13,7 @@ from millrace.operators.association import cramers
 from millrace.operators.correlation import pair_corr
 from millrace.operators.counts import distinct_counts
 from millrace.operators.profile import small_table
-from millrace.operators.ranks import folded_ranges, totals_before
+from millrace.operators.ranks import value_counts_before
 
 
 def flags(df: DataFrame, cols: list[str]) -> dict:
@@ -67,10 +67,8 @@ def rank_tests(df: DataFrame, others: list[str], gaps: list[str], flag: dict, ro
     marks = [f"k{i}" for i in range(len(gaps))]
     if not others or not gaps:
         return {}
-    marked = df.select("*", *[flag[g].alias(k) for g, k in zip(gaps, marks)])
-    table = (folded_ranges(marked, {o: C.as_numeric(df, o) for o in others}, marks).groupBy("k", "range_id", "v")
-             .agg(F.count(F.lit(1)).alias("n"), *[F.sum(k).alias(k) for k in marks]))
-    ranked = totals_before(table, ["n"]).withColumn("rank", F.col("n_before") + (F.col("n") + 1) / 2)
+    counts = value_counts_before(df, [C.exact_numeric(df, o) for o in others], {k: flag[g] for g, k in zip(gaps, marks)})
+    ranked = counts.withColumn("rank", F.col("n_before") + (F.col("n") + 1) / 2)
     aggs = [F.sum("n").alias("n"), F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("ties")]
     for k in marks:
         aggs += [F.sum(k).alias(f"n_{k}"), F.sum(F.col(k) * F.col("rank")).alias(f"r_{k}"), F.count(F.when(F.col(k) > 0, 1)).alias(f"a_{k}"),

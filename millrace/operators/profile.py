@@ -91,7 +91,7 @@ def shapes(df: DataFrame, exprs: dict[str, Column], rows: int | None = None) ->
     the values outside them; a pass per measure for all columns."""
     if not exprs:
         return {}
-    f, n = fences(df, exprs), moments_count(df, exprs)
+    f, n = fences(df, {c: stored_values(df, c, x) for c, x in exprs.items()}), moments_count(df, exprs)
     u = distinct_counts(df, {c: stored_values(df, c, x) for c, x in exprs.items()})
     out, _ = count_outside(df, exprs, {c: (f[c]["low"], f[c]["high"]) for c in exprs if f[c]["iqr"]})
     return {c: {**f[c], "n": n[c], "unique": u[c], "outliers": out.get(c, 0)} for c in exprs}

@@ -1,21 +1,25 @@
 """Exact quantiles of many columns together, by one plan at any size.
 
-A round narrows every open bracket of every column: approximate percentiles give a few hundred pivots for each bracket, a
-histogram over the pivots tells which piece holds each wanted rank. A pivot opens a piece of its own, so a repeated value
-ends its search at once. Pieces of few rows (the counts are exact) are read in one last job. Both jobs of a round are
-map-side aggregations for all columns at once; the number of rounds is the logarithm of the rows to the base of the pivots.
+Values are taken as sortable longs (functions.keys). The first round counts them by their leading bits, for all columns in
+one map-side aggregation; each cell also brings its smallest and largest key. Only cells that hold a wanted rank stay
+open, and the next round cuts them by their next bits, finely enough that all cells together stay below CELLS. A cell
+whose smallest and largest keys agree is settled, so a repeated value ends its own search, and the bits of a long run out:
+a round always narrows what is open. Once the open cells hold few rows the last round counts whole keys.
 """
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
+from typing import NamedTuple
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PIVOTS = 400
-#: Rows that the last job may read over all columns.
-READ_ROWS = 200_000
+from millrace.functions.keys import Number, Numbers, between
+
+#: Bits of a long that the first round leaves aside (sign, exponent and four bits of the fraction count), and the number of
+#: cells that a round may bring to the driver over all columns.
+FIRST_SHIFT, CELLS = 48, 50_000
 
 
 def folded(df: DataFrame, exprs: dict[str, Column], nulls: bool = False, weight: str | None = None) -> DataFrame:
@@ -27,111 +31,84 @@ def folded(df: DataFrame, exprs: dict[str, Column], nulls: bool = False, weight:
 
 
 def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float], weight: str | None = None) -> dict[str, list]:
-    """Linearly interpolated quantiles per named double expression; None where the expression is all NULL."""
+    """Linearly interpolated quantiles per named numeric expression; None where the expression is all NULL."""
     if not exprs:
         return {}
-    names = list(exprs)
-    data = _columns(df, [exprs[c] for c in names], weight)
-    found = _pivots(data, [(i, -math.inf, math.inf) for i in range(len(names))])
-    places, ranks = {}, {}
-    for i, (n, _) in enumerate(found):
-        places[i] = [(n - 1) * p for p in probs] if n else []
-        ranks[i] = {r for h in places[i] for r in (math.floor(h), math.ceil(h))}
-    at = _search(data, ranks, {i: p for i, (_, p) in enumerate(found)})
+    numbers = _numbers(df, list(exprs.values()), weight)
+    found = _search(numbers, {i: probs for i in range(len(exprs))})
     out: dict[str, list] = {}
-    for i, c in enumerate(names):
-        low = [at[i, math.floor(h)] for h in places[i]]
-        high = [at[i, math.ceil(h)] for h in places[i]]
-        out[c] = [a + (b - a) * (h - math.floor(h)) for a, b, h in zip(low, high, places[i])] or [None] * len(probs)
+    for i, c in enumerate(exprs):
+        total, values = found.get(i, (0, {}))
+        places = [(total - 1) * p for p in probs] if total else []
+        out[c] = [between(values[math.floor(h)], values[math.ceil(h)], h - math.floor(h)) for h in places] or [None] * len(probs)
     return out
 
 
-def order_statistics(df: DataFrame, expr: Column, ranks: list[int], weight: str | None = None) -> dict[int, float]:
+def order_statistics(df: DataFrame, expr: Column, ranks: list[int], weight: str | None = None) -> dict[int, Number]:
     """Values at 0-based ranks of the sorted non-null values."""
-    data = _columns(df, [expr], weight)
-    (_, pivots), = _pivots(data, [(0, -math.inf, math.inf)])
-    return {r: v for (_, r), v in _search(data, {0: set(ranks)}, {0: pivots}).items()}
-
-
-def _columns(df: DataFrame, exprs: list[Column], weight: str | None) -> DataFrame:
-    """w, and c0, c1, ... as doubles; infinite values stay, NaN and rows without weight do not count."""
-    w = (F.col(weight) if weight else F.lit(1)).cast("long").alias("w")
-    return df.select(w, *[F.nanvl(x.cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, x in enumerate(exprs)]).filter("w > 0")
-
-
-def _inside(i: int, low: float, high: float) -> Column:
-    c = F.col(f"c{i}")
-    return c.isNotNull() & (c >= low) & ((c <= high) if math.isinf(high) else (c < high))
-
-
-def _pivots(data: DataFrame, brackets: list[tuple[int, float, float]]) -> list[tuple[int, list[float]]]:
-    """Weight and pivots of each bracket (column, low, high), in one aggregation."""
-    steps = [j / PIVOTS for j in range(PIVOTS + 1)]
-    aggs = []
-    for b, (i, low, high) in enumerate(brackets):
-        here = _inside(i, low, high)
-        aggs += [F.sum(F.when(here, F.col("w"))).alias(f"n{b}"), F.percentile_approx(F.when(here, F.col(f"c{i}")), steps, 4000).alias(f"p{b}")]
-    r = data.agg(*aggs).first()
-    return [(int(r[f"n{b}"] or 0), sorted(set(r[f"p{b}"] or []))) for b in range(len(brackets))]
-
-
-def _edges(low: float, high: float, pivots: list[float]) -> list[float]:
-    after = [math.nextafter(p, math.inf) for p in pivots]
-    return sorted({low, high, *(x for x in pivots + after if low < x < high)})
-
-
-def _search(data: DataFrame, ranks: dict[int, set[int]], first: dict[int, list[float]]) -> dict[tuple[int, int], float]:
-    """(column, rank) -> value."""
-    found: dict[tuple[int, int], float] = {}
-    open_ = {i: [(-math.inf, math.inf, 0, sorted(r), first[i])] for i, r in ranks.items() if r}
-    while open_:
-        splits = {}
-        for i, brackets in open_.items():
-            edges = {-math.inf, math.inf}
-            for low, high, _, _, pivots in brackets:
-                edges.update(_edges(low, high, pivots))
-            splits[i] = sorted(edges)
-        cols = sorted(splits)
-        cut = Bucketizer(splitsArray=[splits[i] for i in cols], inputCols=[f"c{i}" for i in cols], outputCols=[f"b{i}" for i in cols], handleInvalid="keep").transform(data)
-        cells = F.array(*[F.struct(F.lit(i).alias("k"), F.when(F.col(f"c{i}").isNotNull(), F.col(f"b{i}").cast("int")).alias("piece")) for i in cols])
-        sums: dict[tuple[int, int], int] = {(r["k"], r["piece"]): r["n"] for r in cut.select("w", F.explode(cells).alias("x")).select("w", "x.*").filter("piece is not null")
-                                            .groupBy("k", "piece").agg(F.sum("w").alias("n")).collect()}
-        left = []
-        for i, brackets in open_.items():
-            for low, high, before, wanted, pivots in brackets:
-                at, start = splits[i].index(low), before
-                for low_, high_ in zip(splits[i][at:], splits[i][at + 1:splits[i].index(high) + 1]):
-                    stop = start + sums.get((i, at), 0)
-                    inside = [r for r in wanted if start <= r < stop]
-                    if inside and (math.nextafter(low_, math.inf) == high_ or low_ == math.inf):
-                        found.update({(i, r): low_ for r in inside})
-                    elif inside:
-                        left.append((i, low_, high_, start, inside, stop - start))
-                    start, at = stop, at + 1
-        most = READ_ROWS // max(1, len(left))
-        found.update(_read(data, [x for x in left if x[5] <= most]))
-        wide = [x for x in left if x[5] > most]
-        open_ = {}
-        if wide:
-            for (i, low, high, start, inside, _), (_, pivots) in zip(wide, _pivots(data, [x[:3] for x in wide])):
-                open_.setdefault(i, []).append((low, high, start, inside, pivots))
-    return found
-
-
-def _read(data: DataFrame, pieces: list[tuple]) -> dict[tuple[int, int], float]:
-    """Ranks inside pieces of few rows, from their value counts in one job."""
-    if not pieces:
-        return {}
-    cells = F.array(*[F.struct(F.lit(b).alias("b"), F.when(_inside(i, low, high), F.col(f"c{i}")).alias("v")) for b, (i, low, high, *_) in enumerate(pieces)])
-    rows = data.select("w", F.explode(cells).alias("x")).select("w", "x.*").filter("v is not null").groupBy("b", "v").agg(F.sum("w").alias("n")).collect()
-    out = {}
-    by: dict[int, list] = {}
-    for r in rows:
-        by.setdefault(r["b"], []).append((r["v"], r["n"]))
-    for b, (i, _, _, start, wanted, _) in enumerate(pieces):
-        want = sorted(wanted)
-        for v, n in sorted(by.get(b, [])):
-            start += n
-            while want and want[0] < start:
-                out[i, want.pop(0)] = v
+    return _search(_numbers(df, [expr], weight), {}, {0: set(ranks)})[0][1] if ranks else {}
+
+
+def _numbers(df: DataFrame, exprs: list[Column], weight: str | None) -> Numbers:
+    """Infinite values stay, NaN and rows without weight do not count."""
+    if weight:
+        return Numbers(df.filter(F.col(weight) > 0), exprs, [F.col(weight).cast("long").alias("w")])
+    return Numbers(df, exprs)
+
+
+class Open(NamedTuple):
+    """Keys low .. high hold `n` values, of which the first has the rank `start`; `wanted` are ranks among them."""
+    low: int
+    high: int
+    start: int
+    n: int
+    wanted: list[int]
+
+
+def _counts(numbers: Numbers, shifts: dict[int, int], within: dict[int, list[tuple[int, int]]] | None) -> dict[int, list[tuple[int, int, int]]]:
+    """For each column its cells (smallest key, largest key, weight), in order."""
+    rows = numbers.rows(within)
+    cut = F.coalesce(*[F.when(F.col("k").isin([i for i, s in shifts.items() if s == shift]), F.shiftright("key", shift)) for shift in sorted(set(shifts.values()))])
+    weight = F.sum("w") if "w" in numbers.extra else F.count(F.lit(1))
+    cells = rows.groupBy("k", cut.alias("cell")).agg(weight.alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).collect()
+    out: dict[int, list[tuple[int, int, int]]] = {}
+    for r in cells:
+        out.setdefault(r["k"], []).append((r["a"], r["b"], r["n"]))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def _search(numbers: Numbers, probs: dict[int, list[float]], ranks: dict[int, set[int]] | None = None) -> dict[int, tuple[int, dict[int, Number]]]:
+    """For each column with values: their weight, and the values at the wanted ranks (those around each probability)."""
+    first = _counts(numbers, {i: FIRST_SHIFT for i in range(len(numbers.number))}, None)
+    out: dict[int, tuple[int, dict[int, Number]]] = {}
+    open_: dict[int, list[Open]] = {}
+    for i, cells in first.items():
+        total = sum(n for *_, n in cells)
+        out[i] = (total, {})
+        wanted = ranks[i] if ranks else {r for p in probs[i] for r in (math.floor((total - 1) * p), math.ceil((total - 1) * p))}
+        _settle(out[i][1], open_.setdefault(i, []), cells, 0, sorted(wanted), numbers.number[i])
+    while open_ := {i: pieces for i, pieces in open_.items() if pieces}:
+        pieces = sum(map(len, open_.values()))
+        few = sum(p.n for own in open_.values() for p in own) <= CELLS
+        bits = max(1, int(math.log2(max(2, CELLS // pieces))))
+        shifts = {i: 0 if few else max(0, max((p.high - p.low).bit_length() for p in own) - bits) for i, own in open_.items()}
+        found = _counts(numbers, shifts, {i: [(p.low, p.high) for p in own] for i, own in open_.items()})
+        left: dict[int, list[Open]] = {}
+        for i, own in open_.items():
+            for piece in own:
+                cells = [c for c in found[i] if piece.low <= c[0] <= piece.high]
+                _settle(out[i][1], left.setdefault(i, []), cells, piece.start, piece.wanted, numbers.number[i])
+        open_ = left
     return out
+
+
+def _settle(found: dict[int, Number], left: list[Open], cells: Iterable[tuple[int, int, int]], start: int, wanted: list[int], number) -> None:
+    """Ranks in cells of a single key, and the first and last rank of any cell, are found; others stay open."""
+    for a, b, n in cells:
+        inside = [r for r in wanted if start <= r < start + n]
+        found.update({r: number(a) for r in inside if a == b or r == start})
+        found.update({r: number(b) for r in inside if r == start + n - 1})
+        rest = [r for r in inside if r not in found]
+        if rest:
+            left.append(Open(a, b, start, n, rest))
+        start += n

@@ -1,124 +1,105 @@
 """Order over a whole table without an un-partitioned window.
 
-A table of distinct values with their counts is cut into value ranges. Running totals inside a range come from a
-window over that range, totals of the ranges before it from a small table. The cut points are plain numbers in the
-plan, so a recomputed task always lands in the same range. Copies of a value are merged before anything is sorted.
+Rows are dealt out by one range exchange on their order (Spark samples the borders) and written to the shared folder with
+the number of their range, so that every later plan, and every recomputed task, sees the same ranges. Running totals inside
+a range come from a window over it, totals of the ranges before from a small table of one row for each range. Numbers are
+compared by their sortable keys (functions.keys): the two zeros are equal, and whole numbers and decimals exact.
 """
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGE_ROWS = 200_000
-#: Edges are literals of the plan. Beyond 10 billion distinct values ranges grow; their windows sort and spill.
-MAX_RANGES = 50_000
-
-
-def cut_points(df: DataFrame, expr: Column, rows_per_range: int = RANGE_ROWS, hot: bool = False) -> list[float]:
-    """Edges that split the distinct values in even ranges; `hot` gives repeated edges a range of their own."""
-    size = df.agg((F.count(expr) if hot else F.approx_count_distinct(expr)).alias("u")).first()["u"]
-    ranges = min(MAX_RANGES, math.ceil(size / rows_per_range))
-    if ranges <= 1:
-        return [-math.inf, math.inf]
-    probs = [i / ranges for i in range(1, ranges)]
-    found = df.agg(F.percentile_approx(expr, probs, max(10_000, 4 * ranges)).alias("p")).first()["p"]
-    edges = {-math.inf, math.inf, *found}
-    if hot:
-        edges |= {math.nextafter(v, math.inf) for v in found if found.count(v) > 1}
-    return sorted(edges)
-
-
-def in_ranges(df: DataFrame, value: str, edges: list[float], out: str = "range_id") -> DataFrame:
-    if len(edges) <= 2:
-        return df.withColumn(out, F.lit(0.0))
-    return Bucketizer(splits=edges, inputCol=value, outputCol=out, handleInvalid="keep").transform(df)
-
-
-def running_totals(table: DataFrame, value: str, totals: list[str], edges: list[float], by: tuple = ()) -> DataFrame:
-    """Adds `<t>_before`: the sum of t over smaller values (within `by`). `table` has one row per (by, value)."""
-    placed = in_ranges(table, value, edges)
-    inside = Window.partitionBy(*by, "range_id").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = placed.select("*", *[F.coalesce(F.sum(t).over(inside), F.lit(0)).alias(f"{t}_in") for t in totals])
-    if len(edges) > 2:
-        earlier = Window.partitionBy(*by).orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = (placed.groupBy(*by, "range_id").agg(*[F.sum(t).alias(f"{t}_sum") for t in totals])
-                   .select(*by, "range_id", *[F.coalesce(F.sum(f"{t}_sum").over(earlier), F.lit(0)).alias(f"{t}_off")
-                                              for t in totals]))
-        out = out.join(offsets, [*by, "range_id"])
-        return out.select(*table.columns, *[(F.col(f"{t}_in") + F.col(f"{t}_off")).alias(f"{t}_before") for t in totals])
-    return out.select(*table.columns, *[F.col(f"{t}_in").alias(f"{t}_before") for t in totals])
-
-
-def folded_ranges(df: DataFrame, exprs: dict[str, Column], extras: list[str] = ()) -> DataFrame:
-    """(k, range_id, v, extras): all columns folded, each value in a range of its own column. The edges of all columns come
-    from two aggregations, whatever their number."""
-    wide = df.select(*extras, *[x.cast("double").alias(f"c{i}") for i, x in enumerate(exprs.values())])
-    cols = [f"c{i}" for i in range(len(exprs))]
-    sizes = wide.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-    ranges = {c: min(MAX_RANGES, math.ceil(sizes[c] / RANGE_ROWS)) for c in cols}
-    long = {c: n for c, n in ranges.items() if n > 1}
-    if long:
-        found = wide.agg(*[F.percentile_approx(c, [i / n for i in range(1, n)], max(10_000, 4 * n)).alias(c) for c, n in long.items()]).first()
-        wide = Bucketizer(splitsArray=[sorted({-math.inf, math.inf, *found[c]}) for c in long], inputCols=list(long),
-                          outputCols=[f"r_{c}" for c in long], handleInvalid="keep").transform(wide)
-    cells = F.array(*[F.struct(F.lit(i).alias("k"), (F.col(f"r_{c}") if c in long else F.lit(0.0)).alias("range_id"), F.col(c).alias("v")) for i, c in enumerate(cols)])
-    return wide.select(*extras, F.explode(cells).alias("x")).select("x.*", *extras).filter("v is not null")
-
-
-def totals_before(table: DataFrame, totals: list[str]) -> DataFrame:
-    """Adds `<t>_before` to value counts over folded ranges: the sum of t over smaller values of the same column."""
-    inside = Window.partitionBy("k", "range_id").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy("k").orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (table.groupBy("k", "range_id").agg(*[F.sum(t).alias(f"{t}_sum") for t in totals])
-               .select("k", "range_id", *[F.coalesce(F.sum(f"{t}_sum").over(earlier), F.lit(0)).alias(f"{t}_off") for t in totals]))
-    out = table.select("*", *[F.coalesce(F.sum(t).over(inside), F.lit(0)).alias(f"{t}_in") for t in totals]).join(offsets, ["k", "range_id"])
+from millrace.functions.keys import Numbers
+from millrace.session import stored
+
+#: A key is hot when it holds more than one row in so many; so there are never more hot keys than this.
+HOT_SHARE = 500
+
+
+def placed(table: DataFrame, order: list[str], name: str = "ordered") -> DataFrame:
+    """The table in ranges of `order`, numbered by `part`. Rows that agree in all of `order` share a range."""
+    return stored(table.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), name)
+
+
+def totals_before(table: DataFrame, totals: list[str], by: tuple[str, ...] = ("k",), value: str = "key") -> DataFrame:
+    """Adds `<t>_before` to a table of one row for each (by, value): the sum of t over smaller values within `by`."""
+    ranges = placed(table, [*by, value])
+    inside = Window.partitionBy("part", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (ranges.groupBy("part", *by).agg(*[F.sum(t).alias(f"{t}_sum") for t in totals])
+               .select("part", *by, *[F.coalesce(F.sum(f"{t}_sum").over(earlier), F.lit(0)).alias(f"{t}_off") for t in totals]))
+    out = ranges.select("*", *[F.coalesce(F.sum(t).over(inside), F.lit(0)).alias(f"{t}_in") for t in totals]).join(offsets, ["part", *by])
     return out.select(*table.columns, *[(F.col(f"{t}_in") + F.col(f"{t}_off")).alias(f"{t}_before") for t in totals])
 
 
-def average_ranks(df: DataFrame, expr: Column, rows_per_range: int = RANGE_ROWS) -> DataFrame:
+def join_often(left: DataFrame, right: DataFrame, keys: list[str], often: str, rows: int) -> DataFrame:
+    """Inner join of many rows with a table of one row for each key, `often` being the rows of `left` with that key.
+
+    Keys of over a 500th of all `rows` are at most 500: that part of `right` is broadcast, so their rows stay where they are.
+    The other keys are joined by a shuffle, in which none is large.
+    """
+    hot = F.col(often) > max(1, rows // HOT_SHARE)
+    common = right.filter(hot).select(*keys, *[F.col(c).alias(f"hot_{c}") for c in right.columns if c not in keys], F.lit(True).alias("hot"))
+    marked = left.join(F.broadcast(common), keys, "left")
+    names = [c for c in right.columns if c not in keys]
+    here = marked.filter("hot").select(*left.columns, *[F.col(f"hot_{c}").alias(c) for c in names])
+    return here.unionByName(marked.filter("hot is null").select(*left.columns).join(right.filter(~hot), keys))
+
+
+def average_ranks(df: DataFrame, expr: Column) -> DataFrame:
     """(value, n, rank): 1-based rank of every distinct value, ties sharing their average."""
-    edges = cut_points(df, expr, rows_per_range)
-    counts = df.select(expr.alias("value")).filter("value is not null").groupBy("value").agg(F.count("*").alias("n"))
-    ranked = running_totals(counts, "value", ["n"], edges)
-    return ranked.select("value", "n", (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank"))
+    numbers = Numbers(df, [expr], [expr.alias("value")])
+    counts = numbers.rows().groupBy("k", "key").agg(F.min("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    ranked = totals_before(counts, ["n"])
+    value = F.col("value") + 0.0 if dict(counts.dtypes)["value"] in ("double", "float") else F.col("value")
+    return ranked.select(value.alias("value"), "n", (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def previous_values(table: DataFrame, value: str, edges: list[float]) -> DataFrame:
-    """Adds `previous`: the next smaller distinct value, across range borders."""
-    placed = in_ranges(table, value, edges)
-    inside = Window.partitionBy("range_id").orderBy(value)
-    out = placed.withColumn("previous", F.lag(value).over(inside))
-    if len(edges) > 2:
-        tops = placed.groupBy("range_id").agg(F.max(value).alias("top"))
-        tops = tops.select("range_id", F.lag("top").over(Window.orderBy("range_id")).alias("before"))
-        out = out.join(tops, "range_id").withColumn("previous", F.coalesce("previous", "before"))
-    return out.select(*table.columns, "previous")
+def value_counts_before(df: DataFrame, exprs: list[Column], sums: dict[str, Column] | None = None) -> DataFrame:
+    """(k, key, n, sums, n_before): the distinct values of all columns with their rows, the sums of the named expressions
+    over them, and the rows of smaller values. Three exchanges, whatever the number of columns."""
+    sums = sums or {}
+    numbers = Numbers(df, exprs, [x.alias(c) for c, x in sums.items()])
+    counts = numbers.rows().groupBy("k", "key").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in sums])
+    return totals_before(counts, ["n"])
 
 
-def row_index(df: DataFrame, order: Column, tie: Column, out: str = "row_index",
-              rows_per_range: int = RANGE_ROWS) -> DataFrame:
-    """0-based position of every row by (order, tie); `order` and `tie` are numeric and together unique.
+def row_ranks(df: DataFrame, exprs: list[Column], dense: bool = False) -> DataFrame:
+    """(row, r0, r1, ...) with the average rank (or the dense rank, from 0) of each value in its column; null where there is none.
 
-    Rows sharing one `order` value get ranges of their own, split again by `tie`, so a hot value is not one task.
+    All columns are folded to (row, column, key); the distinct keys are ranked in one range exchange, the rows fetch their ranks in
+    one join, in which frequent keys stay in place, and are put together by row again. The number of exchanges does
+    not follow the number of columns.
     """
-    keyed = df.select("*", order.cast("double").alias("_o"), tie.cast("double").alias("_t"))
-    edges = cut_points(keyed, F.col("_o"), rows_per_range, hot=True)
-    placed = in_ranges(keyed, "_o", edges, "_range")
-    single = [float(i) for i in range(len(edges) - 1) if math.nextafter(edges[i], math.inf) == edges[i + 1]]
-    if single:
-        fine = cut_points(keyed, F.col("_t"), rows_per_range)
-        placed = in_ranges(placed, "_t", fine, "_tie_range")
-        placed = placed.withColumn("_tie_range", F.when(F.col("_range").isin(single), F.col("_tie_range")).otherwise(0.0))
+    wide = stored(df.select(*[x.alias(f"v{i}") for i, x in enumerate(exprs)]).withColumn("row", F.monotonically_increasing_id()), "rows")
+    folded = stored(Numbers(wide, [F.col(f"v{i}") for i in range(len(exprs))], [F.col("row")]).rows(), "folded")
+    counts = folded.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1))
+    if dense:
+        ranked = totals_before(counts, ["one"]).select("k", "key", "n", F.col("one_before").cast("double").alias("rank"))
     else:
-        placed = placed.withColumn("_tie_range", F.lit(0.0))
-    local = Window.partitionBy("_range", "_tie_range").orderBy("_o", "_t")
-    ranked = placed.withColumn(out, F.row_number().over(local) - 1)
-    if len(edges) > 2:
-        earlier = Window.orderBy("_range", "_tie_range").rowsBetween(Window.unboundedPreceding, -1)
-        sizes = (placed.groupBy("_range", "_tie_range").count()
-                 .select("_range", "_tie_range", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_off")))
-        ranked = ranked.join(sizes, ["_range", "_tie_range"]).withColumn(out, F.col(out) + F.col("_off"))
-    return ranked.select(*df.columns, F.col(out).cast("long").alias(out))
+        ranked = totals_before(counts, ["n"]).select("k", "key", "n", (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank"))
+    found = join_often(folded, stored(ranked, "ranked"), ["k", "key"], "n", folded.count())
+    return found.groupBy("row").agg(*[F.max(F.when(F.col("k") == i, F.col("rank"))).alias(f"r{i}") for i in range(len(exprs))])
+
+
+def previous_values(table: DataFrame, value: str) -> DataFrame:
+    """Adds `previous`: the next smaller value of a table of distinct values, across range borders."""
+    ranges = placed(table, [value])
+    out = ranges.withColumn("previous", F.lag(value).over(Window.partitionBy("part").orderBy(value)))
+    tops = ranges.groupBy("part").agg(F.max(value).alias("top"))
+    tops = tops.select("part", F.lag("top").over(Window.orderBy("part")).alias("before"))
+    return out.join(tops, "part").select(*table.columns, F.coalesce("previous", "before").alias("previous"))
+
+
+def row_index(df: DataFrame, order: Column, tie: Column, out: str = "row_index") -> DataFrame:
+    """0-based position of every row by (order, tie); `order` and `tie` are together unique. A value of `order` that many
+    rows share is split over ranges by `tie`."""
+    keyed = df.select("*", order.alias("_o"), tie.alias("_t"))
+    keyed = keyed.withColumns({c: F.col(c) + 0.0 for c in ("_o", "_t") if dict(keyed.dtypes)[c] in ("double", "float")})
+    ranges = placed(keyed, ["_o", "_t"])
+    local = Window.partitionBy("part").orderBy("_o", "_t")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_off"))
+    ranked = ranges.withColumn(out, F.row_number().over(local) - 1).join(sizes, "part")
+    return ranked.select(*df.columns, (F.col(out) + F.col("_off")).cast("long").alias(out))

@@ -11,7 +11,7 @@ from millrace.functions import significance as S
 from millrace.operators import association as A
 from millrace.operators import columns as C
 from millrace.operators import timeline as TL
-from millrace.operators.correlation import pair_corr, spearman_complete, spearman_pairs, with_ranks
+from millrace.operators.correlation import pair_corr, spearman_complete, spearman_pairs
 from millrace.operators.counts import distinct_counts, value_counts
 from millrace.operators.drift import psi_from_counts
 from millrace.operators.profile import count_outside, fences, moments, small_table
@@ -49,11 +49,12 @@ def class_features(df: DataFrame, target: str, num: list[str], cat: list[str]) -
     mutual = A.nmi(label, [(c, "_label") for c in num + cat])
     rows = []
     varies = _varies(label, num, F.col("_label").isNotNull())
+    ranked = A.kruskal(label, {c: (F.col("_label"), C.exact_numeric(label, c)) for c in num if c in varies})
     for c in num:
         e = eta[("_label", c)]
         if e["groups"] >= 2 and c in varies:
             rows.append({"feature": c, "type": "numeric", "measure": "eta", "strength": math.sqrt(e["eta2"]), "nmi": mutual[(c, "_label")],
-                         "p_value": A.kruskal(label, F.col("_label"), C.as_numeric(df, c))["p"], "rows_used": e["n"]})
+                         "p_value": ranked[c]["p"], "rows_used": e["n"]})
     for c in cat:
         d = v[(c, "_label")]
         if d["r"] >= 2 and d["k"] >= 2:
@@ -83,19 +84,21 @@ def number_features(df: DataFrame, target: str, num: list[str], cat: list[str])
     ranks = spearman_pairs(df, [*share, target], [(c, target) for c in share]) if share else {}
     eta = A.eta_squared(df, [(c, target) for c in cat])
     mutual = A.nmi(df, [(c, target) for c in num + cat])
+    ranks |= spearman_complete(df, {(c, target): (C.exact_numeric(df, c), C.exact_numeric(df, target)) for c in num if c not in share})
+    groups = A.kruskal(df, {c: (C.col(c), C.exact_numeric(df, target)) for c in cat})
     rows = []
     for c in num:
         p, n = pearson[(c, target)]
         if n < 10:
             continue
-        s = ranks[(c, target)][0] if (c, target) in ranks else spearman_complete(df, exprs[c], y)[0]
+        s = ranks[(c, target)][0]
         rows.append({"feature": c, "type": "numeric", "measure": "correlation", "pearson": p, "spearman": s, "nmi": mutual[(c, target)],
                      "strength": max(abs(p or 0.0), abs(s or 0.0)), "p_value": S.correlation_p(s, n) if s is not None else None, "rows_used": n})
     for c in cat:
         e = eta[(c, target)]
         if 2 <= e["groups"] <= 100:
             rows.append({"feature": c, "type": "categorical", "measure": "eta", "strength": math.sqrt(e["eta2"]), "nmi": mutual[(c, target)],
-                         "p_value": A.kruskal(df, C.col(c), y)["p"], "rows_used": e["n"]})
+                         "p_value": groups[c]["p"], "rows_used": e["n"]})
     return _finished(df, rows)
 
 
@@ -223,8 +226,7 @@ def timeseries(df: DataFrame, target: str, time_col: str, tie: str, max_lag: int
         return {"kind": "Time-series forecasting", "flags": flag_table(spark, [("error", "too few dated rows", target, 20)])}
     f = TL.time_facts(d, "t", F.col("t"))
     series = TL.in_time_order(d, F.col("t"), F.col("y"), F.col("tie"))
-    ranked, exprs = with_ranks(series, ["i", "y"])
-    rho, n = pair_corr(ranked, exprs)[("i", "y")]
+    rho, n = spearman_complete(series, {"trend": (F.col("i"), F.col("y"))})["trend"]
     half = n // 2
     first, second = F.when(F.col("i") < half, F.col("y")), F.when(F.col("i") >= half, F.col("y"))
     m = moments(series, {"a": first, "b": second})

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from millrace.functions import significance as S
 from millrace.functions import text as X
 from millrace.operators import columns as C
-from millrace.operators.correlation import pair_corr, with_ranks
+from millrace.operators.correlation import spearman_complete
 from millrace.operators.profile import small_table
 from millrace.operators.quantiles import exact_quantiles
-from millrace.operators.ranks import cut_points, previous_values, row_index
+from millrace.operators.ranks import previous_values, row_index
 
 
 def as_seconds(df: DataFrame, name: str) -> Column:
@@ -21,9 +21,8 @@ def as_seconds(df: DataFrame, name: str) -> Column:
 
 def stamps(df: DataFrame, t: Column) -> DataFrame:
     """(value, n, previous): each distinct time, its rows and the time before it."""
-    edges = cut_points(df, t)
     counts = df.select(t.alias("value")).filter("value is not null").groupBy("value").agg(F.count("*").alias("n"))
-    return previous_values(counts, "value", edges)
+    return previous_values(counts, "value")
 
 
 def gaps(df: DataFrame, t: Column) -> DataFrame:
@@ -88,14 +87,14 @@ def in_time_order(df: DataFrame, t: Column, y: Column, tie: Column) -> DataFrame
 
 
 def trends(df: DataFrame, name: str, value_cols: list[str], tie: str) -> DataFrame:
-    """Spearman of each value column against its position in time."""
-    rows = []
-    for c in value_cols:
-        d = in_time_order(df, as_seconds(df, name), C.as_numeric(df, c), C.col(tie)).filter("y is not null")
-        ranked, exprs = with_ranks(d, ["i", "y"])
-        rho, n = pair_corr(ranked, exprs)[("i", "y")]
-        if n > 10 and rho is not None:
-            rows.append({"column": c, "trend": rho, "p_value": S.correlation_p(rho, n)})
+    """Spearman of each value column against its position in time, all columns in one folded rank table.
+
+    The position among the rows that have a value is in the order of the position among all rows, so one index serves.
+    """
+    d = df.select(as_seconds(df, name).alias("t"), C.col(tie).cast("double").alias("tie"), *[C.exact_numeric(df, c).alias(f"y{i}") for i, c in enumerate(value_cols)]).filter("t is not null")
+    placed = row_index(d, F.col("t"), F.col("tie"), "i")
+    found = spearman_complete(placed, {c: (F.col("i"), F.col(f"y{i}")) for i, c in enumerate(value_cols)})
+    rows = [{"column": c, "trend": rho, "p_value": S.correlation_p(rho, n)} for c, (rho, n) in found.items() if n > 10 and rho is not None]
     return small_table(df.sparkSession, rows, "column string, trend double, p_value double")
 
 

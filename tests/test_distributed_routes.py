@@ -11,6 +11,16 @@ from millrace.operators import columns as C
 from millrace.plans import steps
 
 
+@pytest.fixture(scope="module", autouse=True)
+def many_ranges(spark):
+    """Range exchanges keep all their ranges, however small, so that order is put together across borders."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     r = np.random.default_rng(1)
@@ -21,11 +31,10 @@ def skewed(spark):
     return spark.createDataFrame(pdf).repartition(5).persist(), pdf
 
 
-@pytest.mark.parametrize("pivots, read", [(400, 200_000), (7, 60)])
-def test_quantiles_equal_numpy(skewed, monkeypatch, pivots, read):
+@pytest.mark.parametrize("cells", [50_000, 300, 3])
+def test_quantiles_equal_numpy(skewed, monkeypatch, cells):
     df, pdf = skewed
-    monkeypatch.setattr(quantiles, "READ_ROWS", read)
-    monkeypatch.setattr(quantiles, "PIVOTS", pivots)
+    monkeypatch.setattr(quantiles, "CELLS", cells)
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
     zeros = F.when(F.col("id") % 500 == 0, F.col("x")).otherwise(0.0)  # 99.8 % zeros
     got = quantiles.exact_quantiles(df, {"x": F.col("x"), "y": F.col("y"), "z": zeros, "none": F.lit(None)}, probs)
@@ -54,46 +63,42 @@ def test_jobs_of_a_quantile_call_do_not_follow_columns(skewed, spark):
 
 def test_average_ranks_over_many_ranges(skewed):
     df, pdf = skewed
-    got = {r["value"]: r["rank"] for r in ranks.average_ranks(df, F.col("x"), rows_per_range=50).collect()}
+    got = {r["value"]: r["rank"] for r in ranks.average_ranks(df, F.col("x")).collect()}
     want = pdf["x"].rank()
     assert all(got[v] == w for v, w in zip(pdf["x"], want))
 
 
 def test_row_index_splits_a_hot_value(skewed):
     df, pdf = skewed
-    got = {r["id"]: r["row_index"] for r in ranks.row_index(df, F.col("x"), F.col("id"), rows_per_range=100).collect()}
+    got = {r["id"]: r["row_index"] for r in ranks.row_index(df, F.col("x"), F.col("id")).collect()}
     want = pdf.sort_values(["x", "id"])["id"].tolist()
     assert [got[i] for i in want] == list(range(3000))
 
 
 def test_previous_values_across_ranges(skewed):
     df, pdf = skewed
-    edges = ranks.cut_points(df, F.col("x"), 50)
-    assert len(edges) > 10
     table = df.groupBy(F.col("x").alias("value")).count()
-    got = {r["value"]: r["previous"] for r in ranks.previous_values(table, "value", edges).collect()}
+    got = {r["value"]: r["previous"] for r in ranks.previous_values(table, "value").collect()}
     values = sorted(pdf["x"].unique())
     assert got[values[0]] is None
     assert all(got[b] == a for a, b in zip(values, values[1:]))
 
 
-def test_text_codes_over_ranges(spark, monkeypatch):
+def test_text_codes_over_ranges(spark):
     words = sorted({f"Customer#{i:07d}" for i in range(0, 5000, 3)} | {"Customer#é", "Customer#", "Customer#00"})
     df = spark.createDataFrame([(w,) for w in words], "k string")
-    monkeypatch.setattr(ranks, "MAX_RANGES", 50)
-    got = {r["k"]: r["v"] for r in steps.text_codes(df, 10 ** 6).collect()}
+    got = {r["k"]: r["v"] for r in steps.text_codes(df).collect()}
     assert [got[w] for w in sorted(words, key=lambda w: w.encode())] == list(range(len(words)))
 
 
-def test_kendall_grid_equals_pairs(skewed):
+def test_kendall_equals_pairs(skewed):
     df, pdf = skewed
     small = pdf.iloc[900:1500]
     x, y = small["x"].to_numpy(), small["y"].to_numpy()
     a, b = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
     want = (a * b).sum() / math.sqrt((a != 0).sum() * (b != 0).sum())
     d = df.filter("id >= 900 and id < 1500")
-    for grid in (10_000, 40):
-        assert abs(correlation.kendall_tau(d, F.col("x"), F.col("y"), grid=grid)[0] - want) < 1e-12
+    assert abs(correlation.kendall_tau(d, F.col("x"), F.col("y"))[0] - want) < 1e-12
 
 
 def test_drift_routes_agree(skewed):
@@ -106,10 +111,8 @@ def test_drift_routes_agree(skewed):
         assert abs(one[c]["psi"] - psi[c]) < 1e-12
 
 
-@pytest.mark.parametrize("size", [200_000, 60])
-def test_ks_over_ranges(skewed, monkeypatch, size):
+def test_ks_over_ranges(skewed):
     df, pdf = skewed
-    monkeypatch.setattr(ranks, "RANGE_ROWS", size)
     got = drift.ks_statistics(df.filter("id < 1500"), df.filter("id >= 1500"), ["x", "y"])
     for c in ("x", "y"):
         a, b, grid = np.sort(pdf[c][:1500]), np.sort(pdf[c][1500:]), pdf[c].to_numpy()
@@ -117,10 +120,8 @@ def test_ks_over_ranges(skewed, monkeypatch, size):
         assert abs(got[c] - want) < 1e-12
 
 
-@pytest.mark.parametrize("size", [200_000, 60])
-def test_rank_tests_over_ranges(skewed, monkeypatch, size):
+def test_rank_tests_over_ranges(skewed):
     df, pdf = skewed
-    monkeypatch.setattr(ranks, "RANGE_ROWS", size)
     d = df.withColumn("g", F.when(F.col("x") > 2, None).otherwise(F.col("y")))
     got = missingness.rank_tests(d, ["x", "y"], ["g"], missingness.flags(d, ["g"]))
     gap = pdf["x"] > 2
@@ -130,9 +131,8 @@ def test_rank_tests_over_ranges(skewed, monkeypatch, size):
         assert abs(abs(got[c, "g"]["effect"]) - abs(want)) < 1e-9
 
 
-def test_spearman_with_joined_rank_tables(skewed, monkeypatch):
+def test_spearman_equals_pandas(skewed):
     df, pdf = skewed
-    monkeypatch.setattr(correlation, "SMALL_RANKS", 5)
     got = correlation.spearman_pairs(df, ["x", "y"])[("x", "y")][0]
     assert abs(got - pdf["x"].rank().corr(pdf["y"].rank())) < 1e-12
 
@@ -190,7 +190,7 @@ def test_kruskal_and_eta_against_formulas(skewed):
     n = len(p)
     t = p.groupby("x").size()
     h = (12 / (n * (n + 1)) * (p.groupby("g").r.sum() ** 2 / p.groupby("g").size()).sum() - 3 * (n + 1)) / (1 - (t ** 3 - t).sum() / (n ** 3 - n))
-    assert abs(association.kruskal(d, F.col("g"), F.col("x"))["h"] - h) < 1e-9
+    assert abs(association.kruskal(d, {"x": (F.col("g"), F.col("x"))})["x"]["h"] - h) < 1e-9
     within = p.groupby("g").x.apply(lambda v: ((v - v.mean()) ** 2).sum()).sum()
     eta = association.eta_squared(d, [("g", "x")])[("g", "x")]["eta2"]
     assert abs(eta - (1 - within / ((p.x - p.x.mean()) ** 2).sum())) < 1e-12

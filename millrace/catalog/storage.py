@@ -10,7 +10,7 @@ from millrace.operators import identity, running
 from millrace.operators.contract import infer_contract
 from millrace.operators.profile import small_table
 from millrace.operators.sampling import split_frame
-from millrace.plans import lab, spec
+from millrace.plans import bundle, lab, spec
 from millrace.plans.pipeline import build_pipeline
 from millrace.plans.settings import default_settings, merged
 from millrace.sources import readers, writers
@@ -176,7 +176,36 @@ def _(t):
 
 @query("k6_apply_saved", pipeline_sql(ORDERS_TRAIN, "true"))
 def _(t):
-    return shown(spec.apply_saved(saved(t), t.view("dirty_orders")), *SCALED_OUT)
+    # a reviewed contract: that of all rows, without an upper end of price, as infinite prices are for the pipeline to treat
+    reviewed = infer_contract(t.view("dirty_orders").drop("status"))
+    reviewed["columns"]["price"]["max"] = None
+    return shown(spec.apply_saved(saved(t) | {"input_contract": reviewed}, t.view("dirty_orders")), *SCALED_OUT)
+
+
+@query("k6_apply_saved_refused", DIRTY + f""", tr AS (SELECT * FROM dirty_orders WHERE {ORDERS_TRAIN}), new AS (SELECT * REPLACE (amount * 100 AS amount, 'late' AS priority) FROM dirty_orders)
+SELECT 'amount' AS "column", 'max' AS rule, count(*) AS "count", 0::BIGINT AS applied FROM new WHERE amount > (SELECT max(amount) FROM tr)
+UNION ALL SELECT 'priority', 'allowed', count(*), 0 FROM new""")
+def _(t):
+    new = t.view("dirty_orders").withColumns({"amount": F.col("amount") * 100, "priority": F.lit("late")})
+    applied, issues = 1, None
+    try:
+        spec.apply_saved(saved(t), new)
+    except spec.ContractBroken as broken:
+        applied, issues = 0, broken.report.issues
+    return issues.filter("level = 'error' AND column IN ('amount', 'priority')").select("column", "rule", "count", F.lit(applied).cast("long").alias("applied"))
+
+
+@query("k4_bundle_many_categories", """
+SELECT l_orderkey AS id, dense_rank() OVER (ORDER BY name) - 1.0 AS name FROM (SELECT l_orderkey, concat('name-', CAST(l_orderkey AS VARCHAR), '-', CAST(l_linenumber AS VARCHAR)) AS name FROM lineitem)""")
+def _(t):
+    d = t.sql("SELECT l_orderkey AS id, concat('name-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS name FROM {lineitem}")
+    cfg = {"Clean": {"dups": False, "max_missing": 100, "drop_constant": False}, "Encode": {"high": "Ordinal"}}
+    p = build_pipeline(cfg, None)
+    p.fit_transform(d)
+    p.release()
+    path = jobs.scratch(t.spark, "bundle")
+    bundle.save_bundle(t.spark, spec.make_spec(p, cfg, {}, d), path)
+    return spec.transform_saved(bundle.load_bundle(t.spark, path), d).select(F.col("id").cast("long"), F.col("name").cast("double"))
 
 
 REFIT = """SELECT part, count(*) AS rows FROM (SELECT CASE WHEN rn <= round_even(n * 20 / 100.0, 0) THEN 'test' WHEN rn <= round_even(n * 20 / 100.0, 0) + round_even(n * 10 / 100.0, 0) THEN 'val' ELSE 'train' END AS part

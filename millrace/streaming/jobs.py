@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import running
 from millrace.operators.contract import with_broken_rules
-from millrace.plans.spec import apply_saved
+from millrace.plans.spec import transform_saved
 from millrace.session import shared_dir
 
 
@@ -34,7 +34,7 @@ def write_available(stream: DataFrame, path: str, checkpoint: str | None = None)
 
 def apply_stream(spec: dict, stream: DataFrame) -> DataFrame:
     """The saved pipeline over a stream."""
-    return apply_saved(spec, stream)
+    return transform_saved(spec, stream)
 
 
 def split_by_contract(stream: DataFrame, contract: dict) -> tuple[DataFrame, DataFrame]:

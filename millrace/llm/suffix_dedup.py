@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import common, seeds
@@ -204,14 +204,25 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_rows:
             at = pa.array(own)
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(low, pa.int32()), signed(one), signed(two)], ["anchor", "context", "weight", "low", "w1", "w2"])
 
-    # of a frequent anchor, contexts of weight over 1 repeat as a whole; the windows of the others are counted with all
-    counted = distinct.filter("frequent").select("anchor", "context", "weight", "snippet").mapInArrow(windows, "anchor long, context long, weight long, low int, w1 long, w2 long")
-    often = counted.groupBy("w1", "w2").agg(F.sum("weight").alias("times")).filter("times > 1").drop("times")
-    by_count = counted.join(often, ["w1", "w2"]).select("anchor", "context", "low", F.lit(1).alias("n"))
-    found = by_array.unionByName(by_count).groupBy("anchor", "context").agg(F.collect_list(F.struct(F.col("low").alias("from"), F.col("n").alias("many"))).alias("parts"))
-    inside = hits.filter("mixed").join(found, ["anchor", "context"]).select("id", "rk", "low", F.explode("parts").alias("p")).select("id", "rk", (F.col("low") + F.col("p.from")).alias("low"), F.col("p.many").alias("n"))
-    cuts = (hits.filter("not mixed").select("id", "rk", "low", "n").unionByName(inside)
-            .groupBy("id", "rk").agg(F.collect_list(F.struct("low", "n")).alias("cuts")))
+    # a frequent anchor's contexts of weight over 1 repeat as a whole: one run each. The windows of all its contexts are counted,
+    # those of the others are joined to runs where they occur again.
+    many = distinct.filter("frequent")
+    counted = many.select("anchor", "context", "weight", "snippet").mapInArrow(windows, "anchor long, context long, weight long, low int, w1 long, w2 long")
+    often = counted.groupBy("w1", "w2").agg(F.sum("weight").alias("times")).filter("times > 1")
+    single = counted.filter("weight = 1").select("anchor", "context", "low", "w1", "w2")
+    again = common.join_hot(single, often, ["w1", "w2"], "times", often.agg(F.sum("times")).first()[0] or 0).filter("times is not null")
+    place = F.row_number().over(Window.partitionBy("anchor", "context").orderBy("low"))
+    by_count = (again.select("anchor", "context", "low", (F.col("low") - place).alias("run")).groupBy("anchor", "context", "run")
+                .agg(F.min("low").alias("low"), F.count(F.lit(1)).cast("int").alias("n")).drop("run"))
+    whole = many.filter("weight > 1").select("anchor", "context", F.lit(0).alias("low"), "n")
+    parts = by_array.unionByName(by_count).unionByName(whole).groupBy("anchor", "context").agg(F.collect_list(F.struct(F.col("low").alias("from"), F.col("n").alias("many"))).alias("parts"))
+    weights = distinct.groupBy("anchor", "context").agg(F.sum("weight").alias("weight"))
+    found = common.stored(parts.join(weights, ["anchor", "context"]), "repeated-contexts")
+    mixed = hits.filter("mixed").select("id", "rk", "anchor", "context", "low")
+    inside = common.join_hot(mixed, found, ["anchor", "context"], "weight", mixed.count()).filter("parts is not null")
+    inside = inside.select("id", "rk", F.transform("parts", lambda p: F.struct((F.col("low") + p["from"]).alias("low"), p["many"].alias("n"))).alias("own"))
+    cuts = (hits.filter("not mixed").select("id", "rk", F.array(F.struct("low", "n")).alias("own")).unionByName(inside)
+            .groupBy("id", "rk").agg(F.flatten(F.collect_list("own")).alias("cuts")))
     return rows, cuts
 
 

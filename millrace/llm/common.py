@@ -59,3 +59,17 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], sizes: str, row
     dealt = F.when(F.col("_hot"), F.xxhash64(*left.columns).cast(left.schema[key].dataType)).otherwise(F.col(key))
     both = left.join(F.broadcast(hot), keys, "left").withColumn("_key", dealt).join(rest, ["_key", *keys[1:]], "left")
     return both.select(*left.columns, *[F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in some])
+
+
+def semi_hot(left: DataFrame, right: DataFrame, keys: list[str], sizes: str, rows: int, parts: int = 64) -> DataFrame:
+    """The rows of left whose keys are in `right` (one row for each key, `sizes` counting the rows of left with it).
+
+    Keys with over a 500th of all `rows` are at most 500: they are dealt out over `parts` pieces, to each of which the key is
+    sent, so none of them meets in one task, and rows without a partner leave the plan at the join.
+    """
+    hot = [r[0] for r in right.filter(F.col(sizes) > max(1, rows // HOT_SHARE)).select(keys[0]).collect()]
+    piece = fresh(left, "_piece")
+    often = F.col(keys[0]).isin(hot)
+    pieces = F.explode(F.when(often, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))
+    dealt = left.withColumn(piece, F.when(often, F.pmod(F.xxhash64(*left.columns), F.lit(parts))).otherwise(0).cast("int"))
+    return dealt.join(right.select(*keys, pieces.alias(piece)), [*keys, piece], "left_semi").select(*left.columns)

@@ -210,7 +210,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_rows:
     counted = many.select("anchor", "context", "weight", "snippet").mapInArrow(windows, "anchor long, context long, weight long, low int, w1 long, w2 long")
     often = counted.groupBy("w1", "w2").agg(F.sum("weight").alias("times")).filter("times > 1")
     single = counted.filter("weight = 1").select("anchor", "context", "low", "w1", "w2")
-    again = common.join_hot(single, often, ["w1", "w2"], "times", often.agg(F.sum("times")).first()[0] or 0).filter("times is not null")
+    often = common.stored(often, "repeated-windows")
+    again = common.semi_hot(single, often, ["w1", "w2"], "times", often.agg(F.sum("times")).first()[0] or 0)
     place = F.row_number().over(Window.partitionBy("anchor", "context").orderBy("low"))
     by_count = (again.select("anchor", "context", "low", (F.col("low") - place).alias("run")).groupBy("anchor", "context", "run")
                 .agg(F.min("low").alias("low"), F.count(F.lit(1)).cast("int").alias("n")).drop("run"))

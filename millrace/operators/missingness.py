@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,16 +11,37 @@ from pyspark.sql import functions as F
 from millrace.functions import significance as S
 from millrace.operators import columns as C
 from millrace.operators.association import cramers
-from millrace.operators.correlation import pair_corr
 from millrace.operators.counts import distinct_counts
 from millrace.operators.profile import small_table
 from millrace.operators.ranks import value_counts_before
+from millrace.session import stored
 
 
 def flags(df: DataFrame, cols: list[str]) -> dict:
     return {c: F.coalesce(C.missing(df, c), F.lit(True)).cast("int") for c in cols}
 
 
+class Lattice(NamedTuple):
+    """The sets of missing columns that occur, each with its rows: `table` (gaps array of column positions, rows), read off
+    one aggregation of the table; the total of rows; and the rows with a gap by column."""
+    table: DataFrame
+    rows: int
+    missing: dict[str, int]
+
+
+def lattice(df: DataFrame, cols: list[str] | None = None) -> Lattice:
+    """One scan. Equal sets merge on the map side; the counts, patterns and phi below are all sums over the sets."""
+    cols = cols or df.columns
+    f = flags(df, cols)
+    key = F.concat_ws(",", *[F.when(f[c] == 1, F.lit(str(i))) for i, c in enumerate(cols)])
+    gaps = F.when(F.col("key") == "", F.array().cast("array<int>")).otherwise(F.split("key", ",").cast("array<int>"))
+    table = stored(df.select(key.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("rows")).select(gaps.alias("gaps"), "rows"), "gaps")
+    counts = table.select("rows", F.explode_outer("gaps").alias("i")).groupBy("i").agg(F.sum("rows").alias("n")).collect()
+    total = table.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    found = {r["i"]: r["n"] for r in counts}
+    return Lattice(table, total, {c: found.get(i, 0) for i, c in enumerate(cols)})
+
+
 def missing_counts(df: DataFrame, cols: list[str] | None = None) -> tuple[int, dict[str, int]]:
     cols = cols or df.columns
     f = flags(df, cols)
@@ -27,34 +49,41 @@ def missing_counts(df: DataFrame, cols: list[str] | None = None) -> tuple[int, d
     return r["rows"], {c: r[f"m{i}"] for i, c in enumerate(cols)}
 
 
-def missing_per_column(df: DataFrame, counted: tuple | None = None) -> DataFrame:
+def missing_per_column(df: DataFrame, found: Lattice | None = None) -> DataFrame:
     """Columns with gaps, blank text included, most missing first."""
-    rows, m = counted or missing_counts(df)
+    rows, m = (found.rows, found.missing) if found else missing_counts(df)
     out = [{"column": c, "missing": k, "missing_pct": k / rows * 100} for c, k in m.items() if k]
     return small_table(df.sparkSession, out, "column string, missing long, missing_pct double").orderBy(F.desc("missing_pct"), "column")
 
 
-def patterns(df: DataFrame, top: int | None = None, max_cols: int | None = None, counted: tuple | None = None) -> DataFrame:
-    """Rows that share the same set of missing columns, the most common sets first."""
-    rows, m = counted or missing_counts(df)
-    cols = [c for c in df.columns if m[c]][:max_cols]
-    if not cols:
+def patterns(df: DataFrame, top: int | None = None, max_cols: int | None = None, found: Lattice | None = None) -> DataFrame:
+    """Rows that share the same set of missing columns, the most common sets first; max_cols looks at the first columns with gaps."""
+    found = found or lattice(df)
+    live = [i for i, c in enumerate(df.columns) if found.missing[c]][:max_cols]
+    if not live:
         return small_table(df.sparkSession, [], "pattern string, rows long, share_pct double")
-    f = flags(df, cols)
-    name = F.concat_ws(", ", *[F.when(f[c] == 1, F.lit(c)) for c in cols])
-    name = F.when(name == "", "complete rows").otherwise(name)
-    out = (df.select(name.alias("pattern")).groupBy("pattern").agg(F.count("*").alias("rows"))
-           .withColumn("share_pct", F.col("rows") / F.lit(rows) * 100).orderBy(F.desc("rows"), "pattern"))
+    names = F.lit(df.columns)
+    kept = F.array_intersect("gaps", F.lit(live))
+    text = F.array_join(F.transform(kept, lambda i: F.get(names, i)), ", ")
+    out = (found.table.select(F.when(F.size(kept) == 0, "complete rows").otherwise(text).alias("pattern"), "rows").groupBy("pattern").agg(F.sum("rows").alias("rows"))
+           .withColumn("share_pct", F.col("rows") / F.lit(found.rows) * 100).orderBy(F.desc("rows"), "pattern"))
     return out if top is None else out.limit(top)
 
 
-def co_missing(df: DataFrame, at_least: float = 0.3, max_cols: int | None = None, counted: tuple | None = None) -> DataFrame:
-    """Phi between missing flags of two columns."""
-    _, m = counted or missing_counts(df)
-    cols = [c for c in df.columns if m[c]][:max_cols]
-    f = flags(df, cols)
-    found = pair_corr(df, {c: f[c].cast("double") for c in cols}) if len(cols) > 1 else {}
-    rows = [{"column_a": a, "column_b": b, "phi": r} for (a, b), (r, _) in found.items() if r is not None and abs(r) >= at_least]
+def co_missing(df: DataFrame, at_least: float = 0.3, max_cols: int | None = None, found: Lattice | None = None) -> DataFrame:
+    """Phi between missing flags of two columns, from how often they are missing together."""
+    found = found or lattice(df)
+    live = [i for i, c in enumerate(df.columns) if found.missing[c]][:max_cols]
+    pairs = F.expr("flatten(transform(gaps, (a, i) -> transform(slice(gaps, i + 2, size(gaps)), b -> struct(a, b))))")
+    both = found.table.select("rows", F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.sum("rows").alias("n"))
+    together = {(r["a"], r["b"]): r["n"] for r in both.collect()}
+    rows, n = [], found.rows
+    for a, b in itertools.combinations(live, 2):
+        x, y = found.missing[df.columns[a]], found.missing[df.columns[b]]
+        spread = math.sqrt(float(x) * (n - x) * y * (n - y))
+        phi = (float(n) * together.get((a, b), 0) - float(x) * y) / spread if spread else None
+        if phi is not None and abs(phi) >= at_least:
+            rows.append({"column_a": df.columns[a], "column_b": df.columns[b], "phi": phi})
     return small_table(df.sparkSession, rows, "column_a string, column_b string, phi double").orderBy(F.desc(F.abs("phi")), "column_a", "column_b")
 
 
@@ -96,15 +125,15 @@ def _mann_whitney(r, gaps: list[str], marks: list[str]) -> dict[str, dict]:
 RELATIONS = "column_with_gaps string, related_column string, test string, effect double, p_value double, suggests_dependence boolean"
 
 
-def relations(df: DataFrame, max_cols: int | None = None, max_targets: int | None = None, top: int | None = None, max_values: int | None = None, counted: tuple | None = None) -> DataFrame:
+def relations(df: DataFrame, max_cols: int | None = None, max_targets: int | None = None, top: int | None = None, max_values: int | None = None, found_gaps: Lattice | None = None) -> DataFrame:
     """Whether gaps depend on other columns: rank tests against numbers, chi-square against categories."""
-    rows, m = counted or missing_counts(df)
+    rows, m = (found_gaps.rows, found_gaps.missing) if found_gaps else missing_counts(df)
     flag = flags(df, df.columns)
     gaps = sorted([c for c in df.columns if rows and 0.02 <= m[c] / rows <= 0.98], key=lambda c: -m[c])[:max_targets]
     nums = C.numeric(df)[:max_cols]
     masked = df.select(*[F.when(flag[c] == 0, C.col(c)).alias(c) for c in df.columns])
     others = [c for c in df.columns if c not in C.numeric(df) and C.kind(df, c) != "nested"]
-    u = distinct_counts(masked, others)
+    u = distinct_counts(masked, others) if max_values is not None else {}
     cats = [c for c in others if max_values is None or u[c] <= max_values][:max_cols]
     found = []
     found += [{"column_with_gaps": g, "related_column": o, "test": "Mann-Whitney", "effect": t["effect"], "p_value": t["p"]}
@@ -121,7 +150,7 @@ def relations(df: DataFrame, max_cols: int | None = None, max_targets: int | Non
 
 
 def missing_analysis(df: DataFrame) -> dict[str, DataFrame]:
-    """Every missingness table; the gaps are counted once."""
-    counted = missing_counts(df)
-    return {"per_column": missing_per_column(df, counted), "patterns": patterns(df, counted=counted),
-            "co_missing": co_missing(df, counted=counted), "relations": relations(df, counted=counted)}
+    """Every missingness table. Counts, patterns and phi are read off one lattice of gap sets."""
+    found = lattice(df)
+    return {"per_column": missing_per_column(df, found), "patterns": patterns(df, found=found),
+            "co_missing": co_missing(df, found=found), "relations": relations(df, found_gaps=found)}

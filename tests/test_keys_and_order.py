@@ -114,3 +114,18 @@ def test_text_order_of_equal_beginnings_gives_even_ranges(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(sizes) > 1 and max(sizes) < 2 * len(words) / len(sizes)
+
+
+def test_gap_lattice_serves_counts_patterns_and_phi(spark):
+    from millrace.operators import missingness
+    rows = [(i, None if i % 3 == 0 else 1.0, "  " if i % 3 == 0 or i % 7 == 0 else "x", None if i % 11 == 0 else 2, 5) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, a double, b string, c int, d int").repartition(5)
+    found = missingness.lattice(df)
+    assert (found.rows, found.missing) == missingness.missing_counts(df)
+    gaps = df.toPandas()
+    gaps = gaps.assign(a=gaps["a"].isna(), b=gaps["b"].str.strip() == "", c=gaps["c"].isna())[["a", "b", "c"]]
+    want = gaps.apply(lambda r: ", ".join(c for c in "abc" if r[c]) or "complete rows", axis=1).value_counts().to_dict()
+    assert {r["pattern"]: r["rows"] for r in missingness.patterns(df, found=found).collect()} == want
+    phi = {(r["column_a"], r["column_b"]): r["phi"] for r in missingness.co_missing(df, 0.0, found=found).collect()}
+    assert phi.keys() == {("a", "b"), ("a", "c"), ("b", "c")} and all(abs(v - gaps[a].astype(float).corr(gaps[b].astype(float))) < 1e-12 for (a, b), v in phi.items())
+    assert missingness.patterns(df.select("id", "d")).count() == 0 and missingness.lattice(df.limit(0)).rows == 0

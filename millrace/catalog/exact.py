@@ -1,6 +1,8 @@
 """Order, ranks and quantiles of numbers that doubles hold badly: signed zeros, 64-bit ids, decimals."""
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from millrace.catalog.base import query, r6, s9, shown, union_all, with_views
@@ -10,6 +12,8 @@ from millrace.catalog.relations import effect_sql, rank_cte
 from millrace.operators import correlation, drift, missingness, profile, quantiles, ranks
 from millrace.operators.profile import small_table
 from millrace.plans import steps as P
+from millrace.sources.readers import pasted_table
+from millrace.sources.synthetic import make_dataset
 
 HARD = with_views("hard_numbers")
 HALVES = HARD + ", a AS (SELECT * FROM hard_numbers WHERE id % 2 = 0), b AS (SELECT * FROM hard_numbers WHERE id % 2 = 1) "
@@ -85,3 +89,27 @@ s AS (SELECT sum(sign(a - c) * sign(b - d)) AS s, count(CASE WHEN a <> c THEN 1
 SELECT 'user_id' AS column_a, 'value' AS column_b, {r6('s / sqrt(CAST(u AS DOUBLE) * v)')} AS kendall, (SELECT count(*) FROM d) AS n FROM s""")
 def _(t):
     return shown(correlation.kendall(t.events, ["user_id", "value"]), "kendall")
+
+
+def drawn(what: str) -> str:
+    """The uniform number of a draw, in SQL."""
+    return f"((CAST(concat('0x', substr(md5(concat_ws('|', '7', '{what}', CAST(o_orderkey AS VARCHAR))), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0)"
+
+
+TWO_PI = "6.283185307179586"
+
+
+@query("a12_synthetic", f"""
+WITH d AS (SELECT o_orderkey AS id, sqrt(-2 * ln({drawn('z0a')})) * cos({TWO_PI} * {drawn('z0b')}) AS z0, sqrt(-2 * ln({drawn('z1a')})) * cos({TWO_PI} * {drawn('z1b')}) AS z1,
+  CAST(floor({drawn('k0')} * 3) AS INT) AS k0, {drawn('u')} AS u, {drawn('out0')} AS o0, {drawn('out1')} AS o1, {drawn('gap0')} AS g0, {drawn('gap1')} AS g1, {drawn('hole0')} AS h0 FROM orders)
+SELECT id, {s9('CASE WHEN g0 >= 0.05 THEN (z0 * 1 - 100) * CASE WHEN o0 < 0.01 THEN 8 ELSE 1 END END')} AS num_0, {s9('CASE WHEN g1 >= 0.05 THEN (z1 * 8 - 63) * CASE WHEN o1 < 0.01 THEN 8 ELSE 1 END END')} AS num_1,
+  CASE WHEN h0 >= 0.05 THEN concat('v', CAST(k0 AS VARCHAR)) END AS cat_0,
+  CASE WHEN u < 1 / (1 + exp(-4 * (z0 + CASE WHEN k0 = 0 THEN 1.5 ELSE 0 END - {NormalDist(0.5, 1.22).inv_cdf(0.85)!r}))) THEN 'yes' ELSE 'no' END AS y FROM d""")
+def _(t):
+    return shown(make_dataset(t.spark, 0, cols=3, seed=7, ids=t.orders.select(F.col("o_orderkey").alias("id"))))
+
+
+@query("a8_pasted_table", "SELECT CAST(n_nationkey AS DOUBLE) AS n_nationkey, n_name, CAST(n_regionkey AS DOUBLE) AS n_regionkey FROM nation")
+def _(t):
+    lines = [f'{r[0]}\t"{r[1]}"\t{r[2]}' for r in t.nation.select("n_nationkey", "n_name", "n_regionkey").collect()]
+    return shown(pasted_table(t.spark, "\n".join(["n_nationkey\tn_name\tn_regionkey", *lines])))

@@ -1,6 +1,8 @@
 """Reading tables: CSV with encoding and separator detection, TSV, JSON, Parquet, pasted text and typed rows."""
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,9 +121,13 @@ def pasted_table(spark: SparkSession, text: str, sep: str | None = None, header:
     lines = [line for line in text.splitlines() if line.strip()]
     if not lines:
         raise ValueError("there is no text to read")
-    raw = spark.createDataFrame([(line,) for line in lines], "value string")
-    rows = spark.read.option("sep", sep or sniff_separator(lines)).option("header", header).csv(raw.rdd.map(lambda r: r[0]))
-    return tidy(typed(rows))
+    sep = sep or sniff_separator(lines)
+    first = next(csv.reader(lines[:1], delimiter=sep))
+    names = tidy_names(first if header else [f"_c{i}" for i in range(len(first))])
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    raw = spark.createDataFrame([(line,) for line in lines[1 if header else 0:]], "value string")
+    cells = raw.select(F.from_csv("value", schema.simpleString()[len("struct<"):-1].replace(":", " "), {"sep": sep}).alias("r"))
+    return tidy(typed(cells.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])))
 
 
 def typed_rows(spark: SparkSession, columns: list[str], rows: list[list]) -> DataFrame:

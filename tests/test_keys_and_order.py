@@ -129,3 +129,11 @@ def test_gap_lattice_serves_counts_patterns_and_phi(spark):
     phi = {(r["column_a"], r["column_b"]): r["phi"] for r in missingness.co_missing(df, 0.0, found=found).collect()}
     assert phi.keys() == {("a", "b"), ("a", "c"), ("b", "c")} and all(abs(v - gaps[a].astype(float).corr(gaps[b].astype(float))) < 1e-12 for (a, b), v in phi.items())
     assert missingness.patterns(df.select("id", "d")).count() == 0 and missingness.lattice(df.limit(0)).rows == 0
+
+
+def test_synthetic_rows_do_not_follow_partitions(spark):
+    from millrace.sources.synthetic import make_dataset, normal, uniform
+    one, many = (sorted(map(tuple, make_dataset(spark, 300, 6, seed=3, partitions=n).collect()), key=str) for n in (1, 7))
+    assert one == many and one != sorted(map(tuple, make_dataset(spark, 300, 6, seed=4).collect()), key=str)
+    r = spark.range(4000).select(uniform(1, "a").alias("u"), normal(1, "b").alias("z")).agg(F.avg("u"), F.stddev("u"), F.avg("z"), F.stddev("z"), F.corr("u", "z")).first()
+    assert all(abs(a - b) < 0.05 for a, b in zip(r, (0.5, 12 ** -0.5, 0.0, 1.0, 0.0)))

@@ -16,6 +16,7 @@ languages: beyond DENSE_LANGUAGES the same logs are kept sparse.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +29,9 @@ from millrace.llm import common
 from millrace.llm.arrays import chunks
 
 TRAIN_ROWS, LEAST, LONGEST, DENSE_LANGUAGES, KEPT_WORDS, KEPT_CELLS, SUM_CELLS = 3000, 4, 5, 500, 200_000, 100_000_000, 1 << 22
-WORD = re.compile(r"[^\W\d_]+")
+#: Signs that count as word characters but are no letters, such as ½ or ².
+NO_LETTERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{NO_LETTERS}]+")
 
 
 def grams(word: str, n: int) -> list[str]:

@@ -282,3 +282,12 @@ def test_quality_query_on_held_out_rows(spark):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     rows = [r for r in passages.op13_quality(spark, folder).collect() if r["held_out"] and r["doc_id"] in labels]
     assert np.mean([r["predicted"] == labels[r["doc_id"]] for r in rows]) >= 0.97
+
+
+def test_signs_that_are_no_letters_have_no_language(spark):
+    from millrace.llm import language
+    schema = "doc_id long, text string, lang string"
+    learn = spark.createDataFrame([(i, t, x) for i in range(60) for t, x in (("the house and the tree", "en"), ("das haus und der baum", "de"))], schema)
+    odd = spark.createDataFrame([(1, "½ ² ① Ⅷ 12 ٣", None), (2, "½the²house", None), (3, "_ -", None)], schema)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(odd, language.train(learn)).collect()}
+    assert got[1] == got[3] == ("und", 0.0) and got[2][0] == "en"

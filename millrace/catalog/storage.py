@@ -241,12 +241,35 @@ def _(t):
     return small_table(t.spark, [{"variant": n, "num_missing": c["Clean"]["num_missing"], "scaling": c["Scale"]["method"]} for n, c in v.items()], "variant string, num_missing string, scaling string")
 
 
+LEVELS = ("SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS balance, c_nationkey AS nation, "
+          "CASE WHEN c_acctbal > 4000 THEN 'high' ELSE 'low' END AS level FROM {customer}")
+
+
+def lab_of(t, values=None, model=None):
+    """Default folds over all customers."""
+    roles = {"types": {"c_custkey": "id"}}
+    return lab.run_lab(t.sql(LEVELS), "level", lab.variants_for("Missing numbers", values, roles=roles), model, key="c_custkey")
+
+
 @query("k18_lab_folds")
 def _(t):
-    d = t.sql("SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS balance, c_nationkey AS nation, CASE WHEN c_acctbal > 4000 THEN 'high' ELSE 'low' END AS level FROM {customer}")
-    cfg = {n: merged(c, {"Types": {"types": {"c_custkey": "id"}}}) for n, c in lab.variants_for("Missing numbers", ["Median", "Drop rows"]).items()}
-    r = lab.run_lab(d, "level", cfg, folds=2, key="c_custkey")
-    return shown(r["folds"].filter("error is null").select("variant", "fold", "metric", "score"), "score")
+    return shown(lab_of(t)["folds"].select("variant", "fold", "metric", "score", "error"), "score")
+
+
+@query("k18_lab_boosting_with_gaps")
+def _(t):
+    return shown(lab_of(t, ["Median", lab.LEFT], "Gradient boosting")["folds"].select("variant", "fold", "metric", "score", "error"), "score")
+
+
+@query("k18_lab_rows_kept", f"""
+WITH d AS ({LEVELS.format(customer='customer')}),
+r AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY md5('42|' || c_custkey)) AS r, count(*) OVER (PARTITION BY level) AS n FROM d),
+f AS (SELECT CAST((r > n // 5) AS BIGINT) + CAST((r > n * 2 // 5) AS BIGINT) + CAST((r > n * 3 // 5) AS BIGINT) + CAST((r > n * 4 // 5) AS BIGINT) AS fold, balance FROM r)
+SELECT v.variant, f.fold, {r6("count(CASE WHEN v.variant <> 'Drop rows' OR balance IS NOT NULL THEN 1 END) * 100.0 / count(*)")} AS kept
+FROM f, (VALUES ('Fill with 0'), ('Leave as is'), ('Drop rows')) AS v(variant) GROUP BY v.variant, f.fold""")
+def _(t):
+    folds = lab_of(t, ["Fill with 0", lab.LEFT, "Drop rows"])["folds"]
+    return shown(folds.filter("metric = 'rows kept %'").select("variant", "fold", F.col("score").alias("kept")), "kept")
 
 
 PREDICTED = "SELECT o_orderstatus AS label, CASE WHEN o_totalprice < 150000 THEN 'F' WHEN o_totalprice < 300000 THEN o_orderstatus ELSE 'O' END AS prediction FROM {orders}"

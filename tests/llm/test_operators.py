@@ -309,14 +309,29 @@ def test_rotation(spark):
             (None, 0, None, "who", "x"), (3, None, "z", "late", "x"), (3, 1, "z", "same", "x"), (3, 1, "z", "same", "x"), (4, 0, "a", "p", "x"), (4, 300, "b", "q" * 9000, "x")]
     turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, speaker string")
     got = {(r["conv_id"], r["page"], r["speaker"]): r for r in chat.rotate(turns).collect()}
-    assert set(got) == {(1, 0, "ann"), (1, 0, "bob"), (None, 0, "unknown"), (3, 0, "z"), (4, 0, "a"), (4, 0, "b"), (4, 1, "a"), (4, 1, "b")}
+    assert set(got) == {(1, 0, "ann"), (1, 0, "bob"), (None, 0, "unknown"), (3, 0, "z"), (4, 0, "a"), (4, 0, "b")}
     r = got[1, 0, "ann"]
     assert r["rendered"] == "<|system|>\nrules<|end|>\n<|assistant|>\nhi <_|end|><|end|>\n<|user name=bob|>\n<|end|>\n<|assistant|>\nbye<|end|>\n"
     assert [r["rendered"][s["start"]:s["end"]] for s in r["spans"]] == ["hi <_|end|><|end|>\n", "bye<|end|>\n"] and (r["n_turns"], r["n_trained"]) == (4, 2)
-    assert got[4, 0, "b"]["spans"] == [] and got[3, 0, "z"]["n_turns"] == 3 and got[3, 0, "z"]["rendered"].startswith("<|assistant|>\nlate")
+    assert len(got[4, 0, "b"]["spans"]) == 1 and got[4, 0, "b"]["n_turns"] == 2 and got[3, 0, "z"]["n_turns"] == 3 and got[3, 0, "z"]["rendered"].startswith("<|assistant|>\nlate")
     assert chat.rotate(turns.limit(0)).count() == 0
 
 
+def test_rotation_of_sparse_and_long_dialogues(spark):
+    """Whole by default whatever the turn numbers; pages go by position and begin with the system's turns so far."""
+    rows = [(1, 300 * i, "system" if i in (0, 3) else "ab"[i % 2], f"t{i}") for i in range(9)] + [(None, 5, "a", "x"), (2, 0, "system", "s"), (2, 1, "system", "t")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    whole = {(r["conv_id"], r["speaker"]): r for r in chat.rotate(turns).collect()}
+    assert set(whole) == {(1, "a"), (1, "b"), (None, "a")} and whole[1, "a"]["n_turns"] == 9
+    assert [t for t in range(9) if f"t{t}<" in whole[1, "b"]["rendered"]] == list(range(9))
+    pages = {(r["conv_id"], r["page"], r["speaker"]): r for r in chat.rotate(turns, 4).collect()}
+    assert set(pages) == {(1, p, w) for p in range(3) for w in "ab"} | {(None, 0, "a")}
+    heads = {p: [f"t{t}" for t in range(9) if f"\nt{t}<" in pages[1, p, "a"]["rendered"]] for p in range(3)}
+    assert heads == {0: ["t0", "t1", "t2", "t3"], 1: ["t0", "t3", "t4", "t5", "t6", "t7"], 2: ["t0", "t3", "t8"]}
+    with pytest.raises(ValueError):
+        chat.rotate(turns, 0)
+
+
 # ---- toxicity and language
 
 def toxic_rows(n, seed):

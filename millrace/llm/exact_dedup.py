@@ -6,7 +6,7 @@ with partial aggregation, compared with the index by a sort-merge anti-join on t
 appended. Only digests are shuffled, never texts. Everything is DataFrame operations.
 
 Defined results: a null text counts as empty; rows that repeat a doc_id count as rows of their own; a null doc_id is
-kept only if no row of equal text has an id; empty tables give empty results; other columns are ignored.
+kept only if no row of equal text has an id, and then each such row is marked; empty tables give empty results; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common
 
-#: Bucket count of a new index. It is a property of the index for its lifetime: about one bucket for each 10 million
-#: distinct texts expected keeps a bucket near 500 MB.
-BUCKETS = 16
+#: Buckets of a new index at least, and the texts that one bucket is meant for (about 500 MB). The number of buckets is a
+#: property of an index for its lifetime: take it from the rows that the whole corpus will have.
+BUCKETS, BUCKET_ROWS = 16, 10_000_000
 INDEX_COLUMNS = "digest string, keep_id bigint, batch string"
 
 
@@ -32,6 +32,11 @@ def digested(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(normalised().cast("binary"), 256).alias("digest"))
 
 
+def buckets_for(rows: int) -> int:
+    """Buckets for an index of so many rows."""
+    return max(BUCKETS, -(-rows // BUCKET_ROWS))
+
+
 class DigestIndex:
     """The index at `path` in shared storage; without a path, in the session's warehouse. Opening a path that holds an
     index continues it."""
@@ -79,12 +84,13 @@ def keep_rows(docs: DataFrame, verdict: DataFrame) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex[:12]}")
-    return deduplicate(common.table(spark, folder, "documents"), index)
+    docs = common.table(spark, folder, "documents")
+    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex[:12]}", buckets=buckets_for(docs.count()))
+    return deduplicate(docs, index)
 
 
 OP8_SQL = r"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents),
 g AS (SELECT h, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY h)
-SELECT n.doc_id, g.keep_id, g.group_size, coalesce(n.doc_id = g.keep_id, false) AS kept, n.h AS text_sha256
+SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, n.h AS text_sha256
 FROM n JOIN g ON n.h = g.h"""

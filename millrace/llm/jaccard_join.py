@@ -17,7 +17,8 @@ Every pair that passes is decided on the whole sets. Long lists are dealt out in
 no task holds a whole list; copies and near copies never meet all with all across rows.
 
 A set is held as 64-bit hashes. Defined results: null and empty texts have an empty set and are linked with nothing;
-fewer than three words are one shingle; rows that share a doc_id are one document for linking; a null doc_id is linked
+fewer than three words are one shingle; rows that share a doc_id are one document for linking, so the sets of its texts are
+in one component; a null doc_id is linked
 with nothing and has a null component; other columns do not matter.
 """
 from __future__ import annotations
@@ -97,17 +98,17 @@ def sketch_counts(docs: DataFrame) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, n (members), s1, s2 (signature), bits."""
+    """doc_id, n (members), s1, s2 (signature), bits, text_key."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
             sh = Shingles(b.column(1))
             found = [sh.of(i)[0] for i in range(b.num_rows)]
             FIRST.trim()
             sign = [signature(s) for s in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([x for x, _ in sign], pa.int64()), pa.array([y for _, y in sign], pa.int64()), pa.array([parity(s) for s in found], pa.binary())],
-                                             ["doc_id", "n", "s1", "s2", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([x for x, _ in sign], pa.int64()), pa.array([y for _, y in sign], pa.int64()), pa.array([parity(s) for s in found], pa.binary()), b.column(2)],
+                                             ["doc_id", "n", "s1", "s2", "bits", "text_key"])
 
-    return docs.mapInArrow(sets, "doc_id long, n long, s1 long, s2 long, bits binary")
+    return docs.select("doc_id", "text", common.row_key().alias("text_key")).mapInArrow(sets, "doc_id long, n long, s1 long, s2 long, bits binary, text_key long")
 
 
 def prefix_rows(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
@@ -260,7 +261,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def member_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, members for the given nodes (node, s1, s2)."""
+    """node, members for the given nodes (node, own, text_key, s1, s2): own and text_key name a row that has the set."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
             sh = Shingles(b.column(1))
@@ -269,7 +270,7 @@ def member_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             right = [signature(s) == (x, y) for s, x, y in zip(found, b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "members"]).filter(pa.array(right, pa.bool_()))
 
-    wanted = docs.join(nodes, F.col("doc_id") == F.col("node"))
+    wanted = docs.withColumn("_text", common.row_key()).join(nodes, (F.col("doc_id") == F.col("own")) & (F.col("_text") == F.col("text_key")))
     return wanted.select("node", "text", "s1", "s2").mapInArrow(sets, "node long, members binary").dropDuplicates(["node"])
 
 
@@ -287,12 +288,30 @@ def in_blocks(entries: DataFrame, across: bool) -> DataFrame:
             .withColumn("side", F.when(F.col("_mine") == F.col("_other"), F.lit(-1)).otherwise(F.col("_mine"))).drop("_blocks", "_mine", "_other"))
 
 
+def ids_of_several_sets(able: DataFrame) -> DataFrame | None:
+    """doc_id, rows, and s1, s2, n of its first set, for each doc_id of several sets; None where there is none."""
+    one = F.struct("s1", "s2", "n")
+    found = able.groupBy("doc_id").agg(F.min(one).alias("one"), F.max(one).alias("last"), F.count(F.lit(1)).alias("rows")).filter("one <> last")
+    return common.stored(found.select("doc_id", "rows", "one.*"), "ids") if found.limit(1).count() else None
+
+
+def links_of_ids(able: DataFrame, several: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: every set of such a doc_id and its first one."""
+    key = ["s1", "s2", "n"]
+    firsts = several.join(classes.select(*key, F.col("node").alias("a")), key).select("doc_id", "rows", "a")
+    pairs = common.join_hot(able.select("doc_id", *key), common.stored(firsts, "firsts"), ["doc_id"], "rows", able.count()).filter("a is not null")
+    return pairs.distinct().join(classes.select(*key, F.col("node").alias("b")), key).select("a", "b").filter("a <> b").distinct()
+
+
 def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: rows in one component are joined by links of at least `percent` Jaccard."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = common.stored(set_rows(docs), "sets")
     able = rows.filter("doc_id is not null and n > 0")
-    classes = common.stored(able.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits")), "classes")
+    least = F.min(F.struct("doc_id", "text_key")).alias("least")
+    classes = able.groupBy("s1", "s2", "n").agg(least, F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits")).select("s1", "s2", "n", "copies", "bits", "least.text_key", F.col("least.doc_id").alias("own"))
+    several_sets = ids_of_several_sets(able)
+    classes = common.stored(classes.withColumn("node", F.monotonically_increasing_id() if several_sets is not None else F.col("own")), "classes")
     named = docs.filter("doc_id is not null")
     prefix = prefix_rows(named, sketch_counts(named), percent)
     shared = prefix.groupBy("token").agg(F.min("s1").alias("c1"), F.max("s1").alias("c2"), F.count(F.lit(1)).alias("length")).filter("c1 <> c2").select("token", "length")
@@ -300,7 +319,7 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     entries = common.stored(prefix.join(shared, "token").distinct().join(names, ["s1", "n"]).select("token", "length", "node", "n", "place", "bits"), "lists")
 
     near = common.stored(list_pairs(in_blocks(entries.withColumn("home", F.col("node")), False), percent, True), "pairs")
-    keys = classes.select("node", "s1", "s2")
+    keys = classes.select("node", "own", "text_key", "s1", "s2")
     ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     sets = common.stored(member_sets(docs, keys.join(ends, "node", "left_semi")), "members")
     links = common.stored(linked(near, sets, percent), "links")
@@ -314,9 +333,14 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if missing.limit(1).count():
         sets = sets.unionByName(common.stored(member_sets(docs, keys.join(missing, "node", "left_semi")), "members"))
     more = common.stored(linked(rest, sets, percent), "links")
-    final = components(links.unionByName(more)) if more.limit(1).count() else home
-
-    groups = (classes.join(final, "node", "left").select("s1", "s2", "n", "copies", F.coalesce("component", "node").alias("component_id")))
+    if several_sets is not None:
+        joined = common.stored(components(links.unionByName(more).unionByName(links_of_ids(able, several_sets, classes))).join(classes.select("node", "own"), "node"), "components")
+        least_id = joined.groupBy("component").agg(F.min("own").alias("least"), F.count(F.lit(1)).alias("nodes"))
+        final = common.join_hot(joined, least_id, ["component"], "nodes", joined.count()).select("node", F.col("least").alias("component"))
+    else:
+        final = components(links.unionByName(more)) if more.limit(1).count() else home
+
+    groups = (classes.join(final, "node", "left").select("s1", "s2", "n", "copies", F.coalesce("component", "own").alias("component_id")))
     grouped = common.join_hot(able.select("doc_id", "n", "s1", "s2"), groups, ["s1", "s2", "n"], "copies", able.count())
     alone = rows.filter("not (doc_id is not null and n > 0)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return grouped.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)

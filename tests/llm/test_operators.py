@@ -9,6 +9,7 @@ import sys
 from collections import Counter
 from fractions import Fraction
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +121,20 @@ def test_repeat_groups_list_all_occurrences():
     assert set(map(int, g["start"])) == {1, 2, 3, 4, 8, 9, 10, 11}
 
 
+def test_exact_dedup_null_ids_as_in_sql(spark, tmp_path):
+    rows = [(None, "a  b"), (None, "a b"), (None, "c"), (4, "c"), (5, None), (None, "")]
+    folder = str(tmp_path)
+    docs_of(spark, rows).write.parquet(f"{folder}/documents.parquet")
+    got = exact_dedup.op8_exact_dedup(spark, folder)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    cols = "doc_id, keep_id, group_size, kept, text_sha256"
+    want = con.execute(f"SELECT {cols} FROM ({exact_dedup.OP8_SQL})").fetchall()
+    assert sorted(map(repr, map(tuple, got.select(*cols.split(", ")).collect()))) == sorted(map(repr, want))
+    assert sum(r[3] for r in want) == 4
+    assert (exact_dedup.buckets_for(0), exact_dedup.buckets_for(160_000_001), exact_dedup.buckets_for(2 * 10 ** 10)) == (16, 17, 2000)
+
+
 # ---- Jaccard join
 
 @pytest.mark.parametrize("block", [1024, 4])
@@ -139,6 +154,20 @@ def test_jaccard_odd_tables(spark):
     assert sorted(r["doc_id"] or -1 for r in jaccard_join.keep_one(docs_of(spark, rows), found).collect()) == [-1, 3, 3, 8, 9]
 
 
+@pytest.mark.parametrize("turn", [1, -1])
+def test_jaccard_ids_with_several_texts(spark, turn):
+    """A doc_id with two texts links what is similar to either; rows of each set keep its size."""
+    words = [f"w{i}" for i in range(160)]
+    a, b, c = words[:60], words[60:120], words[120:]
+    near = lambda w: " ".join(w + [w[0]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (9, " ".join(c)), (4, near(c)), (9, near(b)), (8, "on its own here"), (2, "x y z")][::turn]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_components(docs_of(spark, rows)).collect())
+    assert got == sorted((d, len(brute.shingle_set(t)), 8 if d == 8 else 1) for d, t in rows)
+    many = [(5, f"k{i} l{i} m{i} n{i}") for i in range(700)] + [(3, "k7 l7 m7 n7"), (6, "other words stand here")]
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard_join.similar_components(docs_of(spark, many[::turn])).collect()}
+    assert got == {(5, 3), (3, 3), (6, 6)}
+
+
 # ---- decontamination
 
 def test_decontamination(spark):

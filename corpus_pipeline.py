@@ -24,7 +24,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex[:12]}")
+    index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex[:12]}", buckets=exact_dedup.buckets_for(docs.count()))
     return exact_dedup.keep_rows(docs, exact_dedup.deduplicate(docs, index))
 
 

@@ -1,7 +1,8 @@
 """Splits, samples, folds and balancing of exact sizes, the same at any partitioning.
 
 Rows are ordered by md5(seed|key). A histogram over the first four hex digits finds the bucket that holds each wanted
-rank; only the rows of that bucket are sorted to read the exact hash at the cut. Membership is then a comparison with
+rank; buckets of over BUCKET_ROWS rows are counted by their next four digits, and so on; only the rows of the last bucket
+are sorted to read the exact hash at the cut. Membership is then a comparison with
 the cut, so splitting the table itself needs no shuffle.
 """
 from __future__ import annotations
@@ -15,6 +16,7 @@ from millrace.operators import columns as C
 from millrace.operators.profile import row_hash
 
 CLASS_BOUND = 10_000
+BUCKET_ROWS, DIGITS, HASH_DIGITS = 100_000, 4, 32
 COPY_CHUNK = 50_000
 
 
@@ -51,13 +53,23 @@ def with_row_key(df: DataFrame, name: str = "_key") -> DataFrame:
     return numbered.select(*[C.col(c) for c in df.columns], F.concat_ws("|", "_id", "_copy").alias(name))
 
 
+def narrowed(keyed: DataFrame, marks: DataFrame, digits: int) -> DataFrame:
+    """The marks within buckets of DIGITS more digits; a bucket has at most 16**DIGITS of these."""
+    inner = keyed.select("_c", F.substring("_h", 1, digits).alias("_p"), F.substring("_h", 1, digits + DIGITS).alias("_q"))
+    cells = inner.join(marks.select("_c", "_p").distinct(), ["_c", "_p"], "left_semi").groupBy("_c", "_p", "_q").agg(F.count("*").alias("_k"))
+    start = F.sum("_k").over(Window.partitionBy("_c", "_p").orderBy("_q")) - F.col("_k")
+    return (cells.withColumn("_start", start).join(marks.select("_c", "_p", "_i", "_want"), ["_c", "_p"])
+            .filter((F.col("_want") > F.col("_start")) & (F.col("_want") <= F.col("_start") + F.col("_k")))
+            .select("_c", F.col("_q").alias("_p"), "_i", (F.col("_want") - F.col("_start")).alias("_want"), "_k"))
+
+
 def bands(df: DataFrame, key, seed: int, by: str | None, ranks: list) -> DataFrame:
     """Adds `_band` (how many of the wanted ranks lie below the row) and `_n` (rows of its class).
 
     `ranks` are functions of the class size that give non-decreasing row counts. The key must be unique.
     """
     keyed = df.withColumn("_h", hash_order(key, seed)).withColumn("_c", C.col(by).cast("string") if by else F.lit("all"))
-    cells = keyed.groupBy("_c", F.substring("_h", 1, 4).alias("_p")).agg(F.count("*").alias("_k")).persist()
+    cells = keyed.groupBy("_c", F.substring("_h", 1, DIGITS).alias("_p")).agg(F.count("*").alias("_k")).persist()
     sizes = cells.groupBy("_c").agg(F.sum("_k").alias("_n"))
     bounded = sizes.limit(CLASS_BOUND + 1).count() <= CLASS_BOUND
     w = Window.partitionBy("_c").orderBy("_p")
@@ -66,13 +78,26 @@ def bands(df: DataFrame, key, seed: int, by: str | None, ranks: list) -> DataFra
     marks = (placed.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), f(F.col("_n")).cast("long").alias("r"))
                                                     for i, f in enumerate(ranks)])).alias("m"))
              .filter((F.col("m.r") > F.col("_start")) & (F.col("m.r") <= F.col("_start") + F.col("_k")))
-             .select("_c", "_p", F.col("m.i").alias("_i"), (F.col("m.r") - F.col("_start")).alias("_want")))
-    spark = df.sparkSession
+             .select("_c", "_p", F.col("m.i").alias("_i"), (F.col("m.r") - F.col("_start")).alias("_want"), "_k"))
+    spark, digits = df.sparkSession, DIGITS
+
+    def settled(found: DataFrame) -> tuple[DataFrame, bool]:
+        """The marks, in the plan if they are few, and whether a bucket is still too large."""
+        if not bounded:
+            found = found.persist()
+            return found, found.filter(F.col("_k") > BUCKET_ROWS).limit(1).count() > 0
+        rows = found.collect()
+        return F.broadcast(spark.createDataFrame(rows, "_c string, _p string, _i int, _want long, _k long")), any(r["_k"] > BUCKET_ROWS for r in rows)
+
+    marks, large = settled(marks)
+    while large and digits < HASH_DIGITS:
+        marks, large = settled(narrowed(keyed, marks, digits))
+        digits += DIGITS
+    marks = marks.drop("_k")
     if bounded:
-        marks = F.broadcast(spark.createDataFrame(marks.collect(), "_c string, _p string, _i int, _want long"))
         sizes = spark.createDataFrame(sizes.collect(), "_c string, _n long")
         cells.unpersist()
-    at = (keyed.select("_c", "_h", F.substring("_h", 1, 4).alias("_p")).join(marks, ["_c", "_p"])
+    at = (keyed.select("_c", "_h", F.substring("_h", 1, digits).alias("_p")).join(F.broadcast(marks) if bounded else marks, ["_c", "_p"])
           .withColumn("_r", F.row_number().over(Window.partitionBy("_c", "_p", "_i").orderBy("_h"))).filter("_r = _want")
           .groupBy("_c").agg(*[F.max(F.when(F.col("_i") == i, F.col("_h"))).alias(f"_cut{i}") for i in range(len(ranks))]))
     if bounded:

@@ -217,3 +217,20 @@ def test_profile_counts_wide_ids(spark):
     from millrace.operators import profile
     df = spark.range(1000).select((F.col("id") + (1 << 60)).alias("wide"), (F.col("id").cast("decimal(38,20)") / 10**9).alias("fine"))
     assert [r["unique"] for r in profile.numeric_profile(df).collect()] == [1000, 1000]
+
+
+@pytest.mark.parametrize("classes", [10_000, 1])
+def test_large_buckets_are_counted_deeper(spark, monkeypatch, classes):
+    """Cuts found by more and more digits of the hash are those of a plain sort, also where keys repeat."""
+    from millrace.operators import sampling
+    rows = [(i if i % 4 else 8, "ab"[i % 3 == 0]) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, y string")
+    monkeypatch.setattr(sampling, "BUCKET_ROWS", 1)
+    monkeypatch.setattr(sampling, "DIGITS", 2)
+    monkeypatch.setattr(sampling, "CLASS_BOUND", classes)
+    hashed = df.select("id", "y", sampling.hash_order("id", 5).alias("h"))
+    order = {y: sorted(r["h"] for r in hashed.collect() if r["y"] == y) for y in "ab"}
+    cut = {y: h[len(h) // 3 - 1] for y, h in order.items()}
+    got = sampling.bands(df, "id", 5, "y", [lambda n: F.floor(n / 3)])
+    found = sorted((r["id"], r["y"], r["_band"]) for r in got.collect())
+    assert found == sorted((r["id"], r["y"], int(r["h"] > cut[r["y"]])) for r in hashed.collect())

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 from millrace.catalog.base import query, r6, s9, shown, union_all, with_views
 from millrace.catalog.profiles import profile_sql  # noqa: F401
 from millrace.catalog.steps import ORDERS_TRAIN, SCALED_OUT, pipeline_sql
-from millrace.operators import identity, running
+from millrace.operators import identity, missingness, profile, running
 from millrace.operators.contract import infer_contract
 from millrace.operators.profile import small_table
 from millrace.operators.sampling import split_frame
-from millrace.plans import bundle, lab, spec
+from millrace.plans import bundle, lab, scaling, spec
 from millrace.plans.pipeline import build_pipeline
 from millrace.plans.settings import default_settings, merged
 from millrace.sources import readers, writers
@@ -378,3 +378,37 @@ def _(t):
     stream = t.spark.sql(VIEWS["dirty_events"], events=jobs.read_files(t.spark, t.folder, "events.parquet", t.events.schema))
     jobs.profile_stream(stream, ["value", "user_id"], ["props"], path)
     return shown(jobs.stream_profile(t.spark, path)[0], "missing_pct")
+
+
+# --- growth ---------------------------------------------------------------------------------------------------------
+
+SAMPLED = """WITH p AS (SELECT *, CAST('0x' || substr(md5('0|' || CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 AS place FROM orders),
+n AS (SELECT share, count(*) AS rows, count(DISTINCT o_orderkey) AS keys FROM p, (VALUES (0.25), (0.5), (1.0)) s(share) WHERE place < share GROUP BY 1)"""
+
+
+def order_work(t):
+    """Tasks that read the table once and shuffle one row for each key, or for each row."""
+    tasks = {"count by key": lambda d: d.groupBy("o_orderkey").count().write.format("noop").mode("overwrite").save(),
+             "distinct rows": lambda d: d.distinct().write.format("noop").mode("overwrite").save()}
+    return scaling.measure(t.orders, tasks, "o_orderkey")
+
+
+@query("l4_growth_rows", SAMPLED + """
+SELECT task, CAST(share AS DOUBLE) AS share, rows, rows AS rows_read, CASE WHEN task = 'count by key' THEN keys ELSE rows END AS rows_shuffled
+FROM n, (VALUES ('count by key'), ('distinct rows')) w(task)""")
+def _(t):
+    return order_work(t).drop("seconds")
+
+
+@query("l4_growth", SAMPLED + f"""
+SELECT task, count(*) AS points, {r6('regr_slope(ln(rows), ln(rows))')} AS read_slope, {r6("regr_slope(ln(CASE WHEN task = 'count by key' THEN keys ELSE rows END), ln(rows))")} AS shuffle_slope
+FROM n, (VALUES ('count by key'), ('distinct rows')) w(task) GROUP BY 1""")
+def _(t):
+    return shown(scaling.growth_slopes(order_work(t)), "read_slope", "shuffle_slope")
+
+
+@query("l4_growth_of_analysis")
+def _(t):
+    """Slopes of whole analyses: passes over the table show as the same slope, a plan that outgrows the table as a larger one."""
+    tasks = {"numeric profile": lambda d: profile.numeric_profile(d).collect(), "missing analysis": lambda d: [x.collect() for x in missingness.missing_analysis(d).values()]}
+    return shown(scaling.growth_slopes(scaling.measure(t.view("dirty_events"), tasks, "id")), "read_slope", "shuffle_slope")

@@ -24,16 +24,6 @@ from millrace.operators.ranks import join_often, totals_before
 from millrace.session import stored
 
 
-CELL_BOUND = 50_000
-
-
-def bounded(table: DataFrame, limit: int | None = None) -> list | None:
-    """The rows of an aggregated table if there are at most `limit`, else None; one job either way."""
-    limit = CELL_BOUND if limit is None else limit
-    rows = table.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
-
-
 def _text(df: DataFrame, c: str) -> Column:
     return F.when(~C.is_null(df, c), C.col(c).cast("string"))
 
@@ -51,31 +41,27 @@ def contingencies(df: DataFrame, pairs: list[tuple], exprs: dict[str, Column]) -
             .groupBy("pair", "a", "b").agg(F.count("*").alias("n")))
 
 
+def cell_cube(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The cells (pair, a, b, n) as a table, and a table of their margins by grouping sets: (pair, a, b, n, cells, level), where
+    level 1 sums over b, level 2 over a and level 3 over both. One plan at any size; nothing but sums per pair leaves the cluster."""
+    cells = stored(cells, "cells")
+    margins = (cells.groupingSets([["pair", "a"], ["pair", "b"], ["pair"]], "pair", "a", "b")
+               .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("cells"), F.grouping_id().alias("level")))
+    return cells, stored(margins.select("pair", "a", "b", "n", "cells", "level"), "margins")
+
+
 def chi_square(cells: DataFrame) -> DataFrame:
-    """Per pair: n, r, k and chi2 = n (sum of o^2 / (row * column) - 1), which also covers empty cells."""
-    rows = cells.groupBy("pair", "a").agg(F.sum("n").alias("ra"))
-    cols = cells.groupBy("pair", "b").agg(F.sum("n").alias("cb"))
-    size = cells.groupBy("pair").agg(F.sum("n").alias("total"), F.count_distinct("a").alias("r"), F.count_distinct("b").alias("k"))
-    s = (cells.join(rows, ["pair", "a"]).join(cols, ["pair", "b"]).groupBy("pair")
-         .agg(F.sum(F.col("n").cast("double") * F.col("n") / (F.col("ra").cast("double") * F.col("cb"))).alias("s")))
-    return s.join(size, "pair").select("pair", "total", "r", "k", F.greatest(F.lit(0.0), F.col("total") * (F.col("s") - 1)).alias("chi2"))
-
-
-def chi_square_facts(cells: DataFrame) -> list[tuple]:
-    """(pair, n, r, k, chi2); few cells are summed here, many stay in the cluster."""
-    rows = bounded(cells)
-    if rows is None:
-        return [(r["pair"], r["total"], r["r"], r["k"], r["chi2"]) for r in chi_square(cells).collect()]
-    margin: dict = {}
-    for r in rows:
-        for key in ((r["pair"],), (r["pair"], "a", r["a"]), (r["pair"], "b", r["b"])):
-            margin[key] = margin.get(key, 0) + r["n"]
-    out = []
-    for (pair,), total in [(k, v) for k, v in margin.items() if len(k) == 1]:
-        mine = [r for r in rows if r["pair"] == pair]
-        s = math.fsum(r["n"] ** 2 / (margin[(pair, "a", r["a"])] * margin[(pair, "b", r["b"])]) for r in mine)
-        out.append((pair, total, len({r["a"] for r in mine}), len({r["b"] for r in mine}), max(0.0, total * (s - 1))))
-    return out
+    """Per pair: total, r, k and chi2 = n (sum of o^2 / (row * column) - 1), which also covers empty cells.
+
+    Cells fetch the margin of a (frequent ones are broadcast); column totals come from the sum over each column itself.
+    """
+    cells, margins = cell_cube(cells)
+    rows = margins.filter("level = 1").select("pair", "a", F.col("n").alias("ra"), "cells")
+    columns = (join_often(cells, rows, ["pair", "a"], "cells", cells.count()).groupBy("pair", "b")
+               .agg(F.sum(F.col("n").cast("double") * F.col("n") / F.col("ra")).alias("o"), F.sum("n").alias("cb")))
+    s = columns.groupBy("pair").agg(F.sum(F.col("o") / F.col("cb")).alias("s"), F.count(F.lit(1)).alias("k"), F.sum("cb").alias("total"))
+    r = margins.filter("level = 1").groupBy("pair").agg(F.count(F.lit(1)).alias("r"))
+    return s.join(r, "pair").select("pair", "total", "r", "k", F.greatest(F.lit(0.0), F.col("total") * (F.col("s") - 1)).alias("chi2"))
 
 
 def cramers(df: DataFrame, pairs: list[tuple], exprs: dict[str, Column] | None = None) -> dict[tuple, dict]:
@@ -84,7 +70,7 @@ def cramers(df: DataFrame, pairs: list[tuple], exprs: dict[str, Column] | None =
         return {}
     exprs = exprs or {c: _text(df, c) for c in {x for p in pairs for x in p}}
     out = {p: {"n": 0, "r": 0, "k": 0, "chi2": 0.0, "p": 1.0, "v": 0.0, "v_plain": 0.0} for p in pairs}
-    for pair, n, r, k, chi2 in chi_square_facts(contingencies(df, pairs, exprs)):
+    for pair, n, r, k, chi2 in chi_square(contingencies(df, pairs, exprs)).collect():
         d = out[pairs[pair]]
         d.update(n=n, r=r, k=k)
         if r < 2 or k < 2:
@@ -120,23 +106,11 @@ def eta_squared(df: DataFrame, pairs: list[tuple], exprs: dict[str, Column] | No
     cats = exprs or {c: _text(df, c) for c, _ in pairs}
     cells = F.array(*[F.struct(F.lit(i).alias("pair"), cats[g].alias("g"), C.as_numeric(df, v).alias("v")) for i, (g, v) in enumerate(pairs)])
     long = df.select(F.explode(cells).alias("x")).select("x.*").filter("g is not null and v is not null")
-    groups = long.groupBy("pair", "g").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s"))
-    rows = bounded(groups)
-    if rows is not None:
-        facts: dict = {}
-        for r in rows:
-            facts.setdefault(r["pair"], []).append(r)
-        rows = []
-        for pair, g in facts.items():
-            n = sum(r["n"] for r in g)
-            mm = math.fsum(r["n"] * r["m"] for r in g) / n
-            rows.append({"pair": pair, "n": n, "k": len(g), "within": math.fsum(r["n"] * r["s"] for r in g),
-                         "between": math.fsum(r["n"] * (r["m"] - mm) ** 2 for r in g)})
-    else:
-        means = groups.groupBy("pair").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mm"))
-        rows = groups.join(F.broadcast(means), "pair").groupBy("pair").agg(
-            F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("s")).alias("within"),
-            F.sum(F.col("n") * (F.col("m") - F.col("mm")) ** 2).alias("between")).collect()
+    groups = stored(long.groupBy("pair", "g").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s")), "groups")
+    means = groups.groupBy("pair").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mm"))
+    rows = groups.join(F.broadcast(means), "pair").groupBy("pair").agg(
+        F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("s")).alias("within"),
+        F.sum(F.col("n") * (F.col("m") - F.col("mm")) ** 2).alias("between")).collect()
     out = {p: {"n": 0, "groups": 0, "eta2": 0.0} for p in pairs}
     for r in rows:
         total = r["within"] + r["between"]
@@ -229,28 +203,12 @@ def nmi(df: DataFrame, pairs: list[tuple], bins: int = 10) -> dict[tuple, float
 
 
 def entropies(cells: DataFrame) -> list[tuple]:
-    """(pair, n, entropy of a, of b, of both) from (pair, a, b, n); few cells are summed here, many stay in the cluster."""
-    rows = bounded(cells)
-    if rows is not None:
-        sums: dict = {}
-        for r in rows:
-            for side, key in ((0, r["a"]), (1, r["b"]), (2, (r["a"], r["b"]))):
-                d = sums.setdefault(r["pair"], ({}, {}, {}))[side]
-                d[key] = d.get(key, 0) + r["n"]
-        out = []
-        for pair, sides in sums.items():
-            total = sum(sides[0].values())
-            out.append((pair, total, *(-math.fsum(n / total * math.log(n / total) for n in d.values()) for d in sides)))
-        return out
-    size = cells.groupBy("pair").agg(F.sum("n").alias("total"))
-
-    def entropy(by):
-        m = cells.groupBy("pair", *by).agg(F.sum("n").alias("n")).join(F.broadcast(size), "pair")
-        share = F.col("n") / F.col("total")
-        return m.groupBy("pair").agg((-F.sum(share * F.log(share))).alias("h" + "".join(by)))
-
-    joined = size.join(entropy(["a"]), "pair").join(entropy(["b"]), "pair").join(entropy(["a", "b"]), "pair")
-    return [(r["pair"], r["total"], r["ha"], r["hb"], r["hab"]) for r in joined.collect()]
+    """(pair, n, entropy of a, of b, of both) from (pair, a, b, n): log n less the mean of log n over the rows of each level."""
+    cells, margins = cell_cube(cells)
+    levels = margins.select("pair", "n", "level").unionByName(cells.select("pair", "n", F.lit(0).cast("long").alias("level")))
+    weighed = F.col("n") * F.log("n")
+    sums = levels.groupBy("pair").agg(F.max("n").alias("total"), *[F.sum(F.when(F.col("level") == i, weighed)).alias(f"s{i}") for i in (0, 1, 2)])
+    return [(r["pair"], r["total"], *(max(0.0, math.log(r["total"]) - r[f"s{i}"] / r["total"]) for i in (1, 2, 0))) for r in sums.collect()]
 
 
 def nmi_table(df: DataFrame, pairs: list[tuple], bins: int = 10) -> DataFrame:

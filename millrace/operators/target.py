@@ -39,12 +39,18 @@ def _finished(df: DataFrame, rows: list[dict]) -> DataFrame:
     return small_table(df.sparkSession, rows, FEATURES)
 
 
+def within_limit(df: DataFrame, cat: list[str], max_values: int | None) -> tuple[list[str], dict[str, int]]:
+    """The categorical features that a caller's limit on distinct values leaves in, and those it leaves out with their values."""
+    if max_values is None:
+        return cat, {}
+    u = distinct_counts(df, cat)
+    return [c for c in cat if u[c] <= max_values], {c: u[c] for c in cat if u[c] > max_values}
+
+
 def class_features(df: DataFrame, target: str, num: list[str], cat: list[str]) -> DataFrame:
     """Strength of every feature against a target with classes: eta with Kruskal p, or V with chi-square p, and NMI."""
     label = df.withColumn("_label", F.when(~C.is_null(df, target), C.col(target).cast("string")))
     eta = A.eta_squared(label, [("_label", c) for c in num])
-    u = distinct_counts(df, cat)
-    cat = [c for c in cat if u[c] <= 100]
     v = A.cramers(label, [(c, "_label") for c in cat])
     mutual = A.nmi(label, [(c, "_label") for c in num + cat])
     rows = []
@@ -96,7 +102,7 @@ def number_features(df: DataFrame, target: str, num: list[str], cat: list[str])
                      "strength": max(abs(p or 0.0), abs(s or 0.0)), "p_value": S.correlation_p(s, n) if s is not None else None, "rows_used": n})
     for c in cat:
         e = eta[(c, target)]
-        if 2 <= e["groups"] <= 100:
+        if e["groups"] >= 2:
             rows.append({"feature": c, "type": "categorical", "measure": "eta", "strength": math.sqrt(e["eta2"]), "nmi": mutual[(c, target)],
                          "p_value": groups[c]["p"], "rows_used": e["n"]})
     return _finished(df, rows)
@@ -117,13 +123,15 @@ def split_shares(splits: dict[str, DataFrame], target: str) -> DataFrame:
     return (n.join(F.broadcast(total), "part").groupBy("class").pivot("part", list(splits)).agg(F.first(F.col("n") / F.col("t") * 100)).fillna(0.0))
 
 
-def classification(df: DataFrame, target: str, roles: dict | None = None, splits: dict | None = None) -> dict:
+def classification(df: DataFrame, target: str, roles: dict | None = None, splits: dict | None = None, max_values: int | None = None) -> dict:
+    """Every feature whatever its number of values; what `max_values` leaves out is flagged."""
     num, cat, _ = C.by_role(df, target, roles)
+    cat, left_out = within_limit(df, cat, max_values)
     vc = value_counts(df, [target])
     facts = vc.agg(F.sum("n").alias("n"), F.max("n").alias("hi"), F.min("n").alias("lo"), F.count("*").alias("k"), F.count(F.when(F.col("n") < 30, 1)).alias("small")).first()
     share = vc.select(F.col("value").alias("class"), F.col("n").alias("rows"), (F.col("n") / F.lit(facts["n"]) * 100).alias("share_pct")).orderBy(F.desc("rows"), "class")
     ratio = facts["hi"] / facts["lo"] if facts["k"] > 1 else math.inf
-    features, flags = class_features(df, target, num, cat), []
+    features, flags = class_features(df, target, num, cat), [("info", "left out, many values", c, u) for c, u in left_out.items()]
     if facts["k"] < 2:
         flags.append(("error", "single class", target, facts["k"]))
     if ratio >= 3:
@@ -188,9 +196,12 @@ def leverage(df: DataFrame, cols: list[str], keep: list[str], top: int = 10) ->
     return d.select(*[C.col(k) for k in keep], h.alias("leverage")).filter(F.col("leverage") > limit).orderBy(F.desc("leverage"), *keep).limit(top)
 
 
-def regression(df: DataFrame, target: str, roles: dict | None = None, key: str | None = None) -> dict:
+def regression(df: DataFrame, target: str, roles: dict | None = None, key: str | None = None, max_values: int | None = None) -> dict:
+    """Every feature whatever its number of values; what `max_values` leaves out is flagged."""
     num, cat, _ = C.by_role(df, target, roles)
-    summary, features, flags = target_summary(df, target), number_features(df, target, num, cat), []
+    cat, left_out = within_limit(df, cat, max_values)
+    summary, features = target_summary(df, target), number_features(df, target, num, cat)
+    flags = [("info", "left out, many values", c, u) for c, u in left_out.items()]
     s = summary.first()
     if s["skew"] is not None and abs(s["skew"]) > 1:
         flags.append(("info", "skewed target", target, s["skew"]))
@@ -278,14 +289,16 @@ def unsupervised(df: DataFrame, roles: dict | None = None) -> dict:
 
 
 def analyze_target(df: DataFrame, target: str | None, kind: str | None = None, time_col: str | None = None, tie: str | None = None,
-                   roles: dict | None = None, splits: dict | None = None, sample: int | None = None, key: str | None = None) -> dict:
-    """The analysis for the kind of problem. All rows by default; `sample` takes that many rows by hash first."""
+                   roles: dict | None = None, splits: dict | None = None, sample: int | None = None, key: str | None = None,
+                   max_values: int | None = None) -> dict:
+    """The analysis for the kind of problem. All rows by default; `sample` takes that many rows by hash first, `max_values` leaves out
+    (and flags) categorical features of more values."""
     d = df if sample is None else sample_rows(df, sample, key=key)
     kind = kind or guess_kind(df, target)
     if kind == "Classification":
-        return classification(d, target, roles, splits)
+        return classification(d, target, roles, splits, max_values)
     if kind == "Regression":
-        return regression(d, target, roles, key)
+        return regression(d, target, roles, key, max_values)
     if kind.startswith("Time"):
         return timeseries(d, target, time_col, tie or time_col)
     return unsupervised(d, roles)

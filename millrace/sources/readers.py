@@ -31,17 +31,17 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.toDF(*tidy_names(df.columns))
 
 
-def sniff_separator(lines: list[str]) -> str:
-    """The separator that splits most lines into the same number of fields, more than one if possible."""
-    def score(sep):
-        counts = [line.count(sep) for line in lines if line.strip()]
-        usual = max(set(counts), key=counts.count) if counts else 0
-        return (usual > 0) * (counts.count(usual) / max(len(counts), 1)), usual
-    return max(SEPARATORS, key=score)
+def sniff_separator(lines: DataFrame) -> str:
+    """The separator that splits most lines (column `value`) into the same number of fields, more than one if possible.
 
-
-def _head(spark: SparkSession, path: str, n: int = 50) -> list[str]:
-    return [r["value"] for r in spark.read.text(path).limit(n).collect()]
+    All lines count: they are folded to (separator, separators in the line) and counted in one aggregation.
+    """
+    seen = F.array(*[F.struct(F.lit(i).alias("sep"), ((F.length("value") - F.length(F.replace("value", F.lit(s), F.lit("")))) / len(s)).cast("long").alias("fields"))
+                     for i, s in enumerate(SEPARATORS)])
+    counts = lines.filter(X.strip(F.col("value")) != "").select(F.explode(seen).alias("x")).groupBy("x.sep", "x.fields").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("sep").agg(F.max(F.struct("n", "fields")).alias("usual"), F.sum("n").alias("all")).collect()
+    score = {r["sep"]: ((r["usual"]["fields"] > 0) * r["usual"]["n"] / r["all"], r["usual"]["fields"]) for r in best}
+    return SEPARATORS[max(range(len(SEPARATORS)), key=lambda i: score.get(i, (0, 0)))]
 
 
 def decodes_as_utf8(spark: SparkSession, path: str) -> bool:
@@ -56,7 +56,7 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = ",", header: bool
         encoding = "UTF-8" if decodes_as_utf8(spark, path) else FALLBACK_ENCODING
     if encoding.upper().replace("_", "-") not in ("UTF-8", "ISO-8859-1", "US-ASCII", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32"):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    sep = sep or sniff_separator(_head(spark, path))
+    sep = sep or sniff_separator(spark.read.text(path))
     reader = spark.read.option("sep", sep).option("header", header).option("encoding", encoding).option("quote", '"').option("escape", '"')
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
@@ -88,7 +88,7 @@ def read_table(spark: SparkSession, path: str, kind: str | None = None, sep: str
     if kind == "csv":
         df = read_csv(spark, path, sep or ",", header, encoding)
         if sep is None and len(df.columns) == 1:
-            guess = sniff_separator(_head(spark, path))
+            guess = sniff_separator(spark.read.text(path))
             df = read_csv(spark, path, guess, header, encoding) if guess != "," else df
     elif kind == "table":
         df = read_csv(spark, path, sep, header, encoding)
@@ -121,7 +121,7 @@ def pasted_table(spark: SparkSession, text: str, sep: str | None = None, header:
     lines = [line for line in text.splitlines() if line.strip()]
     if not lines:
         raise ValueError("there is no text to read")
-    sep = sep or sniff_separator(lines)
+    sep = sep or sniff_separator(spark.createDataFrame([(line,) for line in lines], "value string"))
     first = next(csv.reader(lines[:1], delimiter=sep))
     names = tidy_names(first if header else [f"_c{i}" for i in range(len(first))])
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])

@@ -196,21 +196,55 @@ def test_kruskal_and_eta_against_formulas(skewed):
     assert abs(eta - (1 - within / ((p.x - p.x.mean()) ** 2).sum())) < 1e-12
 
 
-def test_cell_routes_agree(spark, monkeypatch):
-    df = spark.range(900).select(F.concat(F.lit("a"), F.col("id") % 7).alias("a"), F.concat(F.lit("b"), (F.col("id") * 13 % 11) % 5).alias("b"),
-                                 (F.col("id") * 37 % 101).cast("double").alias("v"))
-
-    def measures():
-        return (association.cramers(df, [("a", "b")])[("a", "b")], association.eta_squared(df, [("a", "v")])[("a", "v")],
-                association.nmi(df, [("a", "v"), ("a", "b")]))
-    one = measures()
-    monkeypatch.setattr(association, "CELL_BOUND", 3)
-    other = measures()
-    for k in ("n", "r", "k", "chi2", "v"):
-        assert abs(one[0][k] - other[0][k]) < 1e-9
-    assert abs(one[1]["eta2"] - other[1]["eta2"]) < 1e-12
-    for k, v in one[2].items():
-        assert abs(v - other[2][k]) < 1e-12
+@pytest.mark.parametrize("share", [500, 2])
+def test_cells_and_margins(spark, monkeypatch, share):
+    """Measures off the cells equal plain sums, with frequent values broadcast and without."""
+    import collections
+    import math
+    from millrace.operators import ranks
+    monkeypatch.setattr(ranks, "HOT_SHARE", share)
+    rows = [("a0" if i % 3 == 0 else f"a{i % 7}", None if i % 17 == 0 else f"b{(i * 13 % 11) % 5}", float(i * 37 % 101), f"id{i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "a string, b string, v double, id string")
+
+    def plain(x, y):
+        both = [(p, q) for p, q in zip(x, y) if p is not None and q is not None]
+        n, rows_, cols_ = len(both), collections.Counter(p for p, _ in both), collections.Counter(q for _, q in both)
+        cells = collections.Counter(both)
+        chi2 = sum((cells[(p, q)] - rows_[p] * cols_[q] / n) ** 2 / (rows_[p] * cols_[q] / n) for p in rows_ for q in cols_)
+        h = [-sum(k / n * math.log(k / n) for k in c.values()) for c in (rows_, cols_, cells)]
+        return n, len(rows_), len(cols_), chi2, min(1.0, max(0.0, (h[0] + h[1] - h[2]) / min(h[:2])))
+    a, b, v, ids = zip(*rows)
+    pairs = {("a", "b"): plain(a, b), ("a", "id"): plain(a, ids), ("id", "b"): plain(ids, b)}
+    found, mutual = association.cramers(df, list(pairs)), association.nmi(df, list(pairs))
+    for p, (n, r, k, chi2, nmi) in pairs.items():
+        assert (found[p]["n"], found[p]["r"], found[p]["k"]) == (n, r, k)
+        assert abs(found[p]["chi2"] - chi2) < 1e-9 * max(1, chi2) and abs(mutual[p] - nmi) < 1e-12
+    groups = collections.defaultdict(list)
+    for g, x in zip(a, v):
+        groups[g].append(x)
+    mean = sum(v) / len(v)
+    within = sum((x - sum(g) / len(g)) ** 2 for g in groups.values() for x in g)
+    assert abs(association.eta_squared(df, [("a", "v")])[("a", "v")]["eta2"] - (1 - within / sum((x - mean) ** 2 for x in v))) < 1e-12
+    assert association.cramers(df.filter("false"), [("a", "b")])[("a", "b")]["n"] == 0
+    assert association.nmi(df.filter("false"), [("a", "b")])[("a", "b")] is None
+
+
+def test_features_of_many_values(spark):
+    """Features of any number of values count; a caller's limit is flagged."""
+    from millrace.operators import target
+    df = spark.range(600).select(F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("label"), (F.col("id") % 7).cast("double").alias("number"),
+                                 F.concat(F.lit("code "), F.col("id") % 150).alias("code"))
+    cat = [r["feature"] for r in target.class_features(df, "label", [], ["code"]).collect()]
+    assert cat == ["code"] and [r["feature"] for r in target.number_features(df, "number", [], ["code"]).collect()] == ["code"]
+    keep, out = target.within_limit(df, ["code", "label"], 100)
+    assert (keep, out) == (["label"], {"code": 150})
+
+
+def test_separator_from_all_lines(spark):
+    from millrace.sources import readers
+    lines = ["a,b;c" for _ in range(60)] + ["1;2;3" for _ in range(100)] + ["", "  "]
+    assert readers.sniff_separator(spark.createDataFrame([(x,) for x in lines], "value string")) == ";"
+    assert readers.sniff_separator(spark.createDataFrame([], "value string")) == ","
 
 
 def test_profile_counts_wide_ids(spark):

@@ -1,13 +1,14 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-Terms of a text are its distinct lower-case words and their character grams (4 to 6, with word edges), hashed to
-2**18 numbers. Additive weights see each term for itself; the factors add a learned strength for every pair of terms
+Terms of a text are its distinct lower-case words and their character grams (4 to 6, with word edges), each kind hashed to
+2**18 numbers of its own. Additive weights see each term for itself; the factors add a learned strength for every pair of terms
 that meet in a text, such as an insult with the mention of a group, at a cost linear in the terms.
 
 Fitting uses a bounded, class-balanced sample of at most `train_rows` labelled rows (chosen by a hash, weighted back to
-the true class shares). Term counts of the sample are a Spark aggregation; the at most `max_terms` terms with the
-strongest chi-square get weights, so the model has a fixed largest size and is sent to the tasks as it is. Scoring
-reads every whole text and shuffles nothing.
+the true class shares). Term counts of the sample are a Spark aggregation. Weights and factors go to the at most
+`max_terms` terms with the strongest chi-square and, whatever their labels, to the at most `max_words` most frequent words,
+so that a pair is learned whose words say nothing alone. The model has a fixed largest size and is sent to the tasks as it
+is. Scoring reads every whole text and shuffles nothing.
 
 Defined results: null and empty texts get the score of a text without terms; a document with several labels counts as
 toxic if one says so; a null toxic label is no label; a null doc_id counts as held out; if the sample lacks a class,
@@ -28,6 +29,7 @@ from millrace.llm import common
 from millrace.llm.arrays import chunks
 
 TERM_BITS, TRAIN_ROWS, MAX_TERMS, LEAST_CHI2, FACTORS, EPOCHS = 18, 8000, 4096, 25.0, 8, 12
+MAX_WORDS, LEAST_ROWS = 1024, 20
 WORD = re.compile(r"[^\W_]+")
 KEPT_WORDS = 150_000
 
@@ -36,7 +38,8 @@ def terms_of(word: str) -> set[int]:
     mask = (1 << TERM_BITS) - 1
     edged = f"<{word}>"
     grams = {edged[i:i + n] for n in (4, 5, 6) for i in range(len(edged) - n + 1)}
-    return {zlib.crc32(g.encode("utf-8", "replace")) & mask for g in grams | {"=" + word}}
+    number = zlib.crc32(word.encode("utf-8", "replace")) & mask
+    return {zlib.crc32(g.encode("utf-8", "replace")) & mask for g in grams} | {number | (1 << TERM_BITS)}
 
 
 def words_in(text: str | None) -> set[str]:
@@ -106,8 +109,9 @@ def fold(modulus: int):
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, max_terms: int = MAX_TERMS) -> Machine:
-    """Fit on labelled rows outside the held-out fold. labels: doc_id, toxic."""
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, max_terms: int = MAX_TERMS, max_words: int = MAX_WORDS) -> Machine:
+    """Fit on labelled rows outside the held-out fold. labels: doc_id, toxic. Words in fewer than LEAST_ROWS rows of the sample
+    are not frequent."""
     own = (labels.filter("doc_id is not null and toxic is not null").filter(fold(5) != 0)
            .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("y")))
     own = own.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
@@ -133,11 +137,12 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, max_
     n1, n0 = size[1], size[0]
     a, b = F.col("a"), F.col("b")
     chi2 = (n1 + n0) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (n1 + n0 - a - b) * float(n1) * float(n0))
-    strong = (sample.select("y", F.explode("terms").alias("term")).groupBy("term")
-              .agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
-              .filter(a + b < n1 + n0).select("term", chi2.alias("chi2")).filter(F.col("chi2") >= LEAST_CHI2)
-              .orderBy(F.desc("chi2"), "term").limit(max_terms).collect())
-    terms = np.array(sorted(r["term"] for r in strong), np.int64)
+    counted = common.stored(sample.select("y", F.explode("terms").alias("term")).groupBy("term")
+                            .agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
+                            .filter(a + b < n1 + n0).select("term", (a + b).alias("rows"), chi2.alias("chi2")), "toxicity-terms")
+    strong = counted.filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(max_terms)
+    frequent = counted.filter((F.col("term") >= 1 << TERM_BITS) & (F.col("rows") >= LEAST_ROWS)).orderBy(F.desc("rows"), "term").limit(max_words)
+    terms = np.array(sorted({r["term"] for r in strong.select("term").unionByName(frequent.select("term")).collect()}), np.int64)
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,4 +1,4 @@
-"""Whitening, periodic runs and passage attention against brute force, and on odd tables."""
+"""Whitening, periodic runs, passage attention and toxic pairs against brute force, and on odd tables."""
 import hashlib
 import os
 import random
@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from millrace.llm import passages, periodic, whitening  # noqa: E402
+from millrace.llm import passages, periodic, toxicity, whitening  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_words long, runs string, h long, y int, _id long, x string, passages long"
@@ -291,3 +291,34 @@ def test_signs_that_are_no_letters_have_no_language(spark):
     odd = spark.createDataFrame([(1, "½ ² ① Ⅷ 12 ٣", None), (2, "½the²house", None), (3, "_ -", None)], schema)
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(odd, language.train(learn)).collect()}
     assert got[1] == got[3] == ("und", 0.0) and got[2][0] == "en"
+
+
+# ---- toxicity: pairs
+
+def test_machine_adds_every_pair():
+    """The closed form of the score equals a plain loop over all pairs of factors."""
+    rng = np.random.default_rng(5)
+    m = toxicity.Machine(np.arange(30), 0.3, rng.normal(size=30), rng.normal(size=(30, 4)))
+    for n in (0, 1, 2, 17):
+        active = rng.choice(30, n, replace=False)
+        want = m.bias + sum(m.weights[i] for i in active)
+        for i in range(n):
+            for j in range(i + 1, n):
+                want += sum(m.factors[active[i]][f] * m.factors[active[j]][f] for f in range(4))
+        assert abs(m.raw(active) - want) < 1e-9
+
+
+def test_pair_whose_words_say_nothing_alone(spark):
+    """Toxic when both words or neither occur: each word alone is balanced, only the pair tells."""
+    rng = np.random.default_rng(8)
+    filler = ["stone", "river", "cloud", "paper", "green", "light"]
+    rows, marks = [], []
+    for i in range(4000):
+        a, b = i % 2, i // 2 % 2
+        words = list(rng.choice(filler, 3, replace=False)) + ["zorvex"] * a + ["quibble"] * b
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(a == b)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    got = [r for r in toxicity.score(docs, toxicity.train(docs, labels)).collect() if r["held_out"]]
+    right = sum(r["predicted"] == marks[r["doc_id"]][1] for r in got) / len(got)
+    assert len(got) > 500 and right > 0.95

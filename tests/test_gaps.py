@@ -52,3 +52,19 @@ def test_left_gaps_carry_what_they_say(spark, model):
     r = lab.run_lab(df, "y", variants, model, folds=2, key="id")
     means = {x["variant"]: (x["mean"], x["failed_folds"]) for x in r["table"].collect()}
     assert means[lab.LEFT][1] == 0 and means[lab.LEFT][0] > 0.99
+
+
+def test_variants_of_a_fold_share_their_first_steps(spark, monkeypatch):
+    """The steps before the one that varies are fitted once for each fold, tasks follow the rows, and the scores stay those of a variant alone."""
+    from millrace.plans import steps
+    learned, plain = [], steps.TextCleanup.learn
+    monkeypatch.setattr(steps.TextCleanup, "learn", lambda self, df: learned.append(df.rdd.getNumPartitions()) or plain(self, df))
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else float(i % 11), "high" if i % 3 == 0 else "low") for i in range(150)], "id int, x double, y string").repartition(7)
+    variants = lab.variants_for("Missing numbers", ["Mean", "Drop rows"], roles={"types": {"id": "id"}})
+    order = ("variant", "fold", "metric", "score")
+    whole = lab.run_lab(df, "y", variants, folds=2, key="id")["folds"].orderBy(*order).collect()
+    assert learned == [1, 1]
+    alone = lab.run_lab(df, "y", {"Drop rows": variants["Drop rows"]}, folds=2, key="id")["folds"].orderBy(*order).collect()
+    again = [r for r in whole if r["variant"] == "Drop rows"]
+    assert [tuple(r)[:3] for r in again] == [tuple(r)[:3] for r in alone] and not any(r["error"] for r in whole)
+    assert [r["score"] for r in again] == pytest.approx([r["score"] for r in alone], rel=1e-9)

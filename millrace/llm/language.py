@@ -31,7 +31,13 @@ from millrace.llm.arrays import chunks
 TRAIN_ROWS, LEAST, LONGEST, DENSE_LANGUAGES, KEPT_WORDS, KEPT_CELLS, SUM_CELLS = 3000, 4, 5, 500, 200_000, 100_000_000, 1 << 22
 #: Signs that count as word characters but are no letters, such as ½ or ².
 NO_LETTERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{NO_LETTERS}]+")
+WORD, PLAIN_WORD, NO_LETTER_SET = re.compile(rf"[^\W\d_{NO_LETTERS}]+"), re.compile(r"[^\W\d_]+"), frozenset(NO_LETTERS)
+
+
+def words_of(text: str) -> list[str]:
+    """The words of the lower-cased text. The long list of signs slows a match many times, so only texts that hold one meet it."""
+    text = text.lower()
+    return (PLAIN_WORD if text.isascii() or NO_LETTER_SET.isdisjoint(text) else WORD).findall(text)
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -63,26 +69,36 @@ class Backoff:
         if (i := self.levels[0].get(w)) is not None:
             return self.logs[i]
         for n in range(LONGEST, 0, -1):
-            if hit := [i for g in grams(w, n) if (i := self.levels[n].get(g)) is not None]:
-                return self.logs[hit].mean(axis=0)
+            find = self.levels[n].get
+            if hit := [i for g in grams(w, n) if (i := find(g)) is not None]:
+                return np.add.reduce(self.logs[hit], 0) / np.float32(len(hit))
         return np.zeros(len(self.languages), np.float32)
 
+    def rows(self, words: list[str], known: dict[str, np.ndarray]) -> np.ndarray:
+        """The logs of each word, by language. Words of a dense model are fetched together, all others one at a time and kept."""
+        direct = self.levels[0] if isinstance(self.logs, np.ndarray) else {}
+        at = np.array([direct.get(w, -1) for w in words])
+        out = np.empty((len(words), len(self.languages)))
+        if direct:
+            out[:] = self.logs[at]
+        for j in np.flatnonzero(at < 0).tolist():
+            w = words[j]
+            r = known.get(w)
+            if r is None:
+                known[w] = r = self.word(w)
+            out[j] = r
+        if len(known) > min(KEPT_WORDS, KEPT_CELLS // len(self.languages)):
+            known.clear()
+        return out
+
     def predict(self, text: str | None, known: dict[str, np.ndarray]) -> tuple[str, float]:
-        counts = Counter(WORD.findall(text.lower())) if text else None
+        counts = Counter(words_of(text)) if text else None
         if not counts or not self.languages:
             return "und", 0.0
         total, words, times = self.prior, list(counts), np.fromiter(counts.values(), np.float64, len(counts))
         step = max(1, SUM_CELLS // len(self.languages))
         for at in range(0, len(words), step):
-            rows = []
-            for w in words[at:at + step]:
-                r = known.get(w)
-                if r is None:
-                    known[w] = r = self.word(w)
-                rows.append(r)
-            if len(known) > min(KEPT_WORDS, KEPT_CELLS // len(self.languages)):
-                known.clear()
-            total = total + times[at:at + step] @ np.array(rows, np.float64)
+            total = total + times[at:at + step] @ self.rows(words[at:at + step], known)
         total -= total.max()
         belief = np.exp(total)
         best = int(belief.argmax())
@@ -121,7 +137,7 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, least: int = LEAST) ->
 
         for b in chunks(batches, "text"):
             for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words.update((place[x], w) for w in WORD.findall(t.lower()))
+                words.update((place[x], w) for w in words_of(t))
             if len(words) > 100_000:
                 yield from flush()
         yield from flush()

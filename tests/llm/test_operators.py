@@ -432,3 +432,23 @@ def test_language_beyond_the_dense_model(spark, monkeypatch):
     assert sparse == by_id(language.identify(docs, dense_model), "lang_pred", "score")
     monkeypatch.setattr(language, "SUM_CELLS", 1)
     assert model.predict(rows[7][1], {})[0] == sparse[7][0] and abs(model.predict(rows[7][1], {})[1] - sparse[7][1]) < 1e-9
+
+
+def test_words_of_texts_without_signs_take_the_short_pattern(monkeypatch):
+    """The long class of signs is met only by texts that hold one of them; words are the same either way."""
+    class Refuses:
+        def findall(self, text):
+            raise AssertionError("the long pattern met a text without signs")
+
+    texts = ["Grün été 2nd_half naïve", "plain words, 42 times", "ǅ İstanbul ºª 東京 ١٢", ""]
+    want = [language.WORD.findall(t.lower()) for t in texts]
+    assert language.words_of("½ a² x③y") == language.WORD.findall("½ a² x③y") == ["a", "x", "y"]
+    monkeypatch.setattr(language, "WORD", Refuses())
+    assert [language.words_of(t) for t in texts] == want
+
+
+def test_language_rows_of_many_words_equal_those_of_one(spark):
+    docs = spark.createDataFrame([(i, t, lang) for i in range(40) for t, lang in (("der hund und die katze", "de"), ("the dog and the cat", "en"))], "doc_id long, text string, lang string")
+    model = language.train(docs)
+    words = ["dog", "und", "hundecat", "qqq", "katze", "ß", "dog"]
+    assert model.rows(words, {}).tolist() == [model.word(w).astype(float).tolist() for w in words]

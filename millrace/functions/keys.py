@@ -88,6 +88,11 @@ class Numbers:
         start, step = Fraction(self.number[k](0)), Fraction(self.number[k](1)) - Fraction(self.number[k](0))
         return math.ceil((Fraction(value) - start) / step)
 
+    def wide(self) -> DataFrame:
+        """The extra columns and the key of each expression as c0, c1, ..., null where there is no value."""
+        keyed = self.plain.select(*self.extra, *[(whole if exact else real).alias(f"c{i}") for i, ((whole, real), exact) in enumerate(zip(self.cells, self.exact))])
+        return with_double_keys(keyed, [f"c{i}" for i, exact in enumerate(self.exact) if not exact])
+
     def rows(self, within: dict[int, list[tuple[int, int]]] | None = None) -> DataFrame:
         """One row for each value; `within` keeps only the named columns, and of those the keys in the given ranges (both
         ends belong to a range). Values outside are dropped before anything is unfolded."""

@@ -7,6 +7,10 @@ compared by their sortable keys (functions.keys): the two zeros are equal, and w
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,8 @@ from millrace.session import stored
 
 #: A key is hot when it holds more than one row in so many; so there are never more hot keys than this.
 HOT_SHARE = 500
+#: Ranks that are broadcast, over all columns, and columns of more values that rows may fetch one after the other.
+FEW_RANKS, ALONE = 100_000, 2
 
 
 def placed(table: DataFrame, order: list[str], name: str = "ordered") -> DataFrame:
@@ -68,19 +74,62 @@ def value_counts_before(df: DataFrame, exprs: list[Column], sums: dict[str, Colu
 def row_ranks(df: DataFrame, exprs: list[Column], dense: bool = False) -> DataFrame:
     """(row, r0, r1, ...) with the average rank (or the dense rank, from 0) of each value in its column; null where there is none.
 
-    All columns are folded to (row, column, key); the distinct keys are ranked in one range exchange, the rows fetch their ranks in
-    one join, in which frequent keys stay in place, and are put together by row again. The number of exchanges does
-    not follow the number of columns.
+    The distinct keys of all columns are ranked in one range exchange. Columns of few values look theirs up in a broadcast, all in one
+    step, so their rows stay where they are; up to ALONE columns of more values in a join each, in which frequent keys stay in place. Beyond
+    that all are folded to (row, column, key), fetch their ranks in one join and are put together by row again, so the
+    number of exchanges does not follow the number of columns.
     """
-    wide = stored(df.select(*[x.alias(f"v{i}") for i, x in enumerate(exprs)]).withColumn("row", F.monotonically_increasing_id()), "rows")
-    folded = stored(Numbers(wide, [F.col(f"v{i}") for i in range(len(exprs))], [F.col("row")]).rows(), "folded")
+    cols = range(len(exprs))
+    wide = stored(Numbers(df, exprs).wide().withColumn("row", F.monotonically_increasing_id()), "rows")
+    wide = wide.filter(F.coalesce(*[F.col(f"c{i}") for i in cols]).isNotNull())
+    folded = wide.select("row", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"c{i}").alias("key")) for i in cols])).alias("x")).select("row", "x.*").filter("key is not null")
     counts = folded.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1))
     if dense:
         ranked = totals_before(counts, ["one"]).select("k", "key", "n", F.col("one_before").cast("double").alias("rank"))
     else:
         ranked = totals_before(counts, ["n"]).select("k", "key", "n", (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank"))
-    found = join_often(folded, stored(ranked, "ranked"), ["k", "key"], "n", folded.count())
-    return found.groupBy("row").agg(*[F.max(F.when(F.col("k") == i, F.col("rank"))).alias(f"r{i}") for i in range(len(exprs))])
+    ranked = stored(ranked, "ranked")
+    sizes = {r["k"]: (r["values"], r["rows"]) for r in ranked.groupBy("k").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("rows")).collect()}
+    few, room = [], FEW_RANKS
+    for i in sorted(cols, key=lambda i: sizes.get(i, (0, 0))):
+        room -= sizes.get(i, (0, 0))[0]
+        if room >= 0:
+            few.append(i)
+    many = [i for i in cols if i not in few]
+    if len(many) > ALONE:
+        found = join_often(folded, ranked, ["k", "key"], "n", sum(n for _, n in sizes.values()))
+        return found.groupBy("row").agg(*[F.max(F.when(F.col("k") == i, F.col("rank"))).alias(f"r{i}") for i in cols])
+    rows = ranked.filter(F.col("k").isin(few)).select("k", "key", "rank").collect()
+    found = np.array([r["k"] for r in rows], int), np.array([r["key"] for r in rows], np.int64), np.array([r["rank"] for r in rows], float)
+    out, kept = wide, wide.columns
+    for i in many:
+        own, kept = ranked.filter(F.col("k") == i).select(F.col("key").alias(f"c{i}"), F.col("rank").alias(f"r{i}"), "n"), [*kept, f"r{i}"]
+        here = join_often(out.filter(F.col(f"c{i}").isNotNull()), own, [f"c{i}"], "n", sizes[i][1]).select(*kept)
+        out = here.unionByName(out.filter(F.col(f"c{i}").isNull()).withColumn(f"r{i}", F.lit(None).cast("double")))
+    if few:
+        out = look_up(out, {i: tuple(x[found[0] == i] for x in found[1:]) for i in few})
+    return out.select("row", *[f"r{i}" for i in cols])
+
+
+def look_up(wide: DataFrame, ranks: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Adds r<i>, the rank of the key in c<i>, for each column number of `ranks`: its keys and their ranks, all in memory."""
+    ordered = {i: (keys[at], rank[at]) for i, (keys, rank) in ranks.items() for at in [np.argsort(keys)]}
+    sent = wide.sparkSession.sparkContext.broadcast(ordered)
+    names = [*wide.columns, *[f"r{i}" for i in ranks]]
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = []
+            for i, (keys, rank) in sent.value.items():
+                c = b.column(b.schema.get_field_index(f"c{i}"))
+                if not len(keys):
+                    new.append(pa.nulls(len(c), pa.float64()))
+                    continue
+                at = np.searchsorted(keys, c.fill_null(int(keys[0])).to_numpy(zero_copy_only=False))
+                new.append(pa.array(rank[at], pa.float64(), mask=c.is_null().to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names)
+
+    return wide.mapInArrow(fetch, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in wide.schema], *[f"r{i} double" for i in ranks]]))
 
 
 def previous_values(table: DataFrame, value: str) -> DataFrame:

@@ -137,3 +137,26 @@ def test_synthetic_rows_do_not_follow_partitions(spark):
     assert one == many and one != sorted(map(tuple, make_dataset(spark, 300, 6, seed=4).collect()), key=str)
     r = spark.range(4000).select(uniform(1, "a").alias("u"), normal(1, "b").alias("z")).agg(F.avg("u"), F.stddev("u"), F.avg("z"), F.stddev("z"), F.corr("u", "z")).first()
     assert all(abs(a - b) < 0.05 for a, b in zip(r, (0.5, 12 ** -0.5, 0.0, 1.0, 0.0)))
+
+
+def test_row_ranks_agree_on_every_route(spark, monkeypatch):
+    """Ranks from a broadcast, from one join for each column and from the folded table; the first shuffles no rows."""
+    from millrace.operators import ranks
+    values = [(i % 3 + 0.5, None if i % 4 == 0 else i % 7, -0.0 if i % 2 else float(i % 5)) if i % 11 else (None, None, float("nan")) for i in range(200)]
+    df = spark.createDataFrame(values, "a double, b int, c double")
+    exprs = [F.col(c) for c in df.columns]
+
+    def average(own, v):
+        return None if v is None or v != v else sum(x < v for x in own) + (sum(x == v for x in own) + 1) / 2
+
+    own = [[v for v in c if v is not None and v == v] for c in zip(*values)]
+    want = sorted([r for r in (tuple(average(own[i], v) for i, v in enumerate(x)) for x in values) if any(v is not None for v in r)], key=repr)
+    for few, alone in ((1000, 2), (0, 3), (0, 0), (3, 2)):
+        monkeypatch.setattr(ranks, "FEW_RANKS", few)
+        monkeypatch.setattr(ranks, "ALONE", alone)
+        found = ranks.row_ranks(df, exprs)
+        if few == 1000:
+            assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted([tuple(r)[1:] for r in found.collect()], key=repr) == want
+        dense = ranks.row_ranks(df, exprs, dense=True)
+        assert {r["r1"] for r in dense.collect()} == {None, *map(float, range(7))}

@@ -1,6 +1,9 @@
 """Sortable keys against the bits of doubles, and plans whose shape must not follow columns or data."""
+import collections
+import itertools
 import math
 import random
+import re
 import struct
 from decimal import Decimal
 from fractions import Fraction
@@ -10,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import keys
-from millrace.operators import correlation, drift, quantiles, ranks
+from millrace.operators import association, correlation, drift, quantiles, ranks
 from millrace.plans import steps
 
 
@@ -160,3 +163,40 @@ def test_row_ranks_agree_on_every_route(spark, monkeypatch):
         assert sorted([tuple(r)[1:] for r in found.collect()], key=repr) == want
         dense = ranks.row_ranks(df, exprs, dense=True)
         assert {r["r1"] for r in dense.collect()} == {None, *map(float, range(7))}
+
+
+def compiled_bytes(df, capsys) -> int:
+    """The largest method that Spark generates for a plan; Java does not compile methods of over 8,000 bytes but interprets them."""
+    capsys.readouterr()
+    df.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df.select("*").explain("codegen")
+    finally:
+        df.sparkSession.conf.set("spark.sql.adaptive.enabled", "true")
+    return max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)))
+
+
+def test_cells_of_many_pairs_are_no_growing_expression(spark, monkeypatch, capsys):
+    df = spark.range(400).select(*[(F.col("id") * p % 397 / 3).alias(f"v{p}") for p in (1, 5, 7)], F.when(F.col("id") % 9 > 0, F.concat(F.lit("c"), F.col("id") % 4)).alias("c"))
+    pairs, seen = list(itertools.combinations(df.columns, 2)), []
+    monkeypatch.setattr(association, "entropies", lambda cells: seen.append(cells) or [])
+    association.nmi(df, pairs)
+    assert compiled_bytes(seen[0], capsys) < 8000
+    rows = df.collect()
+    edges = {c: np.quantile([r[c] for r in rows], [i / 10 for i in range(1, 10)]) for c in df.columns[:-1]}
+    full = {c: np.quantile([r[c] for r in rows if r["c"]], [i / 10 for i in range(1, 10)]) for c in edges}
+    want = collections.Counter()
+    for i, (a, b) in enumerate(pairs):
+        for r in rows:
+            if b != "c":
+                want[(i, str(int((edges[a] < r[a]).sum())), str(int((edges[b] < r[b]).sum())))] += 1
+            elif r["c"]:
+                want[(i, str(int((full[a] < r[a]).sum())), r["c"])] += 1
+    assert {(r["pair"], r["a"], r["b"]): r["n"] for r in seen[0].collect()} == want
+
+
+def test_both_zeros_are_one_value_of_few(spark):
+    zeros = spark.range(100).select(F.when(F.col("id") % 4 == 0, F.lit(0.0)).when(F.col("id") % 4 == 1, F.lit(-0.0)).otherwise(F.lit(1.0)).alias("z"), (F.col("id") % 4).cast("string").alias("g"))
+    assert abs(association.nmi(zeros, [("z", "g")])[("z", "g")] - 1) < 1e-12
+    halves = zeros.filter("z = 0")
+    assert association.nmi(halves, [("z", "g")])[("z", "g")] == 0.0

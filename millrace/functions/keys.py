@@ -5,13 +5,14 @@ the two zeros are one value, whole numbers beyond 2**53 stay apart, and decimals
 """
 from __future__ import annotations
 
-import functools
 import math
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from decimal import Decimal
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,21 +97,42 @@ class Numbers:
     def rows(self, within: dict[int, list[tuple[int, int]]] | None = None) -> DataFrame:
         """One row for each value; `within` keeps only the named columns, and of those the keys in the given ranges (both
         ends belong to a range). Values outside are dropped before anything is unfolded."""
-        structs = []
-        for i, (whole, real) in enumerate(self.cells):
-            here = whole.isNotNull() if self.exact[i] else real.isNotNull()
-            if within is not None:
-                if i not in within:
-                    continue
-                x, at = (whole, int) if self.exact[i] else (real, double_of)
-                inside = [(x >= at(a)) & (x <= at(b)) for a, b in _merged(within[i])]
-                here &= functools.reduce(lambda p, q: p | q, inside)
-            structs.append(F.when(here, F.struct(F.lit(i).alias("k"), whole.alias("whole"), real.alias("real"))))
-        long = self.plain.select(*self.extra, F.explode(F.array(*structs)).alias("x")).filter("x is not null").select(*self.extra, "x.k", "x.whole", "x.real")
+        if within is None:
+            structs = [F.when((whole if exact else real).isNotNull(), F.struct(F.lit(i).alias("k"), whole.alias("whole"), real.alias("real")))
+                       for i, ((whole, real), exact) in enumerate(zip(self.cells, self.exact))]
+            long = self.plain.select(*self.extra, F.explode(F.array(*structs)).alias("x")).filter("x is not null").select(*self.extra, "x.k", "x.whole", "x.real")
+        else:
+            long = self._inside(within)
         if not all(self.exact):
             long = with_double_keys(long, ["real"])
         return long.select(*self.extra, "k", F.coalesce("whole", F.col("real").cast("long")).alias("key"))
 
+    def _inside(self, within: dict[int, list[tuple[int, int]]]) -> DataFrame:
+        """(extra columns, k, whole, real) of the values in the given ranges, which are searched in each Arrow batch: as an
+        expression, hundreds of comparisons are too much code to be compiled."""
+        ends = {}
+        for i, ranges in within.items():
+            at, kind = (int, np.int64) if self.exact[i] else (double_of, float)
+            ends[i] = tuple(np.array([at(end) for end in side], kind) for side in zip(*_merged(ranges)))
+        exact, names = self.exact, [*self.extra, "k", "whole", "real"]
+        wide = self.plain.select(*self.extra, *[(self.cells[i][0] if exact[i] else self.cells[i][1]).alias(f"c{i}") for i in ends])
+        first = len(self.extra)
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for c, (i, (low, high)) in zip(b.columns[first:], ends.items()):
+                    x = c.fill_null(0).to_numpy(zero_copy_only=False)
+                    place = np.searchsorted(low, x, side="right") - 1
+                    inside = (place >= 0) & (x <= high[place]) & c.is_valid().to_numpy(zero_copy_only=False)
+                    rows = np.flatnonzero(inside)
+                    if len(rows):
+                        none = pa.nulls(len(rows), pa.float64() if exact[i] else pa.int64())
+                        both = (pa.array(x[rows]), none) if exact[i] else (none, pa.array(x[rows]))
+                        yield pa.RecordBatch.from_arrays([*[e.take(pa.array(rows)) for e in b.columns[:first]], pa.array(np.full(len(rows), i, np.int32)), *both], names)
+
+        kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in self.plain.select(*self.extra).schema]
+        return wide.mapInArrow(search, ", ".join([*kept, "k int", "whole long", "real double"]))
+
 
 def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Ranges that touch as one."""

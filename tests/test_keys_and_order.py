@@ -176,6 +176,20 @@ def compiled_bytes(df, capsys) -> int:
     return max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)))
 
 
+def test_range_search_is_no_growing_expression(spark, capsys):
+    df = spark.range(0, 5000, 1, 3).select(F.col("id").alias("w"), *[(F.col("id") * (i + 1) / 4 - 300).alias(f"v{i}") for i in range(12)], (F.col("id") % 977).alias("n"))
+    numbers = keys.Numbers(df, [F.when(F.col("n") != 5, F.col(c)) for c in df.columns[1:]], [F.col("w")])
+    cells = {r["k"]: r["v"] for r in numbers.rows().groupBy("k").agg(F.sort_array(F.collect_set("key")).alias("v")).collect()}
+    within = {k: [(v[i], v[i + 1]) for i in range(0, len(v) - 1, len(v) // 9)] for k, v in cells.items()}
+    kept = numbers.rows(within)
+    assert compiled_bytes(kept, capsys) < 8000
+    wanted = {(k, key) for k, ranges in within.items() for pair in ranges for key in pair}
+    got = kept.collect()
+    assert {(r["k"], r["key"]) for r in got} == wanted
+    every = numbers.rows().collect()
+    assert sorted(got) == sorted(r for r in every if (r["k"], r["key"]) in wanted)
+
+
 def test_cells_of_many_pairs_are_no_growing_expression(spark, monkeypatch, capsys):
     df = spark.range(400).select(*[(F.col("id") * p % 397 / 3).alias(f"v{p}") for p in (1, 5, 7)], F.when(F.col("id") % 9 > 0, F.concat(F.lit("c"), F.col("id") % 4)).alias("c"))
     pairs, seen = list(itertools.combinations(df.columns, 2)), []

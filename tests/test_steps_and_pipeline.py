@@ -1,3 +1,4 @@
+import collections
 import json
 
 import pytest
@@ -188,3 +189,19 @@ def test_lab_reports_a_failing_variant(spark):
     table = {x["variant"]: x for x in r["table"].collect()}
     assert table["fine"]["verdict"] == "baseline" and table["fine"]["failed_folds"] == 0
     assert table["broken"]["failed_folds"] == 2 and table["broken"]["verdict"] is None
+
+
+def test_values_of_long_columns_are_counted_once(spark, monkeypatch):
+    """Sizes, lists and codes are read off one table of counts, and codes need no second sort of the texts."""
+    df = spark.range(300).select(F.concat(F.lit("name-"), F.col("id") % 70).alias("many"), F.concat(F.lit("c"), F.col("id") % 3).alias("few"))
+    calls, real = [], steps.value_counts
+    monkeypatch.setattr(steps, "STATE_LIMIT", 20)
+    monkeypatch.setattr(steps, "value_counts", lambda *a: calls.append(a[1]) or real(*a))
+    monkeypatch.setattr(steps, "distinct_counts", lambda *a: pytest.fail("values are counted again"))
+    step = steps.Encoder(high="Ordinal").fit(df)
+    assert calls == [["many", "few"]]
+    order = {v: float(i) for i, v in enumerate(sorted({f"name-{i}" for i in range(70)}))}
+    rows = step.transform(df.unionByName(spark.createDataFrame([("new", "c1"), (None, None)], df.schema))).collect()
+    assert collections.Counter(r["many"] for r in rows) == collections.Counter([*(order[f"name-{i % 70}"] for i in range(300)), -1.0, None])
+    plan = steps.text_codes(df.select(F.col("many").alias("k")).distinct())._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan

@@ -5,6 +5,7 @@ the two zeros are one value, whole numbers beyond 2**53 stay apart, and decimals
 """
 from __future__ import annotations
 
+import functools
 import math
 import struct
 from collections.abc import Callable, Iterator
@@ -19,6 +20,8 @@ from pyspark.sql import types as T
 
 #: Digits of a decimal that surely fit a long.
 LONG_DIGITS = 18
+#: Ranges, over all expressions, up to which values are compared with each by an expression.
+FEW_RANGES = 12
 Number = int | float | Fraction
 
 
@@ -97,23 +100,31 @@ class Numbers:
     def rows(self, within: dict[int, list[tuple[int, int]]] | None = None) -> DataFrame:
         """One row for each value; `within` keeps only the named columns, and of those the keys in the given ranges (both
         ends belong to a range). Values outside are dropped before anything is unfolded."""
-        if within is None:
-            structs = [F.when((whole if exact else real).isNotNull(), F.struct(F.lit(i).alias("k"), whole.alias("whole"), real.alias("real")))
-                       for i, ((whole, real), exact) in enumerate(zip(self.cells, self.exact))]
+        merged = {i: _merged(ranges) for i, ranges in (within or {}).items()}
+        if sum(map(len, merged.values())) <= FEW_RANGES:
+            structs = []
+            for i, (whole, real) in enumerate(self.cells):
+                x, at = (whole, int) if self.exact[i] else (real, double_of)
+                here = x.isNotNull()
+                if within is not None:
+                    if i not in within:
+                        continue
+                    here &= functools.reduce(lambda p, q: p | q, [(x >= at(a)) & (x <= at(b)) for a, b in merged[i]])
+                structs.append(F.when(here, F.struct(F.lit(i).alias("k"), whole.alias("whole"), real.alias("real"))))
             long = self.plain.select(*self.extra, F.explode(F.array(*structs)).alias("x")).filter("x is not null").select(*self.extra, "x.k", "x.whole", "x.real")
         else:
-            long = self._inside(within)
+            long = self._inside(merged)
         if not all(self.exact):
             long = with_double_keys(long, ["real"])
         return long.select(*self.extra, "k", F.coalesce("whole", F.col("real").cast("long")).alias("key"))
 
     def _inside(self, within: dict[int, list[tuple[int, int]]]) -> DataFrame:
-        """(extra columns, k, whole, real) of the values in the given ranges, which are searched in each Arrow batch: as an
-        expression, hundreds of comparisons are too much code to be compiled."""
+        """(extra columns, k, whole, real) of the values in the given ranges, none of which touch. They are searched in each
+        Arrow batch: as an expression, some dozens of comparisons are too much code to be compiled."""
         ends = {}
         for i, ranges in within.items():
             at, kind = (int, np.int64) if self.exact[i] else (double_of, float)
-            ends[i] = tuple(np.array([at(end) for end in side], kind) for side in zip(*_merged(ranges)))
+            ends[i] = tuple(np.array([at(end) for end in side], kind) for side in zip(*ranges))
         exact, names = self.exact, [*self.extra, "k", "whole", "real"]
         wide = self.plain.select(*self.extra, *[(self.cells[i][0] if exact[i] else self.cells[i][1]).alias(f"c{i}") for i in ends])
         first = len(self.extra)

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,6 +55,39 @@ def moments(df: DataFrame, exprs: dict[str, Column]) -> dict[str, dict]:
     return out
 
 
+def spread_about(df: DataFrame, exprs: dict[str, Column], centre: dict[str, float]) -> dict[str, tuple]:
+    """{name: (mean less the centre, standard deviation or None)} of expressions without gaps, for scores of single rows.
+
+    A running sum over millions of rows loses digits that rounded scores still show. Distances from a value among the
+    rows (the median lies within one deviation of the mean) are summed pairwise, within Arrow batches and over them.
+    """
+    if not exprs:
+        return {}
+    far = df.select(*[(x.cast("double") - F.lit(centre[c])).alias(f"c{i}") for i, (c, x) in enumerate(exprs.items())])
+    k = len(exprs)
+
+    def partial(batches):
+        n, sums = 0, [[] for _ in range(2 * k)]
+        for b in batches:
+            n += b.num_rows
+            for i, c in enumerate(b.columns):
+                d = c.to_numpy(zero_copy_only=False)
+                sums[i].append(float(d.sum()))
+                sums[k + i].append(float((d * d).sum()))
+        s = [float(np.sum(x)) for x in sums]
+        yield pa.RecordBatch.from_pydict({"i": list(range(k)), "n": [n] * k, "s": s[:k], "s2": s[k:]})
+
+    found = far.mapInArrow(partial, "i long, n long, s double, s2 double").groupBy("i").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("s2").alias("s2")).collect()
+    names, out = list(exprs), {c: (None, None) for c in exprs}
+    for r in found:
+        n = r["n"]
+        if n:
+            off = r["s"] / n
+            out[names[r["i"]]] = (off, math.sqrt(max(0.0, r["s2"] - r["s"] * off) / (n - 1)) if n > 1 else None)
+    return out
+
+
 def fences(df: DataFrame, exprs: dict[str, Column]) -> dict[str, dict]:
     """Quartiles and the 1.5 IQR bounds per column."""
     out = {}

@@ -1,4 +1,5 @@
 import math
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +47,20 @@ def test_vif_of_a_sum_is_infinite(spark):
     assert all(r["vif"] == math.inf for r in association.vif_table(df, ["a", "b", "c"]).collect())
 
 
+def test_scores_of_columns_far_from_zero_keep_their_digits(spark):
+    values = [(1e9 + (i * 7919) % 10007 / 100, 3e9 + (i * 104729) % 9973 / 100) for i in range(200_000)]
+    means, stds = [], []
+    for v in zip(*values):
+        means.append(Fraction(sum(map(Fraction, v))) / len(v))
+        stds.append(math.sqrt(sum((Fraction(x) - means[-1]) ** 2 for x in v) / (len(v) - 1)))
+    df = spark.createDataFrame(values, "a double, b double").repartition(5)
+    p = association.pca(df, ["a", "b"])
+    sign = math.copysign(1, p["loadings"][1, 0] * p["loadings"][0, 0])
+    for r in p["scores"].filter("a % 5 < 0.01").collect():
+        a, b = (float(Fraction(r[c]) - means[i]) / stds[i] for i, c in enumerate("ab"))
+        assert abs(r["pc1"] - (a + sign * b) / math.sqrt(2)) < 1e-12
+
+
 def test_dependent_gaps_are_found(spark):
     df = spark.range(800).select((20 + F.col("id") % 60).alias("age"), F.rand(4).alias("z")).withColumn(
         "inc", F.when((F.col("age") > 45) & (F.rand(5) < 0.7), None).otherwise(F.rand(6)))
